@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, mixing, url_filters
+from larkspur.llm import fingerprints, language_id, mixing, quality, url_filters
 from larkspur.llm.common import table
 
 #: The rules of op8: host, path, verdict.
@@ -22,15 +23,31 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"), 3, 1)
+    dictionaries = language_id.fit_dictionaries(docs.select("doc_id", "text", "lang").filter(~held))
+    judged = language_id.identify(docs.select("doc_id", "text"), dictionaries)
+    return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer, _ = quality.fit(docs)
+    return quality.score_quality(docs, scorer).select("doc_id", F.col("quality_score").alias("score"), (~F.col("rejected")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
