@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC so that dates agree on every executor; AQE so that skewed joins are split and small
@@ -25,3 +30,24 @@ def get_spark(app: str = "larkspur", master: str | None = None, **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED = "larkspur.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, for functions that run there.
+
+    Nothing is done where workers find it anyway: started from its folder, or through PYTHONPATH.
+    Otherwise a zip of its sources goes out with the application, once.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(Path(p).resolve() == root for p in known if p) or spark.sparkContext.getLocalProperty(_SHIPPED):
+        return
+    archive = Path(tempfile.mkdtemp()) / "larkspur.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "larkspur").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext.setLocalProperty(_SHIPPED, "1")
