@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import uniform
+from larkspur.session import ship
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -97,6 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     language with more rows in the fit, score 0, rejected. No dictionaries: every row ``und``. A clashing column
     of ``docs`` is replaced. Texts are coded whole, batch by batch, without a shuffle.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import uniform
+from larkspur.session import ship
 
 #: The scorer is trained on at most so many documents (those of least hash), and each gives at most
 #: so many bytes to the fit, from evenly spaced windows; scoring reads whole texts.
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: str = "quality") -> tuple
     EM sees the vote pattern counts of all documents (at most 2 ** 11 counts reach the driver).
     The linear scorer learns the posterior on the about ``rows`` documents of least hash.
     """
+    ship(docs.sparkSession)
     code = F.pandas_udf(_as_code, "long")
     counts = docs.select(code("text").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = sorted((r["code"], r["n"]) for r in counts)
@@ -196,6 +198,7 @@ def score_quality(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD,
     Null, empty or blank text: score 0, rejected. Repeated rows score alike. Clashing columns of
     ``docs`` are replaced. Whole texts are read, batch by batch, without a shuffle.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
