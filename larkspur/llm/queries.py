@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, language_id, mixing, quality, url_filters
+from larkspur.llm import fingerprints, language_id, mixing, near_dedup, quality, url_filters
 from larkspur.llm.common import table
 
 #: The rules of op8: host, path, verdict.
@@ -36,6 +36,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer, _ = quality.fit(docs)
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
 }
 
