@@ -91,14 +91,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     start of the next document, doc_ids ascending; after the last comes the first.
     near_*: 1.0 for equal fingerprints, else 0.0; an exact digest knows nothing between.
 
-    Null text: the empty text. A null doc_id comes last. Rows that share a doc_id are one place in
+    Null text: the empty text. A null doc_id comes last (so does 2**63 - 1, which is returned as null). Rows that share a doc_id are one place in
     the order; each gets its own row, and as the next document they count with the row of the least
     hash. One document is its own next. Other columns are ignored; an empty table gives no rows.
 
     Texts are shuffled by doc_id once (both sides of the joins reuse it), a quarter of them again as
     heads; of the texts in shared buckets only one of each kind leaves a task.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     takes = durable(texts.groupBy("key").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("most"), F.count(F.lit(1)).alias("n_rows")))
     repeats = bool(takes.filter("n_rows > 1").take(1))
     after = durable(takes.select(F.col("key").alias("prev_key"), "most").join(next_ids(takes), F.col("prev_key") == F.col("key")).select("prev_key", "next_key", "most"))
@@ -107,7 +107,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     e1, e2 = hashes(canonical(F.col("edited")))
     hashed = durable(
         _edited(texts, after, repeats).select(
-            "doc_id", "key", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), h1, h2, e1.alias("e1"), e2.alias("e2"), "nh1", "nh2"
+            "key", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), h1, h2, e1.alias("e1"), e2.alias("e2"), "nh1", "nh2"
         )
     )
     pairs = hashed.select("key", F.explode(F.array(F.struct("h1", "h2", F.lit(0).alias("side")), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.lit(1).alias("side")))).alias("p")).select("key", "p.*")
@@ -136,4 +136,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     def near(other: str) -> Column:
         return F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
 
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    return out.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

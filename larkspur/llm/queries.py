@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, language_id, mixing, near_dedup, quality, url_filters
+from larkspur.llm import fingerprints, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters
 from larkspur.llm.common import table
 
 #: The rules of op8: host, path, verdict.
@@ -19,6 +19,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_id.held_out(F.col("doc_id"), 4, 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held)
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_html_extract": op4_html_extract,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
