@@ -28,6 +28,8 @@ PREFIX = (4, 8)
 #: A term must be so much likelier in toxic documents, and its G statistic must stand at this level
 #: after dividing it by the number of candidates.
 LIFT, LEVEL = 5.0, 0.5
+#: Near words of clean documents that the model holds at most; they come from the bounded sample.
+MAX_INNOCENT = 100_000
 #: Edits allowed for terms of at least so many letters.
 EDITS = ((9, 2), (5, 1))
 #: Characters on either side of a match that are searched for quotation marks and reporting words.
@@ -123,12 +125,12 @@ class Automaton:
 class Model:
     """Terms, prefixes and logistic weights; picklable: each task builds its automaton anew."""
 
-    def __init__(self, terms: list[str], prefixes: list[str], weights: list[float] | None = None):
-        self.terms, self.prefixes, self.weights = sorted(terms), sorted(prefixes), weights or list(PRIOR)
+    def __init__(self, terms: list[str], prefixes: list[str], weights: list[float] | None = None, innocent: list[str] | None = None):
+        self.terms, self.prefixes, self.weights, self.innocent = sorted(terms), sorted(prefixes), weights or list(PRIOR), frozenset(innocent or ())
         self._automaton: Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "prefixes": self.prefixes, "weights": self.weights, "_automaton": None}
+        return {"terms": self.terms, "prefixes": self.prefixes, "weights": self.weights, "innocent": self.innocent, "_automaton": None}
 
     def _kind(self, word: str) -> str:
         """"exact", "misspelt", "prefixed" or ""."""
@@ -137,7 +139,12 @@ class Model:
             return "exact"
         if any(word[:n] in self._stems for n in range(PREFIX[0], min(PREFIX[1], len(word)) + 1)):
             return "prefixed"
-        return "misspelt" if e > 0 else ""
+        return "misspelt" if e > 0 and word not in self.innocent else ""
+
+    def misspelt(self, text: str | None) -> list[str]:
+        """The words of a text that count as misspelt terms."""
+        self.features(text)
+        return sorted(w for w in set(_WORD.findall((text or "").lower())) if self._hits.get(w) == "misspelt")
 
     def features(self, text: str | None) -> list[float]:
         """Counts of matches by kind (log1p), their share of the words, and 1."""
@@ -238,7 +245,11 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, seed: str = "toxic") -> Model
     n = known.count()
     sample = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, n)))
     terms, prefixes = learn_terms(sample)
-    model = Model(terms, prefixes)
+    # Words near a term that clean documents use are words of their own.
+    first = labelled.sparkSession.sparkContext.broadcast(Model(terms, prefixes))
+    near = F.pandas_udf(lambda batch: pd.Series([first.value.misspelt(t) for t in batch]), "array<string>")
+    innocent = sample.filter("toxic = 0").select(F.explode(near("text")).alias("word")).distinct().limit(MAX_INNOCENT).collect()
+    model = Model(terms, prefixes, innocent=[r["word"] for r in innocent])
     shared = labelled.sparkSession.sparkContext.broadcast(model)
     measure = F.pandas_udf(lambda batch: pd.Series([shared.value.features(t) for t in batch]), "array<double>")
     found = sorted((list(r["x"]), r["toxic"]) for r in sample.select("toxic", measure("text").alias("x")).collect())
