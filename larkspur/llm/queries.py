@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters
+from larkspur.llm import fingerprints, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters, vector_search
 from larkspur.llm.common import table
 
 #: The rules of op8: host, path, verdict.
@@ -31,6 +31,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_html_extract": op4_html_extract,
+    "op5_vector_search": op5_vector_search,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
