@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters, vector_search
+import corpus_pipeline
+from larkspur.llm import fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
 from larkspur.llm.common import table
 
+#: The SentencePiece model (merge type, with byte fallback) that op2 encodes with.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The rules of op8: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -19,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = merge_dropout.encode_documents(table(spark, sf_dir, "documents"), merge_dropout.load_model(PIECE_MODEL))
+    return coded.select("doc_id", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "lossless")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = language_id.held_out(F.col("doc_id"), 4, 2)
@@ -65,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_merge_dropout": op2_merge_dropout,
     "op3_toxicity": op3_toxicity,
     "op4_html_extract": op4_html_extract,
     "op5_vector_search": op5_vector_search,
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
