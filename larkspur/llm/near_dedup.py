@@ -112,6 +112,13 @@ def _leftovers(docs: DataFrame, large: DataFrame, labels: DataFrame, width: int,
     return queries.select(*columns).unionByName(members.select(*columns)).groupBy("grp", "qb", "mb").applyInPandas(link, "a long, b long").distinct()
 
 
+def _mixed(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with comp, of buckets in which several components meet."""
+    own = held.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    return durable(own.join(keys, "key", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, h1, h2 for each row of ``docs``.
 
@@ -124,10 +131,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     member of the search (its id is their least doc_id), so copies are never paired. Other columns
     are ignored; an empty table gives no rows.
 
-    Candidates share a table key. Each bucket first links its members to two leaders (least id and
-    least hash of id), confirmed on full sets; where a bucket still has several components, its other
-    pairs across components are confirmed too, on the bucket's key if it is small, in blocks if it is
-    large. Nothing is capped, and pairs inside a component are not formed.
+    Candidates share a table key. Each set is first held against the least leader of its buckets;
+    where a bucket still has several components, its members are held against its two leaders (least
+    id and least hash of id) in other components; where it has them even then, all its pairs across
+    components are confirmed, on the bucket's key if it is small, in blocks if it is large. Nothing
+    is capped, and pairs inside a component are not formed.
     """
     signed = durable(signatures(docs, width, bands, rows))
     kinds = signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("m"))
@@ -144,14 +152,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("second")).filter("n > 1").select("key", "n", "first", F.col("second.id").alias("second"))
     held = durable(keyed.join(buckets, "key"))
 
-    leaders = held.select("id", F.explode(F.array("first", "second")).alias("leader")).filter("id != leader")
-    tried = durable(leaders.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return durable(pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+    tried = ordered(held.groupBy("id").agg(F.min("first").alias("x")).withColumnRenamed("id", "y"))
     links = durable(confirm(docs, tried, width, percent))
     labels = components(links)
 
-    own = held.join(labels, "id", "left").select("key", "n", "first", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = own.filter("n > 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    open_rows = durable(own.filter("n > 2").join(mixed, "key", "left_semi"))
+    open_rows = _mixed(held, labels)
+    led = open_rows.select("id", "comp", F.explode(F.array("first", "second")).alias("leader")).filter("id != leader")
+    of_leader = labels.select(F.col("id").alias("leader"), F.col("comp").alias("its"))
+    across = led.distinct().join(of_leader, "leader", "left").filter(F.col("comp") != F.coalesce("its", "leader"))
+    more = durable(ordered(across.select(F.col("id").alias("x"), F.col("leader").alias("y"))).join(tried, ["a", "b"], "left_anti"))
+    if more.take(1):
+        tried = tried.union(more)
+        links = durable(links.union(confirm(docs, more, width, percent)))
+        labels = components(links)
+        open_rows = _mixed(open_rows.drop("comp").filter("n > 2"), labels)
+
+    open_rows = open_rows.filter("n > 2")  # the one pair of a bucket of two has been tried
     small = open_rows.filter(F.col("n") <= SMALL)
     other = small.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").filter("id < id2 and comp != comp2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
