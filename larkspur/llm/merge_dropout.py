@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import cycle, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -334,7 +335,6 @@ def decode_ids(coded: DataFrame, model: tuple[list[str], list[float], list[int]]
     """Add text, decoded from ``ids``, to ``coded``; null ids give a null text."""
     ship(coded.sparkSession)
     shared = coded.sparkSession.sparkContext.broadcast(Codec(model))
-    import pandas as pd
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
