@@ -1,35 +1,79 @@
-"""Command line: events file to summaries, findings and a digest."""
+"""Command line: events from a file or a vendor to summaries, findings and a digest."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur import __version__
 from larkspur.api import Service, serve
-from larkspur.plans.digest import DigestOptions, compose, to_markdown
+from larkspur.plans.cards import CARD_SCHEMA, DEFAULT_PROMPT, PROMPTS, AnswerCache, Card, CardWriter
+from larkspur.plans.digest import Channel, DigestOptions, compose, deliver, to_markdown
 from larkspur.session import get_spark
+from larkspur.sources.connector import VendorConnector
+from larkspur.sources.http import json_post, message_model, status_post
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="larkspur", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    run = commands.add_parser("run", help="analyse an events file and print a digest, or findings with --dry-run")
-    run.add_argument("--events", required=True)
-    run.add_argument("--dry-run", action="store_true")
-    run.add_argument("--output")
+    run = commands.add_parser("run", help="analyse events; print a digest, or the findings with --dry-run")
+    run.add_argument("--tenant", default="default")
     run.add_argument("--tenant-name")
+    run.add_argument("--events", help="JSON lines, CSV or Parquet")
+    run.add_argument("--vendor-host")
+    run.add_argument("--vendor-project", default="")
+    run.add_argument("--vendor-key", default=os.environ.get("LARKSPUR_VENDOR_KEY", ""))
+    run.add_argument("--lookback-days", type=int, default=90)
+    run.add_argument("--sync-state", default="sync_state.json")
+    run.add_argument("--store", default="larkspur_events", help="where pulled events are kept")
+    run.add_argument("--model-host")
+    run.add_argument("--model-key", default=os.environ.get("LARKSPUR_MODEL_KEY", ""))
+    run.add_argument("--model", default="")
+    run.add_argument("--prompt-version", default=DEFAULT_PROMPT, choices=sorted(PROMPTS))
+    run.add_argument("--cache", help="folder of remembered answers")
+    run.add_argument("--dry-run", action="store_true")
+    run.add_argument("--output", default="-", help="a Markdown file, or - to print")
+    run.add_argument("--slack-webhook")
     run.add_argument("--max-insights", type=int, default=3)
     web = commands.add_parser("serve", help="answer /api requests about an events file")
     web.add_argument("--events", required=True)
     web.add_argument("--port", type=int, default=8000)
-    args = parser.parse_args(argv)
-    service = Service(get_spark(), args.events)
+    commands.add_parser("version")
+    return parser
+
+
+def pull(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Append what is new at the vendor to the store; return its path."""
+    post = json_post(args.vendor_host, {"Authorization": f"Bearer {args.vendor_key}"})
+    source = VendorConnector(post, args.vendor_project, args.sync_state, lookback_days=args.lookback_days)
+
+    def keep(events: DataFrame) -> None:
+        events.withColumn("event_date", F.to_date("timestamp")).write.mode("append").parquet(args.store)
+
+    source.sync(spark, args.tenant, keep)
+    return args.store
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
+    if args.command == "version":
+        print(__version__)
+        return 0
+    spark = get_spark()
     if args.command == "serve":
-        serve(service, port=args.port).serve_forever()
+        serve(Service(spark, args.events), port=args.port).serve_forever()
+        return 0
+    if not args.events and not args.vendor_host:
+        print("give --events or --vendor-host", file=sys.stderr)
+        return 1
+    service = Service(spark, args.events or pull(spark, args))
     events = service.events()
     if not events.filter(F.col("user_id") != "").take(1):
         print("no events were found", file=sys.stderr)
@@ -38,12 +82,22 @@ def main(argv: list[str] | None = None) -> int:
     if args.dry_run:
         print(json.dumps(found.to_dict(), indent=2, default=str))
         return 0
-    written = service.insights(events)
-    text = to_markdown(compose(written["cards"], found.to_dict(), DigestOptions(max_insights=args.max_insights, tenant_name=args.tenant_name)))
-    if args.output:
-        Path(args.output).write_text(text, encoding="utf-8")
-    else:
+    cards: list[Card] = []
+    if args.model_host:
+        ask = message_model(json_post(args.model_host, {"x-api-key": args.model_key}), "/v1/messages", args.model, CARD_SCHEMA)
+        writer = CardWriter(ask, args.model, args.prompt_version, AnswerCache(args.cache) if args.cache else None)
+        cards = writer.write(found.to_dict(), found.prompt_context())["cards"]
+    digest = compose(cards, found.to_dict(), DigestOptions(max_insights=args.max_insights, tenant_name=args.tenant_name), args.prompt_version, args.model)
+    text = to_markdown(digest)
+    if args.output == "-":
         print(text)
+    else:
+        Path(args.output).write_text(text, encoding="utf-8")
+    if args.slack_webhook:
+        (sent,) = deliver(digest, [Channel("slack", args.slack_webhook)], status_post())
+        if not sent["success"]:
+            print(f"slack: {sent['error']}", file=sys.stderr)
+            return 1
     return 0
 
 

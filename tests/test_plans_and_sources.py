@@ -163,3 +163,32 @@ def test_command_line(spark, events_file, tmp_path, capsys):
     assert cli.main(["run", "--events", events_file, "--output", str(tmp_path / "d.md")]) == 0 and (tmp_path / "d.md").read_text().startswith("# Product insights")
     assert cli.main(["run", "--events", str(tmp_path / "none.jsonl")]) == 1
     assert timezone.utc
+
+
+def test_http_server_and_clients(spark, events_file, tmp_path):
+    import threading
+    from urllib.request import urlopen
+
+    from larkspur.api import serve
+    from larkspur.sources.http import json_post, message_model, status_post
+
+    server = serve(Service(spark, events_file, feedback=str(tmp_path / "f.jsonl")), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        with urlopen(f"{base}/api/health") as answer:
+            assert json.loads(answer.read())["users"] == 30
+        post = json_post(base)
+        assert post("/api/feedback", {"insight": 1, "vote": "useful"})[0] == 200
+        assert post("/api/feedback", {"insight": 1, "vote": "meh"})[0] == 400 and status_post()(f"{base}/nothing", {}) == 404
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(ConnectionError):
+        post("/api/feedback", {})
+    tool = message_model(lambda p, b: (200, {"content": [{"type": "tool_use", "input": {"cards": [CARD]}}]}), "/m", "x", cards.CARD_SCHEMA)
+    assert len(cards.parse_cards(tool("s", "u"))) == 1
+    assert message_model(lambda p, b: (200, {"content": [{"type": "text", "text": "hi"}]}), "/m", "x")("s", "u") == "hi"
+    with pytest.raises(ConnectionError):
+        message_model(lambda p, b: (500, {}), "/m", "x")("s", "u")
+    assert cli.main(["version"]) == 0 and cli.main(["run"]) == 1
