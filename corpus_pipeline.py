@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, merge_dropout, mixing, near_dedup, quality
-from larkspur.llm.common import shared_table
+from larkspur.llm.common import broadcast_if_small, durable, shared_table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -34,10 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share the kept doc_id, the one with the least digests stays; a null doc_id stays.
     """
     found = near_dedup.near_duplicates(docs, width=5, percent=80, bands=PIPELINE_BANDS)
-    kept = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    single = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    kept = durable(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    single = docs.join(broadcast_if_small(kept.select("doc_id"), near_dedup.PICK_ROWS), "doc_id", "left_semi")
     repeated = kept.filter("n > 1").select("doc_id", F.lit(True).alias("_repeated"))
-    marked = single.join(F.broadcast(repeated) if repeated.limit(1001).count() <= 1000 else repeated, "doc_id", "left")
+    marked = single.join(broadcast_if_small(repeated), "doc_id", "left")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     again = marked.filter("_repeated").withColumn("_n", first).filter("_n = 1")
     columns = docs.columns
