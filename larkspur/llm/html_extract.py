@@ -21,8 +21,6 @@ from larkspur.session import ship
 #: Lines in a window, and the length its sum must reach for a surge.
 WINDOW = 3
 SURGE = 86
-#: A page with no surge keeps its longest run of lines if that has so many characters.
-LEAST_RUN = 1
 
 # Element names of HTML by their role here.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
