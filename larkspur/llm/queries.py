@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = language_id.held_out(F.col("doc_id"), 4, 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held)
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

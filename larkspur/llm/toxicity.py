@@ -17,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, uniform
+from larkspur.llm.common import broadcast_if_small, durable, uniform
 from larkspur.session import ship
 
 #: The fit reads about so many labelled rows (those of least hash) and keeps so many terms at most.
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 MAX_TERMS = 5_000
 #: A prefix that is a term by itself has so many letters.
 PREFIX = (4, 8)
@@ -238,19 +238,23 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     return w.tolist()
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, seed: str = "toxic") -> Model:
-    """The model from (doc_id, text, toxic) rows; rows without a label are left out. No rows: no terms."""
-    ship(labelled.sparkSession)
-    known = labelled.filter(F.col("toxic").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    sample = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, n)))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: str = "toxic") -> Model:
+    """The model from (doc_id, text) rows and (doc_id, toxic) labels; rows without a label are left out.
+
+    The sample is drawn among the labels, by a hash of the id; only its texts are read into the fit,
+    and they are written to the checkpoint folder once. No labels: no terms.
+    """
+    ship(docs.sparkSession)
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    drawn = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, known.count())))
+    sample = durable(docs.select("doc_id", "text").join(broadcast_if_small(drawn), "doc_id"))
     terms, prefixes = learn_terms(sample)
     # Words near a term that clean documents use are words of their own.
-    first = labelled.sparkSession.sparkContext.broadcast(Model(terms, prefixes))
+    first = docs.sparkSession.sparkContext.broadcast(Model(terms, prefixes))
     near = F.pandas_udf(lambda batch: pd.Series([first.value.misspelt(t) for t in batch]), "array<string>")
     innocent = sample.filter("toxic = 0").select(F.explode(near("text")).alias("word")).distinct().limit(MAX_INNOCENT).collect()
     model = Model(terms, prefixes, innocent=[r["word"] for r in innocent])
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     measure = F.pandas_udf(lambda batch: pd.Series([shared.value.features(t) for t in batch]), "array<double>")
     found = sorted((list(r["x"]), r["toxic"]) for r in sample.select("toxic", measure("text").alias("x")).collect())
     if found:

@@ -49,7 +49,7 @@ def test_dropout_is_lossless(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("thenréa\u2581x", min_size=1, max_size=merge_dropout.TOGETHER), min_size=1, max_size=20), st.integers(0, 7))
+@given(st.lists(st.text("thenréa\u2581x", min_size=1, max_size=merge_dropout.TOGETHER), min_size=1, max_size=20), st.integers(0, merge_dropout.VARIANTS - 1))
 def test_the_agenda_in_step_is_the_agenda_by_heap(chunks, variant):
     DROPPED.encode([""], [""])
     assert DROPPED.together(chunks, np.full(len(chunks), variant)) == [DROPPED.by_heap(c, variant) for c in chunks]
@@ -107,7 +107,7 @@ def test_toxicity_on_odd_rows_and_held_out_rows(spark, odd):
     got = toxicity.score_toxicity(odd, model)
     assert got.count() == len(ODD) and got.filter("score is null or score < 0 or score > 1 or predicted not in (0, 1)").count() == 0
     assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
-    empty = toxicity.fit(odd.select("doc_id", "text").withColumn("toxic", F.lit(None).cast("int")))
+    empty = toxicity.fit(odd, odd.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert empty.terms == [] and empty.score("x") < 0.3
     scored = queries.op3_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     c = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
