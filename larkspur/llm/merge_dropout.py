@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import cycle, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,13 +26,15 @@ from larkspur.session import ship
 DROPOUT = 0.1
 #: A chunk's occurrences take turns among so many differently keyed segmentations, each document
 #: starting at a keyed one; they are remembered, MEMORY of them in a task before it starts anew.
-VARIANTS = 8
-MEMORY = 300_000
+VARIANTS = 4
+MEMORY = 600_000
 #: Chunks of up to so many characters go through the agenda together in numpy, longer ones by heap.
 TOGETHER = 32
 SPACE = "▁"
 _CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MASK = (1 << 64) - 1
+#: A candidate's number has the rank of its score from bit _ID on; _NONE is no candidate.
+_ID, _PIECE, _NONE = 32, (1 << 32) - 1, np.int64(2**62)
 _A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 
 
@@ -102,8 +104,9 @@ class Codec:
                         pairs[left << 32 | right] = (i, scores[i])
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.joins = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
-        self.scores = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.float64)
+        rank = {score: i for i, score in enumerate(sorted({score for _, score in pairs.values()}, reverse=True))}
+        # A candidate's number: the rank of its score (equal scores are equal) above its piece.
+        self.candidates = np.array([rank[pairs[k][1]] << _ID | pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.contents = np.frombuffer(b"".join(contents), dtype=np.uint8)
         self.lengths = np.array([len(c) for c in contents], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
@@ -164,14 +167,14 @@ class Codec:
     # --- many short chunks at a time, in step ------------------------------------------------
 
     def _look(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Index into self.joins of each candidate, or -1 (no piece, or dropped)."""
+        """The number of each candidate, or _NONE (no piece, or dropped)."""
         pair = left << np.int64(32) | right
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         good = (left >= 0) & (right >= 0) & (self.keys[at] == pair)
         if self.limit:
             u = lambda x, by: x.astype(np.uint64) * np.uint64(by)
             good &= _mixed(key + u(a, _B) + u(b, _C) + u(c, _D)) >= np.uint64(self.limit)
-        return np.where(good, at, -1)
+        return np.where(good, self.candidates[at], _NONE)
 
     def together(self, chunks: list[str], variants: np.ndarray) -> list[list[int]]:
         """by_heap for many chunks of at most TOGETHER characters, one merge of each in a step."""
@@ -187,45 +190,36 @@ class Codec:
         for r, j in zip(*np.nonzero(inside & (points >= 0x3000)), strict=True):
             symbol[r, j] = self.symbol_of.get(int(points[r, j]), -1)
         symbol[~inside] = -1
-        start = np.broadcast_to(np.arange(width), (n, width)).copy()
-        stop = start + 1
+        # Bounds: start of each symbol, and after a row's last one its size; ends are the next starts.
+        start = np.minimum(np.broadcast_to(np.arange(width + 1), (n, width + 1)), sizes[:, None])
         count = sizes.copy()
         if width > 1:
             wide = np.broadcast_to(key[:, None], (n, width - 1))
-            at = self._look(symbol[:, :-1], symbol[:, 1:], wide, start[:, :-1], start[:, 1:], stop[:, 1:])
-            score = np.where(at >= 0, self.scores[at], -np.inf)
+            offer = self._look(symbol[:, :-1], symbol[:, 1:], wide, start[:, :-2], start[:, 1:-1], start[:, 2:])
             rows = np.arange(n)
             while True:
-                best = score[rows].argmax(axis=1)
-                live = score[rows, best] > -np.inf
-                rows, best = rows[live], best[live]
+                best = (offer[rows] >> _ID).argmin(axis=1)
+                chosen = offer[rows, best]
+                live = chosen != _NONE
+                rows, best, chosen = rows[live], best[live], chosen[live]
                 if not len(rows):
                     break
-                symbol[rows, best], stop[rows, best] = self.joins[at[rows, best]], stop[rows, best + 1]
-                # Close the gap at best + 1.
-                columns = np.arange(width - 1)[None, :]
-                source = columns + (columns > best[:, None])
-                for grid in (symbol, start, stop):
-                    grid[rows, :-1] = np.take_along_axis(grid[rows], source, axis=1)
+                # The pair at best becomes one symbol; what stands behind moves one place forward.
+                columns = np.arange(width)[None, :]
+                behind = columns > best[:, None]
+                symbol[rows, :-1] = np.where(behind[:, :-1], symbol[rows, 1:], symbol[rows, :-1])
                 symbol[rows, -1] = -1
+                symbol[rows, best] = chosen & _PIECE
+                start[rows, :-1] = np.where(behind, start[rows, 1:], start[rows, :-1])
                 count[rows] -= 1
-                if width > 2:
-                    columns = np.arange(width - 2)[None, :]
-                    source = columns + (columns > best[:, None])
-                    for grid in (at, score):
-                        grid[rows, :-1] = np.take_along_axis(grid[rows], source, axis=1)
-                at[rows, -1], score[rows, -1] = -1, -np.inf
-                for shift in (0, -1):
-                    i = best + shift
+                offer[rows, :-1] = np.where(behind[:, : width - 2], offer[rows, 1:], offer[rows, :-1])
+                offer[rows, -1] = _NONE
+                for i in (best, best - 1):
                     real = (i >= 0) & (i + 1 < count[rows])
-                    r, i = rows[real], i[real]
-                    found = self._look(symbol[r, i], symbol[r, i + 1], key[r], start[r, i], start[r, i + 1], stop[r, i + 1])
-                    at[r, i], score[r, i] = found, np.where(found >= 0, self.scores[found], -np.inf)
-                    if shift == 0:
-                        # No pair begins at a row's last symbol.
-                        r, i = rows[~real], best[~real]
-                        i = np.minimum(i, width - 2)
-                        at[r, i], score[r, i] = -1, -np.inf
+                    r, j = rows[real], i[real]
+                    offer[r, j] = self._look(symbol[r, j], symbol[r, j + 1], key[r], start[r, j], start[r, j + 1], start[r, j + 2])
+                last = best + 1 >= count[rows]  # no pair begins at a row's last symbol
+                offer[rows[last], np.minimum(best[last], width - 2)] = _NONE
         plain = ((symbol >= 0) & (symbol < self.n_pieces)) | (np.arange(width)[None, :] >= count[:, None])
         easy = plain.all(axis=1)
         out: list[list[int]] = []
@@ -259,9 +253,9 @@ class Codec:
                     chunks.append("")
                 chunks += _CHUNK.findall(part.replace(" ", SPACE))
             cut.append(chunks)
-            for v, c in zip(islice(cycle(range(VARIANTS)), turn, None), chunks, strict=False):
-                if c not in self.memory[v]:
-                    missing[v, c] = None
+            for j in range(min(VARIANTS, len(chunks))):
+                v = (turn + j) % VARIANTS
+                missing.update(dict.fromkeys((v, c) for c in set(chunks[j::VARIANTS]).difference(self.memory[v])))
         own = self.byte_ids[list(SPACE.encode())].tolist()
         short = [x for x in missing if 0 < len(x[1]) <= TOGETHER]
         short.sort(key=lambda x: len(x[1]))
@@ -279,10 +273,10 @@ class Codec:
             if chunks is None:
                 out.append(None)
                 continue
-            ids: list[int] = []
-            for memory, c in zip(islice(cycle(self.memory), turn, None), chunks, strict=False):
-                ids += memory[c]
-            out.append(np.array(ids, dtype=np.int32))
+            parts: list[list[int]] = [[]] * len(chunks)
+            for j in range(min(VARIANTS, len(chunks))):
+                parts[j::VARIANTS] = map(self.memory[(turn + j) % VARIANTS].__getitem__, chunks[j::VARIANTS])
+            out.append(np.fromiter(chain.from_iterable(parts), dtype=np.int32))
         return out
 
     def decode(self, ids: np.ndarray | None) -> str | None:
