@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ DROPOUT = 0.1
 #: A chunk's occurrences take turns among so many differently keyed segmentations, each document
 #: starting at a keyed one; they are remembered, MEMORY of them in a task before it starts anew.
 VARIANTS = 4
-MEMORY = 600_000
+MEMORY = 250_000
 #: Chunks of up to so many characters go through the agenda together in numpy, longer ones by heap.
 TOGETHER = 32
 SPACE = "▁"
@@ -60,6 +59,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 class Codec:
     """Encoder and decoder of one model; picklable data, tables built where it is used."""
 
@@ -111,7 +114,7 @@ class Codec:
         self.lengths = np.array([len(c) for c in contents], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.limit = min(_MASK, int(self.dropout * 2**64))
-        self.memory: list[dict[str, list[int]]] = [{} for _ in range(VARIANTS)]
+        self.memory: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self._ready = True
 
     # --- one chunk at a time, by heap -------------------------------------------------------
@@ -176,8 +179,8 @@ class Codec:
             good &= _mixed(key + u(a, _B) + u(b, _C) + u(c, _D)) >= np.uint64(self.limit)
         return np.where(good, self.candidates[at], _NONE)
 
-    def together(self, chunks: list[str], variants: np.ndarray) -> list[list[int]]:
-        """by_heap for many chunks of at most TOGETHER characters, one merge of each in a step."""
+    def together(self, chunks: list[str], variants: np.ndarray) -> list[bytes]:
+        """by_heap for many chunks of at most TOGETHER characters, one merge of each in a step; ids as int32 bytes."""
         sizes = np.array([len(c) for c in chunks])
         n, width = len(chunks), int(sizes.max())
         points = np.zeros((n, width), dtype=np.int64)
@@ -222,12 +225,13 @@ class Codec:
                 offer[rows[last], np.minimum(best[last], width - 2)] = _NONE
         plain = ((symbol >= 0) & (symbol < self.n_pieces)) | (np.arange(width)[None, :] >= count[:, None])
         easy = plain.all(axis=1)
-        out: list[list[int]] = []
-        for r, (row, size) in enumerate(zip(symbol.tolist(), count.tolist(), strict=True)):
+        out: list[bytes] = []
+        data, step = symbol.astype(np.int32).tobytes(), 4 * width
+        for r, size in enumerate(count.tolist()):
             if easy[r]:
-                out.append(row[:size])
+                out.append(data[r * step : r * step + 4 * size])
             else:
-                out.append([i for s, at in zip(row[:size], start[r, :size].tolist(), strict=True) for i in self._spell(s, int(points[r, at]))])
+                out.append(_packed([i for s, at in zip(symbol[r, :size].tolist(), start[r, :size].tolist(), strict=True) for i in self._spell(s, int(points[r, at]))]))
         return out
 
     # --- texts ---------------------------------------------------------------------------------
@@ -256,7 +260,7 @@ class Codec:
             for j in range(min(VARIANTS, len(chunks))):
                 v = (turn + j) % VARIANTS
                 missing.update(dict.fromkeys((v, c) for c in set(chunks[j::VARIANTS]).difference(self.memory[v])))
-        own = self.byte_ids[list(SPACE.encode())].tolist()
+        own = _packed(self.byte_ids[list(SPACE.encode())].tolist())
         short = [x for x in missing if 0 < len(x[1]) <= TOGETHER]
         short.sort(key=lambda x: len(x[1]))
         for i in range(0, len(short), 8192):
@@ -265,7 +269,7 @@ class Codec:
                 self.memory[v][c] = ids
         for v, c in missing:
             if len(c) > TOGETHER:
-                self.memory[v][c] = self.by_heap(c, v)
+                self.memory[v][c] = _packed(self.by_heap(c, v))
             elif not c:
                 self.memory[v][c] = own
         out: list[np.ndarray | None] = []
@@ -273,10 +277,10 @@ class Codec:
             if chunks is None:
                 out.append(None)
                 continue
-            parts: list[list[int]] = [[]] * len(chunks)
+            parts: list[bytes] = [b""] * len(chunks)
             for j in range(min(VARIANTS, len(chunks))):
                 parts[j::VARIANTS] = map(self.memory[(turn + j) % VARIANTS].__getitem__, chunks[j::VARIANTS])
-            out.append(np.fromiter(chain.from_iterable(parts), dtype=np.int32))
+            out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
         return out
 
     def decode(self, ids: np.ndarray | None) -> str | None:
@@ -291,7 +295,7 @@ class Codec:
         return self.contents[at].tobytes().decode("utf-8", "replace")[1:]
 
 
-def _batches(column: pa.Array, keys: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[str | None], list[str]]]:
+def _batches(column: pa.Array, keys: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[str | None], list[str]]]:
     """(first row, texts, keys) of pieces of about ``size`` characters."""
     texts, names = column.to_pylist(), ["" if k is None else str(k) for k in keys.to_pylist()]
     at = n = 0
