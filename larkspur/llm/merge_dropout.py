@@ -3,14 +3,17 @@
 Text is escaped as the model does (a dummy space in front, spaces as U+2581) and cut into chunks
 that no piece of the model crosses. In a chunk, the agenda holds the adjacent pairs whose join is a
 piece; the best score goes first, the leftmost among equals. A candidate is skipped for good if its
-keyed hash (seed, variant, chunk, its bounds) falls below the dropout rate. Characters that end up
-without a piece are coded as bytes, so every text decodes to itself.
+keyed hash (seed, document, the chunk's place and characters, its bounds) falls below the dropout rate,
+so every occurrence of a word is segmented for itself. What is remembered of a chunk has no chance in
+it: the merges the agenda makes after given ones were skipped (a candidate whose turn never comes
+cannot change them). Characters that end up without
+a piece are coded as bytes, so every text decodes to itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +26,19 @@ from pyspark.sql import functions as F
 from larkspur.session import ship
 
 DROPOUT = 0.1
-#: A chunk's occurrences take turns among so many differently keyed segmentations, each document
-#: starting at a keyed one; they are remembered, MEMORY of them in a task before it starts anew.
-VARIANTS = 4
+#: An occurrence's variant, from its document and place, is one of so many.
+VARIANTS = 1 << 64
+#: Courses of the agenda that a task remembers before it starts anew.
 MEMORY = 250_000
+#: Occurrences that draw together.
+BLOCK = 1 << 17
 #: Chunks of up to so many characters go through the agenda together in numpy, longer ones by heap.
 TOGETHER = 32
 SPACE = "▁"
 _CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MASK = (1 << 64) - 1
-#: A candidate's number has the rank of its score from bit _ID on; _NONE is no candidate.
-_ID, _PIECE, _NONE = 32, (1 << 32) - 1, np.int64(2**62)
+#: The rank of no candidate.
+_NONE = np.int32(2**31 - 1)
 _A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 
 
@@ -59,6 +64,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
+def _roomy(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer copy, with room for ``size`` entries."""
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array), 1024), dtype=array.dtype)])
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype=np.int32).tobytes()
 
@@ -108,22 +122,33 @@ class Codec:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         rank = {score: i for i, score in enumerate(sorted({score for _, score in pairs.values()}, reverse=True))}
-        # A candidate's number: the rank of its score (equal scores are equal) above its piece.
-        self.candidates = np.array([rank[pairs[k][1]] << _ID | pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
+        # The rank of each pair's score (equal scores are equal) and its piece.
+        self.ranks = np.array([rank[pairs[k][1]] for k in self.keys.tolist()], dtype=np.int32)
+        self.joined = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int32)
         self.contents = np.frombuffer(b"".join(contents), dtype=np.uint8)
         self.lengths = np.array([len(c) for c in contents], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.limit = min(_MASK, int(self.dropout * 2**64))
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self._forget()
         self._ready = True
 
+    def _forget(self) -> None:
+        """Empty the memory. A node stands for a chunk and the candidates skipped in it so far."""
+        self.roots: dict[str, int] = {}
+        self.nodes: list[tuple[str, tuple[int, ...]]] = []
+        #: The ids of each node's chunk if nothing else is skipped.
+        self.spelt: list[bytes] = []
+        #: The chunk's hash, the number of merges already decided, and where those still open lie.
+        self.marks, self.decided = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: The open merges in order, and the node behind each if it is the next one skipped (0: not made yet).
+        self.codes, self.behind, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
     # --- one chunk at a time, by heap -------------------------------------------------------
 
-    def _key(self, points: list[int], variant: int) -> int:
-        key = (self.seed * _D + variant * _B) & _MASK
-        for p in points:
-            key = (key * _A + p + 1) & _MASK
-        return key
+    @staticmethod
+    def _key(chunk: str, variant: int) -> int:
+        return _mix((variant + _hashed(chunk)) & _MASK)
 
     def _spell(self, symbol: int, point: int) -> list[int]:
         """A final symbol's ids: its own, or its character's bytes."""
@@ -134,7 +159,7 @@ class Codec:
     def by_heap(self, chunk: str, variant: int) -> list[int]:
         """The agenda as it is written in the module's head; time n log n in the chunk's length."""
         points = [ord(c) for c in chunk]
-        n, key = len(points), self._key(points, variant)
+        n, key = len(points), self._key(chunk, variant)
         symbol = [self.symbol_of.get(p, -1) for p in points]
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, int, int, int]] = []
@@ -169,70 +194,148 @@ class Codec:
 
     # --- many short chunks at a time, in step ------------------------------------------------
 
-    def _look(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The number of each candidate, or _NONE (no piece, or dropped)."""
-        pair = left << np.int64(32) | right
-        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        good = (left >= 0) & (right >= 0) & (self.keys[at] == pair)
-        if self.limit:
-            u = lambda x, by: x.astype(np.uint64) * np.uint64(by)
-            good &= _mixed(key + u(a, _B) + u(b, _C) + u(c, _D)) >= np.uint64(self.limit)
-        return np.where(good, self.candidates[at], _NONE)
+    def _courses(self, chunks: list[str], skipped: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The agenda of chunks of 1 to TOGETHER characters, one merge of each in a step, without the skipped candidates.
 
-    def together(self, chunks: list[str], variants: np.ndarray) -> list[bytes]:
-        """by_heap for many chunks of at most TOGETHER characters, one merge of each in a step; ids as int32 bytes."""
+        Gives the ids as int32 bytes, and the rows and codes of the merges, by row in their order.
+        """
         sizes = np.array([len(c) for c in chunks])
-        n, width = len(chunks), int(sizes.max())
+        n, width = len(chunks), int(sizes.max()) + 1
         points = np.zeros((n, width), dtype=np.int64)
-        inside = np.arange(width)[None, :] < sizes[:, None]
-        points[inside] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        key = (np.uint64(self.seed * _D & _MASK) + variants.astype(np.uint64) * np.uint64(_B)) * np.ones(n, dtype=np.uint64)
-        for j in range(width):
-            key = np.where(inside[:, j], key * np.uint64(_A) + points[:, j].astype(np.uint64) + np.uint64(1), key)
+        alive = np.arange(width)[None, :] < sizes[:, None]
+        points[alive] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        without = np.zeros((n, max(map(len, skipped))), dtype=np.uint64)  # 0 is no candidate's code
+        for r, codes in enumerate(skipped):
+            without[r, : len(codes)] = codes
         symbol = np.where(points < 0x3000, self.low[np.minimum(points, 0x2FFF)], -1)
-        for r, j in zip(*np.nonzero(inside & (points >= 0x3000)), strict=True):
+        for r, j in zip(*np.nonzero(points >= 0x3000), strict=True):
             symbol[r, j] = self.symbol_of.get(int(points[r, j]), -1)
-        symbol[~inside] = -1
-        # Bounds: start of each symbol, and after a row's last one its size; ends are the next starts.
-        start = np.minimum(np.broadcast_to(np.arange(width + 1), (n, width + 1)), sizes[:, None])
-        count = sizes.copy()
-        if width > 1:
-            wide = np.broadcast_to(key[:, None], (n, width - 1))
-            offer = self._look(symbol[:, :-1], symbol[:, 1:], wide, start[:, :-2], start[:, 1:-1], start[:, 2:])
-            rows = np.arange(n)
-            while True:
-                best = (offer[rows] >> _ID).argmin(axis=1)
-                chosen = offer[rows, best]
-                live = chosen != _NONE
-                rows, best, chosen = rows[live], best[live], chosen[live]
-                if not len(rows):
-                    break
-                # The pair at best becomes one symbol; what stands behind moves one place forward.
-                columns = np.arange(width)[None, :]
-                behind = columns > best[:, None]
-                symbol[rows, :-1] = np.where(behind[:, :-1], symbol[rows, 1:], symbol[rows, :-1])
-                symbol[rows, -1] = -1
-                symbol[rows, best] = chosen & _PIECE
-                start[rows, :-1] = np.where(behind, start[rows, 1:], start[rows, :-1])
-                count[rows] -= 1
-                offer[rows, :-1] = np.where(behind[:, : width - 2], offer[rows, 1:], offer[rows, :-1])
-                offer[rows, -1] = _NONE
-                for i in (best, best - 1):
-                    real = (i >= 0) & (i + 1 < count[rows])
-                    r, j = rows[real], i[real]
-                    offer[r, j] = self._look(symbol[r, j], symbol[r, j + 1], key[r], start[r, j], start[r, j + 1], start[r, j + 2])
-                last = best + 1 >= count[rows]  # no pair begins at a row's last symbol
-                offer[rows[last], np.minimum(best[last], width - 2)] = _NONE
-        plain = ((symbol >= 0) & (symbol < self.n_pieces)) | (np.arange(width)[None, :] >= count[:, None])
-        easy = plain.all(axis=1)
-        out: list[bytes] = []
-        data, step = symbol.astype(np.int32).tobytes(), 4 * width
-        for r, size in enumerate(count.tolist()):
-            if easy[r]:
-                out.append(data[r * step : r * step + 4 * size])
-            else:
-                out.append(_packed([i for s, at in zip(symbol[r, :size].tolist(), start[r, :size].tolist(), strict=True) for i in self._spell(s, int(points[r, at]))]))
-        return out
+        # A symbol stands at its first character; all places are counted through the rows.
+        symbol = symbol.ravel()
+        after, before = (np.tile(np.arange(width) + k, n) for k in (1, -1))
+        rank, piece = np.full((n, width), _NONE, dtype=np.int32), np.zeros(n * width, dtype=np.int32)
+        ranks = rank.ravel()
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def code(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return a.astype(np.uint64) * np.uint64(_B) + b.astype(np.uint64) * np.uint64(_C) + c.astype(np.uint64) * np.uint64(_D)
+
+        def offer(r: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+            base = r * width
+            left, right = symbol[base + a], symbol[base + b]
+            pair = left << np.int64(32) | right
+            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            good = (left >= 0) & (right >= 0) & (self.keys[at] == pair)
+            if without.shape[1]:
+                good &= (without[r] != code(a, b, c)[:, None]).all(axis=1)
+            ranks[base + a] = np.where(good, self.ranks[at], _NONE)
+            piece[base + a] = self.joined[at]
+
+        r, a = np.nonzero(alive[:, 1:])
+        offer(r, a, a + 1, a + 2)
+        rows = np.arange(n)
+        while True:
+            best = rank[rows].argmin(axis=1)
+            live = rank[rows, best] != _NONE
+            rows, best = rows[live], best[live]
+            if not len(rows):
+                break
+            base = rows * width
+            at, b = base + best, after[base + best]
+            c = after[base + b]
+            made.append((rows, code(best, b, c)))
+            symbol[at], after[at], before[base + c] = piece[at], c, best
+            alive.ravel()[base + b] = False
+            ranks[at] = ranks[base + b] = _NONE
+            real = c < sizes[rows]
+            offer(rows[real], best[real], c[real], after[base[real] + c[real]])
+            left = before[at]
+            real = left >= 0
+            offer(rows[real], left[real], best[real], c[real])
+        symbol = symbol.reshape(n, width)
+        easy = (~alive | (symbol >= 0) & (symbol < self.n_pieces)).all(axis=1).tolist()
+        data, stops = symbol[alive].astype(np.int32).tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        out = [data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+        for r, plain in enumerate(easy):
+            if not plain:
+                out[r] = _packed([i for j in np.flatnonzero(alive[r]).tolist() for i in self._spell(int(symbol[r, j]), int(points[r, j]))])
+        of, codes = (np.concatenate([x[k] for x in made]) if made else np.zeros(0, t) for k, t in ((0, np.int64), (1, np.uint64)))
+        order = np.argsort(of, kind="stable")
+        return out, of[order], codes[order]
+
+    def _remember(self, chunks: list[str], skipped: list[tuple[int, ...]], decided: list[int], marks: list[int]) -> np.ndarray:
+        """Make nodes; their numbers."""
+        start, n = len(self.nodes), len(chunks)
+        self.marks, self.decided, self.first, self.open = (_roomy(x, start + n) for x in (self.marks, self.decided, self.first, self.open))
+        numbers = np.zeros(n, dtype=np.int64)
+        order = sorted(range(n), key=lambda i: len(chunks[i]))
+        for i in range(0, n, 8192):
+            part = order[i : i + 8192]
+            at = len(self.nodes) + np.arange(len(part))
+            numbers[part] = at
+            ids, of, codes = self._courses([chunks[k] for k in part], [skipped[k] for k in part])
+            # A node keeps the merges that come in place of the one skipped last, and after it.
+            done = np.array([decided[k] for k in part], dtype=np.int64)
+            total = np.bincount(of, minlength=len(part))
+            later = np.arange(len(of)) - (np.cumsum(total) - total)[of] >= done[of]
+            size = int(later.sum())
+            self.codes, self.behind = (_roomy(x, self.used + size) for x in (self.codes, self.behind))
+            self.codes[self.used : self.used + size], self.behind[self.used : self.used + size] = codes[later], 0
+            self.open[at] = rest = total - done
+            self.first[at] = self.used + np.cumsum(rest) - rest
+            self.marks[at], self.decided[at] = np.array([marks[k] for k in part], dtype=np.uint64), done
+            self.used += size
+            self.spelt += ids
+            self.nodes += [(chunks[k], skipped[k]) for k in part]
+        return numbers
+
+    def _root(self, chunks: list[str]) -> None:
+        """Remember chunks of at most TOGETHER characters; an empty one stands for a U+2581 of the text."""
+        if not self.nodes:  # node 0 is none
+            self._remember(["x"], [()], [0], [0])
+        if "" in chunks:
+            chunks = [c for c in chunks if c]
+            self.roots[""] = at = int(self._remember([SPACE], [()], [0], [0])[0])
+            self.spelt[at], self.open[at] = _packed(self.byte_ids[list(SPACE.encode())].tolist()), 0
+        if chunks:
+            self.roots.update(zip(chunks, self._remember(chunks, [()] * len(chunks), [0] * len(chunks), [_hashed(c) for c in chunks]).tolist(), strict=True))
+
+    def _draw(self, nodes: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """The last node of each occurrence: from a chunk's own node, on with each merge that its hash skips."""
+        nodes = nodes.copy()
+        keys = _mixed(variants + self.marks[nodes])
+        going = np.arange(len(nodes) if self.limit else 0)
+        while len(going):
+            node = nodes[going]
+            size = self.open[node]
+            owner = np.repeat(np.arange(len(going)), size)
+            at = np.repeat(self.first[node] - (np.cumsum(size) - size), size) + np.arange(len(owner))
+            below = np.flatnonzero(_mixed(keys[going][owner] + self.codes[at]) < np.uint64(self.limit))
+            who = owner[below]
+            lead = np.ones(len(who), dtype=bool)
+            lead[1:] = who[1:] != who[:-1]
+            who, spot = who[lead], at[below[lead]]
+            new, where = np.unique(np.where(self.behind[spot] == 0, spot, -1), return_index=True)
+            new, where = new[new >= 0], where[new >= 0]
+            if len(new):
+                parents = node[who[where]]
+                known = [self.nodes[p] for p in parents.tolist()]
+                decided = self.decided[parents] + new - self.first[parents]
+                skipped = [(*codes, c) for (_, codes), c in zip(known, self.codes[new].tolist(), strict=True)]
+                made = self._remember([c for c, _ in known], skipped, decided.tolist(), self.marks[parents].tolist())
+                self.behind[new] = made
+            going = going[who]
+            nodes[going] = self.behind[spot]
+        return nodes
+
+    def together(self, chunks: list[str], variants: np.ndarray) -> list[bytes]:
+        """by_heap for many chunks of at most TOGETHER characters; ids as int32 bytes."""
+        self._root(list(set(chunks).difference(self.roots)))
+        nodes = np.fromiter(map(self.roots.__getitem__, chunks), np.int64, len(chunks))
+        variants = variants.astype(np.uint64)
+        for i in range(0, len(chunks), BLOCK):
+            nodes[i : i + BLOCK] = self._draw(nodes[i : i + BLOCK], variants[i : i + BLOCK])
+        return list(map(self.spelt.__getitem__, nodes.tolist()))
 
     # --- texts ---------------------------------------------------------------------------------
 
@@ -240,48 +343,29 @@ class Codec:
         """The ids of each text; None for None, no ids for an empty text."""
         if not self._ready:
             self._prepare()
-        if sum(map(len, self.memory)) > MEMORY:
-            self.memory = [{} for _ in range(VARIANTS)]
-        cut: list[list[str] | None] = []
-        turns = [zlib.crc32(f"{self.seed}:{k}".encode()) % VARIANTS for k in keys]
-        missing: dict[tuple[int, str], None] = {}
-        for text, turn in zip(texts, turns, strict=True):
-            if text is None:
-                cut.append(None)
-                continue
+        if len(self.nodes) > MEMORY:
+            self._forget()
+        chunks: list[str] = []
+        bounds = [0]
+        for text in texts:
             # A U+2581 of the text itself stands alone and is coded as bytes.
-            parts = (" " + text).split(SPACE) if text else []
-            chunks: list[str] = []
-            for i, part in enumerate(parts):
+            for i, part in enumerate((" " + text).split(SPACE) if text else []):
                 if i:
                     chunks.append("")
                 chunks += _CHUNK.findall(part.replace(" ", SPACE))
-            cut.append(chunks)
-            for j in range(min(VARIANTS, len(chunks))):
-                v = (turn + j) % VARIANTS
-                missing.update(dict.fromkeys((v, c) for c in set(chunks[j::VARIANTS]).difference(self.memory[v])))
-        own = _packed(self.byte_ids[list(SPACE.encode())].tolist())
-        short = [x for x in missing if 0 < len(x[1]) <= TOGETHER]
-        short.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(short), 8192):
-            part = short[i : i + 8192]
-            for (v, c), ids in zip(part, self.together([c for _, c in part], np.array([v for v, _ in part])), strict=True):
-                self.memory[v][c] = ids
-        for v, c in missing:
-            if len(c) > TOGETHER:
-                self.memory[v][c] = _packed(self.by_heap(c, v))
-            elif not c:
-                self.memory[v][c] = own
-        out: list[np.ndarray | None] = []
-        for chunks, turn in zip(cut, turns, strict=True):
-            if chunks is None:
-                out.append(None)
-                continue
-            parts: list[bytes] = [b""] * len(chunks)
-            for j in range(min(VARIANTS, len(chunks))):
-                parts[j::VARIANTS] = map(self.memory[(turn + j) % VARIANTS].__getitem__, chunks[j::VARIANTS])
-            out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
-        return out
+            bounds.append(len(chunks))
+        sizes = np.diff(bounds)
+        starts = np.array([_hashed(f"{self.seed}:{k}") for k in keys], dtype=np.uint64)
+        places = np.arange(len(chunks)) - np.repeat(np.array(bounds[:-1], dtype=np.int64), sizes)
+        variants = np.repeat(starts, sizes) + places.astype(np.uint64) * np.uint64(_A)
+        long = [i for i, c in enumerate(chunks) if len(c) > TOGETHER]
+        spelt = {i: _packed(self.by_heap(chunks[i], int(variants[i]))) for i in long}
+        for i in long:
+            chunks[i] = ""
+        coded = self.together(chunks, variants)
+        for i, ids in spelt.items():
+            coded[i] = ids
+        return [None if t is None else np.frombuffer(b"".join(coded[a:b]), dtype=np.int32) for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         """The text of ids: their bytes, without the dummy space."""

@@ -62,6 +62,19 @@ def test_segmentations_vary_and_repeat_by_seed():
     assert a == b != c and len({tuple(x) for x in (a[i : i + 4] for i in range(20))}) > 1 and len(a) > len(LIBRARY.encode(text))
 
 
+def test_every_occurrence_of_a_word_is_segmented_for_itself():
+    n, words = 2000, ["\u2581international", "\u2581international", "\u2581x"]
+    coded = merge_dropout.Codec(MODEL, 0.1, 3).encode([" ".join(w[1:] for w in words)] * n, [str(i) for i in range(n)])
+    starts = [merge_dropout._hashed(f"3:{i}") for i in range(n)]
+    codec = merge_dropout.Codec(MODEL, 0.1, 3)
+    codec.encode([""], [""])
+    want = [[codec.by_heap(w, (s + j * merge_dropout._A) % merge_dropout.VARIANTS) for j, w in enumerate(words)] for s in starts]
+    assert [x.tolist() for x in coded] == [sum(w, []) for w in want]
+    for j in (0, 1):
+        assert len({tuple(w[j]) for w in want}) > 20
+    assert 0.3 < sum(w[0] != w[1] for w in want) / n < 0.95
+
+
 def test_encoded_documents(spark, odd):
     got = merge_dropout.encode_documents(odd, MODEL)
     assert got.count() == len(ODD) and got.filter("not lossless").count() == 0 and got.filter("ids is null").count() == 2
