@@ -21,6 +21,8 @@ from larkspur.session import ship
 #: Lines in a window, and the length its sum must reach for a surge.
 WINDOW = 3
 SURGE = 86
+#: What stands in an <article> or <main> weighs so many times as much when the block is chosen.
+FAVOUR = 2
 
 # Element names of HTML by their role here.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -163,9 +165,11 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     A line weighs its length, a barred one nothing; bars stand as empty lines around boilerplate.
     sum(i) is the weight of lines i .. i + window - 1 up to the next bar. A run begins where the sum
     surges to ``surge`` and takes in the lines before it since the last bar; it ends where the weight
-    dives to nothing: at the next bar. Of the runs with a surge, those in an <article> or <main> are
-    kept, or without such elements the heaviest. If no run surges, the heaviest run is taken, those
-    in an <article> or <main> first.
+    dives to nothing: at the next bar or the border of an <article> or <main>. The weights of the runs
+    with a surge choose the block: those of one <article> or <main> count together and FAVOUR times,
+    any other run counts alone. If an element wins, its runs are kept, with or without a surge, and the
+    surging runs of other such elements; if a run wins, it and the surging ones of at least half its
+    weight. If no run surges, all are weighed so.
     """
     runs: list[list[Line]] = [[]]
     for line in lines:
@@ -186,16 +190,16 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     def surges(run: list[Line]) -> bool:
         return any(sum(len(x.text) for x in run[i : i + window]) >= surge for i in range(len(run)))
 
-    inside = [r for r in runs if r[0].inside]
-    if inside:
-        totals: dict[int, int] = {}
-        for r in inside:
-            totals[r[0].inside] = totals.get(r[0].inside, 0) + weight(r)
-        best = max(totals, key=lambda k: (totals[k], -k))
-        kept = [r for r in inside if r[0].inside == best or surges(r)]
+    found = [r for r in runs if surges(r)] or runs
+    totals: Counter[int] = Counter()
+    for r in found:
+        totals[r[0].inside] += weight(r) * FAVOUR
+    del totals[0]
+    best = max(totals, key=lambda k: (totals[k], -k), default=0)
+    heaviest = max(found, key=weight)
+    if best and totals[best] >= weight(heaviest):
+        kept = [r for r in runs if r[0].inside == best or r[0].inside and surges(r)]
     else:
-        found = [r for r in runs if surges(r)] or runs
-        heaviest = max(found, key=weight)
         kept = [r for r in runs if r is heaviest or surges(r) and weight(r) * 2 >= weight(heaviest)]
     return [x.text for r in kept for x in r]
 

@@ -147,6 +147,13 @@ def test_main_text(page, text):
     assert html_extract.extract(page) == text
 
 
+def test_the_sums_choose_the_block_and_not_the_element_name():
+    teaser, story = "<article><p>Read more here</p></article>", f"<nav>m</nav><div><h1>Title</h1><p>{LONG * 3}</p></div><nav>m</nav>"
+    assert html_extract.extract(teaser + story) == "Title\n" + (LONG * 3).strip()
+    lines = html_extract.lines_of(f"<article><p>{'x' * 60}</p></article><nav>m</nav><div><p>{'y' * 100}</p></div>")
+    assert html_extract.main_lines(lines, surge=50) == ["x" * 60] and html_extract.main_lines(lines, surge=86) == ["y" * 100]
+
+
 def test_articles_of_the_pages_are_found_whole(spark):
     import html
 
