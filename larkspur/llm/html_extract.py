@@ -10,6 +10,7 @@ import html as entities
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -33,6 +34,7 @@ BLOCKS = frozenset(
 )
 BOILERPLATE = frozenset("nav header footer aside form menu dialog head template button select option datalist svg canvas object audio video map noscript iframe".split())
 MAIN = frozenset("article main".split())
+BOXES = MAIN | frozenset("body section div center td".split())
 #: Elements whose start ends an open paragraph, and what an item or cell of a kind ends.
 ENDS_P = BLOCKS - frozenset("br body html head caption tbody td tfoot th thead tr option optgroup legend".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -48,13 +50,24 @@ _ATTRIBUTE = regex.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 _TAG_END = regex.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 
 
+@dataclass(eq=False)
+class Box:
+    """An element that holds lines first .. stop - 1; top: the page or its body."""
+
+    parent: Box | None
+    top: bool
+    first: int
+    stop: int = 0
+
+
 @dataclass
 class Line:
-    """The text of a block; barred lines hold boilerplate and weigh nothing; inside: in an article."""
+    """The text of a block; barred lines hold boilerplate and weigh nothing; inside: in an article; holder: the box around it."""
 
     text: str
     barred: bool
     inside: int
+    holder: Box | None = None
 
 
 @dataclass
@@ -64,6 +77,7 @@ class _State:
     barred: int = 0
     regions: list[int] = field(default_factory=list)
     region: int = 0
+    boxes: list[Box] = field(default_factory=lambda: [Box(None, True, 0)])
 
 
 def lines_of(page: str) -> list[Line]:
@@ -77,7 +91,7 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Line(text, state.barred > 0, state.regions[-1] if state.regions else 0))
+            out.append(Line(text, state.barred > 0, state.regions[-1] if state.regions else 0, state.boxes[-1]))
 
     def bar() -> None:
         out.append(Line("", True, 0))
@@ -92,6 +106,8 @@ def lines_of(page: str) -> list[Line]:
             bar()
         if name in MAIN and state.regions:
             state.regions.pop()
+        if name in BOXES:
+            state.boxes.pop().stop = len(out)
 
     def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         if not any(state.counts[x] for x in names):
@@ -153,9 +169,13 @@ def lines_of(page: str) -> list[Line]:
         if name in MAIN:
             state.region += 1
             state.regions.append(state.region if not state.regions else state.regions[-1])
+        if name in BOXES:
+            state.boxes.append(Box(state.boxes[-1], name == "body", len(out)))
         state.open.append((name, barred))
         state.counts[name] += 1
     flush()
+    for box in state.boxes:
+        box.stop = len(out)
     return out
 
 
@@ -168,18 +188,26 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     dives to nothing: at the next bar or the border of an <article> or <main>. The weights of the runs
     with a surge choose the block: those of one <article> or <main> count together and FAVOUR times,
     any other run counts alone. If an element wins, its runs are kept, with or without a surge, and the
-    surging runs of other such elements; if a run wins, it and the surging ones of at least half its
-    weight. If no run surges, all are weighed so.
+    surging runs of other such elements. If a run wins, all runs in the innermost box (div, section ...)
+    around most of it are kept, with or without a surge (of the body, those directly in it), and the
+    surging runs that stand in the box around that one (below the body), between the first and the last of these, or have half its weight anywhere.
+    Runs that come in by a box are cut at its borders. If no run surges, all are weighed so.
     """
     runs: list[list[Line]] = [[]]
-    for line in lines:
-        if line.barred:
-            if runs[-1]:
+    starts: list[int] = [0]
+    for at, line in enumerate(lines):
+        if line.barred or not line.text:
+            if line.barred and runs[-1]:
                 runs.append([])
-        elif line.text:
-            if runs[-1] and runs[-1][-1].inside != line.inside:
-                runs.append([])
-            runs[-1].append(line)
+                starts.append(0)
+            continue
+        if runs[-1] and runs[-1][-1].inside != line.inside:
+            runs.append([])
+            starts.append(0)
+        if not runs[-1]:
+            starts[-1] = at
+        runs[-1].append(line)
+    starts = [at for at, r in zip(starts, runs, strict=True) if r]
     runs = [r for r in runs if r]
     if not runs:
         return []
@@ -200,7 +228,33 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     if best and totals[best] >= weight(heaviest):
         kept = [r for r in runs if r[0].inside == best or r[0].inside and surges(r)]
     else:
-        kept = [r for r in runs if r is heaviest or surges(r) and weight(r) * 2 >= weight(heaviest)]
+        boxes: Counter[Box | None] = Counter()
+        for x in heaviest:
+            boxes[x.holder] += len(x.text)
+        box = max(boxes, key=boxes.__getitem__)
+        near = box.parent if box and box.parent and not box.parent.top else box
+
+        def nearness(at: int, line: Line) -> int:
+            """2 in the box, 1 in the box around it, 0 elsewhere; of a page or body counts only what is directly in it."""
+            for level, around in ((2, box), (1, near)):
+                if around is None or around.top:
+                    if line.holder is around:
+                        return level
+                elif around.first <= at < around.stop:
+                    return level
+            return 0
+
+        # Runs that do not stand by their weight are cut at the borders of the boxes.
+        parts: list[tuple[bool, list[Line]]] = []
+        for at, r in zip(starts, runs, strict=True):
+            if r is heaviest or surges(r) and weight(r) * 2 >= weight(heaviest):
+                parts.append((True, r))
+                continue
+            for level, group in groupby(enumerate(r, at), lambda x: nearness(*x)):
+                part = [x for _, x in group]
+                parts.append((level == 2 or level == 1 and surges(part), part))
+        marked = [i for i, (good, _) in enumerate(parts) if good]
+        kept = [part for i, (good, part) in enumerate(parts) if good or marked[0] < i < marked[-1] and surges(part)]
     return [x.text for r in kept for x in r]
 
 

@@ -154,6 +154,14 @@ def test_the_sums_choose_the_block_and_not_the_element_name():
     assert html_extract.main_lines(lines, surge=50) == ["x" * 60] and html_extract.main_lines(lines, surge=86) == ["y" * 100]
 
 
+@pytest.mark.parametrize("bar", ["<div class='ad'>Buy</div>", "<aside>Related</aside>", "<form>Join</form>"])
+@pytest.mark.parametrize(("start", "cut", "end"), [("<div class='post'>", "", "</div>"), ("<div><div>", "</div>", "</div>"), ("", "", "")])
+def test_an_article_in_plain_boxes_goes_on_behind_a_bar(start, cut, end, bar):
+    again = cut.replace("/", "")
+    page = f"<body><div>Site</div>{start}<h1>Title</h1><div class='share'>Share</div><p>{LONG * 5}</p>{cut}{bar}{again}<p>{LONG}</p>{cut}{end}<div>Imprint</div></body>"
+    assert html_extract.extract(page) == "\n".join(["Title", (LONG * 5).strip(), LONG.strip()])
+
+
 def test_articles_of_the_pages_are_found_whole(spark):
     import html
 
