@@ -8,7 +8,6 @@ occur. Windows around each match tell quotation from abuse; a logistic model sco
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ PREFIX = (4, 8)
 #: A term must be so much likelier in toxic documents, and its G statistic must stand at this level
 #: after dividing it by the number of candidates.
 LIFT, LEVEL = 5.0, 0.5
-#: Near words of clean documents that the model holds at most; they come from the bounded sample.
+#: Near words of the bounded sample that the model holds at most.
 MAX_INNOCENT = 100_000
 #: Edits allowed for terms of at least so many letters.
 EDITS = ((9, 2), (5, 1))
@@ -46,25 +45,22 @@ FEATURES = ("exact", "misspelt", "prefixed", "quoted", "share", "one")
 
 #: Prior means of the weights: what little data does not overrule. None but the last goes below 0.
 PRIOR = (4.0, 3.0, 1.5, 0.5, 1.0, -3.0)
-#: Terms that share a beginning of so many letters with so many others are one word family, whose
-#: other members are mostly innocent: they are matched without edits.
-FAMILY = (4, 2)
 
 
-def allowed_edits(terms: list[str]) -> dict[str, int]:
-    """Edits for each term: by its length, none in a family."""
-    kin = Counter(t[: FAMILY[0]] for t in terms)
-    return {t: 0 if kin[t[: FAMILY[0]]] > FAMILY[1] else next((k for n, k in EDITS if len(t) >= n), 0) for t in terms}
+def allowed_edits(terms: list[str], doubtful: frozenset[str] = frozenset()) -> dict[str, int]:
+    """Edits for each term: by its length, none for a doubtful one."""
+    return {t: 0 if t in doubtful else next((k for n, k in EDITS if len(t) >= n), 0) for t in terms}
 
 
 class Automaton:
     """Levenshtein automata of all terms, intersected with their trie, determinised as words need it."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], doubtful: frozenset[str] = frozenset()):
         self.children: list[dict[str, int]] = [{}]
         self.limit = [0]
         self.best = [-1]
-        for term, k in allowed_edits(terms).items():
+        self.term: dict[int, str] = {}
+        for term, k in allowed_edits(terms, doubtful).items():
             node = 0
             self.limit[0] = max(self.limit[0], k)
             for c in term:
@@ -76,6 +72,7 @@ class Automaton:
                 node = self.children[node][c]
                 self.limit[node] = max(self.limit[node], k)
             self.best[node] = k
+            self.term[node] = term
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -111,26 +108,36 @@ class Automaton:
         self.moves[state][c] = to = self._state(pairs)
         return to
 
-    def edits(self, word: str) -> int:
-        """The least number of edits to a term that allows them, or -1."""
+    def _run(self, word: str) -> int:
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
                 return -1
-        return self.accepts[state]
+        return state
+
+    def edits(self, word: str) -> int:
+        """The least number of edits to a term that allows them, or -1."""
+        state = self._run(word)
+        return -1 if state < 0 else self.accepts[state]
+
+    def near(self, word: str) -> list[str]:
+        """The terms that allow the edits to the word."""
+        state = self._run(word)
+        return [] if state < 0 else [self.term[node] for node, e in self.sets[state] if e <= self.best[node]]
 
 
 class Model:
     """Terms, prefixes and logistic weights; picklable: each task builds its automaton anew."""
 
-    def __init__(self, terms: list[str], prefixes: list[str], weights: list[float] | None = None, innocent: list[str] | None = None):
-        self.terms, self.prefixes, self.weights, self.innocent = sorted(terms), sorted(prefixes), weights or list(PRIOR), frozenset(innocent or ())
+    def __init__(self, terms: list[str], prefixes: list[str], weights: list[float] | None = None, innocent: list[str] | None = None, doubtful: list[str] | None = None, guilty: list[str] | None = None):
+        self.terms, self.prefixes, self.weights = sorted(terms), sorted(prefixes), weights or list(PRIOR)
+        self.innocent, self.doubtful, self.guilty = (frozenset(x or ()) for x in (innocent, doubtful, guilty))
         self._automaton: Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "prefixes": self.prefixes, "weights": self.weights, "innocent": self.innocent, "_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_stems": None, "_clean": None, "_hits": None}
 
     def _kind(self, word: str) -> str:
         """"exact", "misspelt", "prefixed" or ""."""
@@ -139,17 +146,18 @@ class Model:
             return "exact"
         if any(word[:n] in self._stems for n in range(PREFIX[0], min(PREFIX[1], len(word)) + 1)):
             return "prefixed"
-        return "misspelt" if e > 0 and word not in self.innocent else ""
+        return "misspelt" if word in self.guilty or e > 0 and word not in self.innocent else ""
 
     def misspelt(self, text: str | None) -> list[str]:
-        """The words of a text that count as misspelt terms."""
+        """The words of a text that count as misspelt terms; not those that are only quoted."""
         self.features(text)
-        return sorted(w for w in set(_WORD.findall((text or "").lower())) if self._hits.get(w) == "misspelt")
+        low = (text or "").lower()
+        return sorted({m[0] for m in _WORD.finditer(low) if self._hits.get(m[0]) == "misspelt" and not quoted(low, m.start(), m.end())})
 
     def features(self, text: str | None) -> list[float]:
         """Counts of matches by kind (log1p), their share of the words, and 1."""
         if self._automaton is None:
-            self._automaton, self._stems, self._clean, self._hits = Automaton(self.terms), frozenset(self.prefixes), set(), {}
+            self._automaton, self._stems, self._clean, self._hits = Automaton(self.terms, self.doubtful), frozenset(self.prefixes), set(), {}
         low = (text or "").lower()
         words = _WORD.findall(low)
         found = set()
@@ -238,6 +246,28 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     return w.tolist()
 
 
+def judge_near_words(seen: list[tuple[str, int, int]], terms: list[str], bad: int, clean: int) -> dict[str, list[str]]:
+    """What the near words of the sample, as (word, toxic documents, clean documents), tell of near words.
+
+    Innocent: used by clean documents, and not LIFT times likelier in toxic ones. Doubtful: terms whose
+    near words with one document (an unseen word is like these) are at least as usual in clean documents;
+    near words of theirs count only if they are guilty: in two toxic documents or more, LIFT times likelier.
+    """
+    automaton, once = Automaton(terms), {}
+    for word, t, c in seen:
+        if t + c == 1:
+            for term in automaton.near(word):
+                found = once.setdefault(term, [0, 0])
+                found[0] += t
+                found[1] += c
+    likelier = {w for w, t, c in seen if t * clean >= LIFT * (c + 0.5) * bad}
+    return {
+        "innocent": sorted(w for w, _, c in seen if c and w not in likelier),
+        "doubtful": sorted(term for term, (t, c) in once.items() if c and c * bad >= t * clean),
+        "guilty": sorted(w for w, t, _ in seen if t >= 2 and w in likelier),
+    }
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: str = "toxic") -> Model:
     """The model from (doc_id, text) rows and (doc_id, toxic) labels; rows without a label are left out.
 
@@ -249,11 +279,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: str = "t
     drawn = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, known.count())))
     sample = durable(docs.select("doc_id", "text").join(broadcast_if_small(drawn), "doc_id"))
     terms, prefixes = learn_terms(sample)
-    # Words near a term that clean documents use are words of their own.
+    # Words near a term that clean documents use more are words of their own; the most usual ones are held.
     first = docs.sparkSession.sparkContext.broadcast(Model(terms, prefixes))
     near = F.pandas_udf(lambda batch: pd.Series([first.value.misspelt(t) for t in batch]), "array<string>")
-    innocent = sample.filter("toxic = 0").select(F.explode(near("text")).alias("word")).distinct().limit(MAX_INNOCENT).collect()
-    model = Model(terms, prefixes, innocent=[r["word"] for r in innocent])
+    words = sample.select("toxic", F.explode(near("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    seen = [(r["word"], r["t"], r["n"] - r["t"]) for r in words.orderBy(F.desc("n"), "word").limit(MAX_INNOCENT).collect()]
+    total = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    model = Model(terms, prefixes, **judge_near_words(seen, terms, total["t"], total["n"] - total["t"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     measure = F.pandas_udf(lambda batch: pd.Series([shared.value.features(t) for t in batch]), "array<double>")
     found = sorted((list(r["x"]), r["toxic"]) for r in sample.select("toxic", measure("text").alias("x")).collect())

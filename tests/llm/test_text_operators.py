@@ -116,6 +116,22 @@ def test_quotation_is_told_from_abuse():
     assert abuse > 0.5 > quote and typo > 0.5 and model.score("a fine day") < 0.3 and model.score(None) == model.score("")
 
 
+def test_terms_of_a_family_are_matched_with_edits():
+    family = ["idiot", "idiots", "idiotic", "idiotically"]
+    assert all(toxicity.Automaton(family).edits(w) > 0 for w in ("idoots", "idjotic", "ideotically"))
+    judged = toxicity.judge_near_words([("idiom", 0, 1), ("idjot", 1, 0), ("idiat", 9, 1)], family, 100, 100)
+    assert judged == {"innocent": ["idiom"], "doubtful": ["idiot"], "guilty": ["idiat"]}
+    model = toxicity.Model(family, [], **judged)
+    assert model.misspelt("idiat idiom idxot ideotic") == ["ideotic", "idiat"]
+
+
+def test_one_clean_document_does_not_make_a_misspelling_innocent(spark):
+    said = [("you clown you " + "clovn " * (i < 20), 1) for i in range(60)] + [("a fine day", 0)] * 118 + [("a clovn day", 0), ('she said "you clovn" again', 0), ("a clawn day", 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(said)], "doc_id long, toxic int"))
+    assert "clown" in model.terms and "clovn" not in model.innocent and "clawn" in model.innocent
+
+
 def test_toxicity_on_odd_rows_and_held_out_rows(spark, odd):
     model = toxicity.Model(TERMS, [])
     got = toxicity.score_toxicity(odd, model)
