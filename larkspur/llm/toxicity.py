@@ -20,7 +20,7 @@ from larkspur.llm.common import broadcast_if_small, durable, uniform
 from larkspur.session import ship
 
 #: The fit reads about so many labelled rows (those of least hash) and keeps so many terms at most.
-FIT_ROWS = 8_000
+FIT_ROWS = 20_000
 MAX_TERMS = 5_000
 #: A prefix that is a term by itself has so many letters.
 PREFIX = (4, 8)
