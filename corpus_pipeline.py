@@ -11,37 +11,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, merge_dropout, mixing, near_dedup, quality
-from larkspur.llm.common import broadcast_if_small, durable, shared_table
+from larkspur.llm.common import broadcast_if_small, durable, shared_table, unused
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compression classifier accepts."""
-    dictionaries = language_id.fit_dictionaries(docs.select("doc_id", "text", "lang"))
-    return language_id.identify(docs, dictionaries).filter(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language the compression classifier accepts.
+
+    Null texts and texts without a letter go; repeated rows are judged alike; without any ``lang`` all go.
+    """
+    (row,) = unused(docs, "row")
+    classifier = language_id.fit(docs.select("doc_id", "text", "lang"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "text")
+    return language_id.identify(whole, classifier).filter(~F.col("rejected")).select(f"{row}.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier does not reject."""
+    """Documents that the weak-label classifier does not reject. Null and blank texts go; repeated rows are judged alike."""
+    (row,) = unused(docs, "row")
     scorer, _ = quality.fit(docs.select("doc_id", "text"))
-    return quality.score_quality(docs, scorer).filter(~F.col("rejected")).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "text")
+    return quality.score_quality(whole, scorer).filter(~F.col("rejected")).select(f"{row}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more).
 
-    Of rows that share the kept doc_id, the one with the least digests stays; a null doc_id stays.
+    Rows go by their texts, not by doc_id: a text's hash is its id in the search, so texts that share a
+    doc_id or have none are judged each on its own. Of the rows of a kept text the one with the least
+    doc_id stays (null last). Rows without words are like no others and all stay.
     """
-    found = near_dedup.near_duplicates(docs, width=5, percent=80, bands=PIPELINE_BANDS)
-    kept = durable(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    single = docs.join(broadcast_if_small(kept.select("doc_id"), near_dedup.PICK_ROWS), "doc_id", "left_semi")
-    repeated = kept.filter("n > 1").select("doc_id", F.lit(True).alias("_repeated"))
-    marked = single.join(broadcast_if_small(repeated), "doc_id", "left")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    again = marked.filter("_repeated").withColumn("_n", first).filter("_n = 1")
-    columns = docs.columns
-    return marked.filter("_repeated is null").select(*columns).unionByName(again.select(*columns)).unionByName(docs.filter("doc_id is null"))
+    key, whole, nth = unused(docs, "text_key", "row", "nth")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.xxhash64("text").alias(key))
+    found = near_dedup.near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width=5, percent=80, bands=PIPELINE_BANDS)
+    rows = durable(found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("words")))
+    single = keyed.join(broadcast_if_small(rows.select(F.col("doc_id").alias(key)), near_dedup.PICK_ROWS), key, "left_semi")
+    copied = broadcast_if_small(rows.filter("n > 1 and words > 0").select(F.col("doc_id").alias(key)), near_dedup.PICK_ROWS)
+    # Of many copies each task passes on only its first (the rank is cut before the shuffle).
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(whole)["doc_id"].asc_nulls_last()))
+    one = single.join(copied, key, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1)
+    return single.join(copied, key, "left_anti").select(f"{whole}.*").unionByName(one.select(f"{whole}.*"))
 
 
 #: (1 - 0.8 ** 3) ** 13 is below 1e-4 for each of the two collections.
@@ -49,12 +59,12 @@ PIPELINE_BANDS = 13
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight takes it."""
+    """Each document as often as its source's weight takes it. Null texts have no words; a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, lossless of every document of the mix."""
+    """doc_id, ids, lossless of every document of the mix. Null text: null ids; empty text: none; both are lossless."""
     return merge_dropout.encode_documents(docs, merge_dropout.load_model(PIECE_MODEL))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,32 +16,65 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: A side with at most so many (small) rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: A key with more rows than this is not left to one task of a shuffled join.
+HOT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that spark.checkpoint.dir names.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that is set, or what spark.checkpoint.dir names.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    Where neither is given, a session on this machine (local master, as in tests) gets a temporary
+    folder; a cluster gets an error, for its executors and driver share no local folders.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-larkspur"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp("-larkspur"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the folder that checkpoints use and read it again."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-larkspur"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores in front, as many as no column of ``df`` has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n.lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """left join right (one row for each key) where a key may hold any share of left's rows.
+
+    counts: on, n (rows of ``left`` by key, aggregated). Keys with more than ``hot`` rows are few: their
+    rows of ``right`` are broadcast (after a check of their number), so left's rows stay where they
+    are; all other rows are joined by shuffle. Both sides are read twice, so cut their lineage first.
+    """
+    keys = durable(counts.filter(F.col("n") > hot).select(*on))
+    if not keys.take(1):
+        return left.join(right, on, how)
+    keys = broadcast_if_small(keys)
+    some = broadcast_if_small(durable(right.join(keys, on, "left_semi")))
+    near = left.join(keys, on, "left_semi").join(some, on, how)
+    return near.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,9 +26,14 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(folded), SPACES, " "))
 
 
-def hashes(text: Column) -> list[Column]:
-    """128 bits: two xxhash64 of the text, the second seeded by hashing a constant first."""
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+def hashes(text: Column) -> Column:
+    """A struct h1, h2 of 128 bits: two xxhash64 of the text, the second seeded by hashing a constant first."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
+
+
+def digest(text: Column) -> Column:
+    """hashes(canonical(text)); the canonical form is bound to a variable, so that it is made once."""
+    return F.transform(F.array(canonical(text)), lambda c: hashes(c))[0]
 
 
 def collisions(texts: DataFrame) -> DataFrame:
@@ -69,12 +74,10 @@ def _pick(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _edited(texts: DataFrame, after: DataFrame, repeats: bool) -> DataFrame:
-    """Add edited (the text whose last quarter the next document's start replaces), nh1, nh2."""
-    heads = texts.join(after, texts["key"] == after["next_key"]).select(
-        F.col("prev_key"), F.substring("text", F.lit(1), F.col("most")).alias("head"), *[h.alias(f"n{n}") for h, n in zip(hashes(canonical(F.col("text"))), ("h1", "h2"), strict=True)]
-    )
+    """Add edited (the text whose last quarter the next document's start replaces)."""
+    heads = texts.join(after, texts["key"] == after["next_key"]).select("prev_key", F.substring("text", F.lit(1), F.col("most")).alias("head"), *([F.xxhash64("text").alias("place")] if repeats else []))
     if repeats:
-        heads = heads.groupBy("prev_key").agg(F.min(F.struct("nh1", "nh2", "head")).alias("least")).select("prev_key", "least.*")
+        heads = heads.groupBy("prev_key").agg(F.min(F.struct("place", "head"))["head"].alias("head"))
     take = F.floor(F.char_length("text") / 4).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - take)
     joined = texts.join(heads, texts["key"] == heads["prev_key"]).drop("prev_key")
@@ -93,7 +96,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Null text: the empty text. A null doc_id comes last (so does 2**63 - 1, which is returned as null). Rows that share a doc_id are one place in
     the order; each gets its own row, and as the next document they count with the row of the least
-    hash. One document is its own next. Other columns are ignored; an empty table gives no rows.
+    hash of the text. One document is its own next. Other columns are ignored; an empty table gives no rows.
 
     Texts are shuffled by doc_id once (both sides of the joins reuse it), a quarter of them again as
     heads; of the texts in shared buckets only one of each kind leaves a task.
@@ -103,29 +106,30 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     repeats = bool(takes.filter("n_rows > 1").take(1))
     after = durable(takes.select(F.col("key").alias("prev_key"), "most").join(next_ids(takes), F.col("prev_key") == F.col("key")).select("prev_key", "next_key", "most"))
 
-    h1, h2 = hashes(canonical(F.col("text")))
-    e1, e2 = hashes(canonical(F.col("edited")))
-    hashed = durable(
-        _edited(texts, after, repeats).select(
-            "key", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), h1, h2, e1.alias("e1"), e2.alias("e2"), "nh1", "nh2"
-        )
-    )
-    pairs = hashed.select("key", F.explode(F.array(F.struct("h1", "h2", F.lit(0).alias("side")), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.lit(1).alias("side")))).alias("p")).select("key", "p.*")
+    sums = _edited(texts, after, repeats).select("key", F.xxhash64("text").alias("place"), F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digest(F.col("text")).alias("own"), digest(F.col("edited")).alias("edit"))
+    hashed = durable(sums)
+    # The next document's digest is known by its own row: only ids and digests are joined.
+    firsts = (hashed.groupBy("key").agg(F.min(F.struct("place", "own"))["own"].alias("own")) if repeats else hashed).select(F.col("key").alias("next_key"), F.col("own").alias("next"))
+    hashed = durable(hashed.join(after.select(F.col("prev_key").alias("key"), "next_key").join(firsts, "next_key"), "key").select("key", "n_chars", "edited_sha256", "own", "edit", "next"))
+    pairs = hashed.select("key", F.explode(F.array(F.struct("own.h1", "own.h2", F.lit(0).alias("side")), F.struct("edit.h1", "edit.h2", F.lit(1).alias("side")))).alias("p")).select("key", "p.*")
     shared = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     keys = durable(pairs.join(shared, ["h1", "h2"], "left_semi").select("key", "side").distinct())
     some = _pick(texts, keys.filter("side = 0").select("key"))
-    originals = some.select("key", F.lit(0).alias("side"), *hashes(canonical(F.col("text"))), canonical(F.col("text")).alias("canon"))
+    def told(side: int, text: str) -> list[Column]:
+        made = F.transform(F.array(canonical(F.col(text))), lambda c: F.struct(hashes(c).alias("h"), c.alias("canon")))[0]
+        return ["key", F.lit(side).alias("side"), made.alias("m")]
+
+    originals = some.select(*told(0, "text"))
     some_after = after.join(keys.filter("side = 1").select(F.col("key").alias("prev_key")), "prev_key", "left_semi")
     around = some_after.select(F.explode(F.array("prev_key", "next_key")).alias("key")).distinct()
-    others = _edited(_pick(texts, around), some_after, repeats)
-    changed = others.select("key", F.lit(1).alias("side"), *hashes(canonical(F.col("edited"))), canonical(F.col("edited")).alias("canon"))
-    confirmed = originals.unionByName(changed)
+    changed = _edited(_pick(texts, around), some_after, repeats).select(*told(1, "edited"))
+    confirmed = originals.unionByName(changed).select("key", "side", "m.h.h1", "m.h.h2", "m.canon")
     clash = durable(collisions(confirmed))
 
-    def text_of(a: str, b: str) -> Column:
-        return F.concat(F.lower(F.lpad(F.hex(F.col(a)), 16, "0")), F.lower(F.lpad(F.hex(F.col(b)), 16, "0")))
+    def text_of(side: str) -> Column:
+        return F.concat(*[F.lower(F.lpad(F.hex(F.col(f"{side}.{h}")), 16, "0")) for h in ("h1", "h2")])
 
-    out = hashed.withColumns({"fingerprint": text_of("h1", "h2"), "edited_fingerprint": text_of("e1", "e2"), "next_fingerprint": text_of("nh1", "nh2")})
+    out = hashed.select("key", "n_chars", "edited_sha256", text_of("own").alias("fingerprint"), text_of("edit").alias("edited_fingerprint"), text_of("next").alias("next_fingerprint"))
     if clash.take(1):
         ranks = confirmed.join(clash, ["h1", "h2", "canon"]).filter("rank > 1").groupBy("key", "side").agg(F.max("rank").alias("rank"))
         mine, edits = ranks.filter("side = 0"), ranks.filter("side = 1")

@@ -1,7 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines (one for each block), text lengths are summed over sliding windows of
-lines, and the text between the point where the sums surge and the point where they dive is kept.
+Markup is stripped into lines, one for each block, with an empty line at each border of a box (div,
+section, article ...). Text lengths are summed over sliding windows of lines; text is kept from the
+points where the sums surge to the points where they dive. Element names and classes only weigh:
+boilerplate and links count nothing, headings and articles more than they hold.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ import html as entities
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import pandas as pd
 import regex
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from larkspur.session import ship
 
-#: Lines in a window, and the length its sum must reach for a surge.
+#: Lines in a window; the sum at which text begins; it ends where the sum is below half of that.
 WINDOW = 3
 SURGE = 86
-#: What stands in an <article> or <main> weighs so many times as much when the block is chosen.
+#: Weights: a line in an <article> or <main> counts so many times, a heading as so many characters at least.
 FAVOUR = 2
+HEADING = 40
 
 # Element names of HTML by their role here.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -45,6 +47,9 @@ NOT_MAIN = regex.compile(
     r"|footer|foot|header|masthead|comment|comments|respond|replies|reply|disqus|cookie|cookies|consent|gdpr|notice|notices|alert|newsletter|subscribe|subscription|signup|login"
     r"|share|sharing|social|related|recommended|recommendations|popular|trending|widget|popup|modal|overlay|paywall|pagination|pager|search|searchform|toolbar|copyright|legal|skip|hidden|complementary|contentinfo)(?=$|[\s_-])"
 )
+#: Words that mark an <article> as a reader's comment.
+COMMENT = regex.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond)(?=$|[\s_-])")
+HEADINGS = frozenset("h1 h2 h3".split())
 _TAG = regex.compile(r"<(?:!--(?P<comment>)|(?P<bang>[!?])|(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*))")
 _ATTRIBUTE = regex.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _TAG_END = regex.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
@@ -62,11 +67,12 @@ class Box:
 
 @dataclass
 class Line:
-    """The text of a block; barred lines hold boilerplate and weigh nothing; inside: in an article; holder: the box around it."""
+    """The text of a block (empty: a border) with its weight; article: the number of the outermost one around it, or 0."""
 
     text: str
-    barred: bool
-    inside: int
+    weight: int = 0
+    heading: bool = False
+    article: int = 0
     holder: Box | None = None
 
 
@@ -75,40 +81,76 @@ class _State:
     open: list[tuple[str, bool]] = field(default_factory=list)
     counts: Counter[str] = field(default_factory=Counter)
     barred: int = 0
-    regions: list[int] = field(default_factory=list)
-    region: int = 0
+    links: int = 0
+    bar: bool = False
+    mains: int = 0
+    article: int = 0
     boxes: list[Box] = field(default_factory=lambda: [Box(None, True, 0)])
 
 
 def lines_of(page: str) -> list[Line]:
-    """Split a page into lines in one pass; unclosed tags, stray ends and broken comments are taken as browsers do, roughly."""
+    """Split a page into lines in one pass; unclosed tags, stray ends and broken comments are taken as browsers do, roughly.
+
+    Boilerplate gives no line. Between two boxes it counts as one more border; inside one it leaves no mark.
+    """
     out: list[Line] = []
     parts: list[str] = []
+    linked: list[str] = []
     state = _State()
     at, size = 0, len(page)
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            out.append(Line(text, state.barred > 0, state.regions[-1] if state.regions else 0, state.boxes[-1]))
-
-    def bar() -> None:
-        out.append(Line("", True, 0))
+        links = len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0
+        linked.clear()
+        if not text or state.barred:
+            return
+        if state.bar and out and not out[-1].text:
+            out.append(Line(""))
+        state.bar = False
+        heading = any(state.counts[h] for h in HEADINGS)
+        weight = max(0, len(text) - links)
+        if heading and weight:
+            weight = max(weight, HEADING)
+        if state.mains:
+            weight *= FAVOUR
+        out.append(Line(text, weight, heading, state.article if state.counts["article"] else 0, state.boxes[-1]))
+
+    def border() -> None:
+        """One empty line; borders that meet inside one article are one."""
+        if not state.barred and not (state.counts["article"] and out and not out[-1].text):
+            out.append(Line(""))
+
+    def text_at(text: str) -> None:
+        if text and not state.barred:
+            parts.append(text)
+            if state.links:
+                linked.append(text)
 
     def pop() -> None:
         name, barred = state.open.pop()
         state.counts[name] -= 1
         if name in BLOCKS or barred:
-            flush()
+            flush_as(name)
         if barred:
             state.barred -= 1
-            bar()
-        if name in MAIN and state.regions:
-            state.regions.pop()
+            state.bar = True
+        if name == "a":
+            state.links -= 1
+        if name in MAIN:
+            state.mains -= 1
         if name in BOXES:
+            if not barred:
+                border()
             state.boxes.pop().stop = len(out)
 
+    def flush_as(name: str) -> None:
+        """Flush the text of an element that has just been closed as its own."""
+        state.counts[name] += 1
+        flush()
+        state.counts[name] -= 1
+
     def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         if not any(state.counts[x] for x in names):
             return
@@ -123,9 +165,9 @@ def lines_of(page: str) -> list[Line]:
     while at < size:
         m = _TAG.search(page, at)
         if not m:
-            parts.append(page[at:])
+            text_at(page[at:])
             break
-        parts.append(page[at : m.start()])
+        text_at(page[at : m.start()])
         if m["comment"] is not None:
             end = page.find("-->", m.end())
             at = size if end < 0 else end + 3
@@ -155,21 +197,25 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        barred = name in BOILERPLATE and not (name == "header" and state.regions)
-        if not barred and attributes and name not in ("body", "html", "article", "main"):
+        barred = name in BOILERPLATE and not (name == "header" and state.mains)
+        if not barred and attributes and name not in ("body", "html", "main"):
+            marks = COMMENT if name == "article" else NOT_MAIN
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
-                if key in ("class", "id", "role") and NOT_MAIN.search((a or b or c).lower()) or key == "hidden" or key == "aria-hidden" and (a or b or c) == "true":
+                if key in ("class", "id", "role") and marks.search((a or b or c).lower()) or key == "hidden" or key == "aria-hidden" and (a or b or c) == "true":
                     barred = True
                     break
         if barred:
             flush()
             state.barred += 1
-            bar()
+        if name == "a":
+            state.links += 1
         if name in MAIN:
-            state.region += 1
-            state.regions.append(state.region if not state.regions else state.regions[-1])
+            if name == "article" and not state.counts["article"]:
+                state.article += 1
+            state.mains += 1
         if name in BOXES:
+            border()
             state.boxes.append(Box(state.boxes[-1], name == "body", len(out)))
         state.open.append((name, barred))
         state.counts[name] += 1
@@ -179,83 +225,100 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def sums_of(lines: list[Line], window: int) -> list[int]:
+    """The weight of lines i .. i + window - 1, for each i."""
+    total = [0]
+    for x in lines:
+        total.append(total[-1] + x.weight)
+    return [total[min(len(lines), i + window)] - total[i] for i in range(len(lines))]
+
+
+def regions_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The regions (first line, line behind) from a surge point to the dive point after it.
+
+    Sums surge at the first line whose window weighs ``surge``. A window ends at a border, unless its
+    line is a heading or the border is inside an article. The region takes in the lines between the last
+    border and that line. Sums dive at the first border whose window weighs less than half of ``surge``;
+    at a border inside an article, at the first whose window weighs nothing. If no sum reaches ``surge``, the
+    greatest one stands in for it.
+    """
+    n = len(lines)
+    sums = sums_of(lines, window)
+    after = [0] * n  # the article of the next line with text
+    ahead = 0
+    for i in range(n - 1, -1, -1):
+        if lines[i].text:
+            ahead = lines[i].article
+        after[i] = ahead
+
+    def rise(i: int) -> int:
+        if lines[i].heading:
+            return sums[i]
+        weight = 0
+        for j in range(i, min(n, i + window)):
+            if not lines[j].text and not (lines[i].article and after[j] == lines[i].article):
+                break
+            weight += lines[j].weight
+        return weight
+
+    rises = [rise(i) if x.text else -1 for i, x in enumerate(lines)]
+    level = surge if max(rises, default=-1) >= surge else max(rises, default=-1)
+    out: list[tuple[int, int]] = []
+    i = done = inside = 0
+    while i < n:
+        if rises[i] < level or not lines[i].text:
+            i += 1
+            continue
+        start = i
+        while start > done and lines[start - 1].text:
+            start -= 1
+        while i < n:
+            if lines[i].text:
+                inside = lines[i].article
+            elif sums[i] * 2 < level if not (inside and after[i] == inside) else not sums[i]:
+                break
+            i += 1
+        out.append((start, i))
+        done = i
+    return out
+
+
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The kept lines, in page order.
 
-    A line weighs its length, a barred one nothing; bars stand as empty lines around boilerplate.
-    sum(i) is the weight of lines i .. i + window - 1 up to the next bar. A run begins where the sum
-    surges to ``surge`` and takes in the lines before it since the last bar; it ends where the weight
-    dives to nothing: at the next bar or the border of an <article> or <main>. The weights of the runs
-    with a surge choose the block: those of one <article> or <main> count together and FAVOUR times,
-    any other run counts alone. If an element wins, its runs are kept, with or without a surge, and the
-    surging runs of other such elements. If a run wins, all runs in the innermost box (div, section ...)
-    around most of it are kept, with or without a surge (of the body, those directly in it), and the
-    surging runs that stand in the box around that one (below the body), between the first and the last of these, or have half its weight anywhere.
-    Runs that come in by a box are cut at its borders. If no run surges, all are weighed so.
+    The heaviest region is kept; so is any other that weighs half as much, that stands in the same
+    article, or mostly in the box around the box that holds most of the heaviest (below the body). Between
+    the first surge and the last dive of these, other lines of that inner box or that article are kept too.
     """
-    runs: list[list[Line]] = [[]]
-    starts: list[int] = [0]
-    for at, line in enumerate(lines):
-        if line.barred or not line.text:
-            if line.barred and runs[-1]:
-                runs.append([])
-                starts.append(0)
-            continue
-        if runs[-1] and runs[-1][-1].inside != line.inside:
-            runs.append([])
-            starts.append(0)
-        if not runs[-1]:
-            starts[-1] = at
-        runs[-1].append(line)
-    starts = [at for at, r in zip(starts, runs, strict=True) if r]
-    runs = [r for r in runs if r]
-    if not runs:
+    regions = regions_of(lines, window, surge)
+    if not regions:
         return []
 
-    def weight(run: list[Line]) -> int:
-        return sum(len(x.text) for x in run)
-
-    def surges(run: list[Line]) -> bool:
-        return any(sum(len(x.text) for x in run[i : i + window]) >= surge for i in range(len(run)))
-
-    found = [r for r in runs if surges(r)] or runs
-    totals: Counter[int] = Counter()
-    for r in found:
-        totals[r[0].inside] += weight(r) * FAVOUR
-    del totals[0]
-    best = max(totals, key=lambda k: (totals[k], -k), default=0)
-    heaviest = max(found, key=weight)
-    if best and totals[best] >= weight(heaviest):
-        kept = [r for r in runs if r[0].inside == best or r[0].inside and surges(r)]
-    else:
-        boxes: Counter[Box | None] = Counter()
-        for x in heaviest:
-            boxes[x.holder] += len(x.text)
-        box = max(boxes, key=boxes.__getitem__)
-        near = box.parent if box and box.parent and not box.parent.top else box
-
-        def nearness(at: int, line: Line) -> int:
-            """2 in the box, 1 in the box around it, 0 elsewhere; of a page or body counts only what is directly in it."""
-            for level, around in ((2, box), (1, near)):
-                if around is None or around.top:
-                    if line.holder is around:
-                        return level
-                elif around.first <= at < around.stop:
-                    return level
-            return 0
-
-        # Runs that do not stand by their weight are cut at the borders of the boxes.
-        parts: list[tuple[bool, list[Line]]] = []
-        for at, r in zip(starts, runs, strict=True):
-            if r is heaviest or surges(r) and weight(r) * 2 >= weight(heaviest):
-                parts.append((True, r))
-                continue
-            for level, group in groupby(enumerate(r, at), lambda x: nearness(*x)):
-                part = [x for _, x in group]
-                parts.append((level == 2 or level == 1 and surges(part), part))
-        marked = [i for i, (good, _) in enumerate(parts) if good]
-        kept = [part for i, (good, part) in enumerate(parts) if good or marked[0] < i < marked[-1] and surges(part)]
-    return [x.text for r in kept for x in r]
+    def weight(region: tuple[int, int]) -> int:
+        return sum(x.weight for x in lines[slice(*region)])
+
+    core = max(regions, key=lambda r: (weight(r), -r[0]))
+    boxes: Counter[Box | None] = Counter()
+    articles: Counter[int] = Counter()
+    for x in lines[slice(*core)]:
+        if x.text:
+            boxes[x.holder] += x.weight
+            articles[x.article] += x.weight
+    box, article = max(boxes, key=boxes.__getitem__), max(articles, key=articles.__getitem__)
+    near = box.parent if box and box.parent and not box.parent.top else box
+
+    def stands_in(at: int, around: Box | None) -> bool:
+        """Of a page or body counts only what is directly in it."""
+        return around is not None and (lines[at].holder is around if around.top else around.first <= at < around.stop)
+
+    def belongs(region: tuple[int, int]) -> bool:
+        rows = [i for i in range(*region) if lines[i].text]
+        mine = sum(lines[i].weight for i in rows if article and lines[i].article == article or stands_in(i, near))
+        return region == core or 2 * mine > weight(region) or 2 * weight(region) >= weight(core)
+
+    kept = [r for r in regions if belongs(r)]
+    inside = {i for r in kept for i in range(*r)}
+    return [x.text for i, x in enumerate(lines[: kept[-1][1]]) if x.text and (i in inside or i > kept[0][0] and (article and x.article == article or stands_in(i, box)))]
 
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import uniform
+from larkspur.llm.common import broadcast_if_small, uniform, unused
 from larkspur.session import ship
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
-#: The fit reads at most so many documents of a language and so many bytes of each (bounded sample);
-#: a dictionary holds at most DOCS * BYTES bytes.
+#: The fit reads the whole texts of about so many documents of a language (bounded sample).
 DOCS = 400
-BYTES = 400
-LEAST = 8192
+#: One text in so many of the sample is no part of the dictionary but says what it saves.
+CHECKED = 8
 #: Texts are coded whole, in blocks of so many bytes, so that a dictionary matters as much at the
 #: end of a long text as at its start.
 BLOCK = 4096
-LEVEL = 3
+LEVEL = 6
 #: A prediction is rejected if the second-best code is less than so much longer (a share of it).
 MARGIN = 0.01
 #: The margin at which the score is about 0.76 (tanh 1).
@@ -36,75 +37,98 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == rest
 
 
-def fit_dictionaries(labelled: DataFrame, docs: int = DOCS, size: int = BYTES, seed: str = "lid") -> dict[str, bytes]:
-    """Raw-content dictionaries by language from (doc_id, text, lang) rows.
+def fit(labelled: DataFrame, docs: int = DOCS, seed: str = "lid") -> Classifier:
+    """The classifier from (doc_id, text, lang) rows.
 
-    A language's sample is its ``docs`` rows of least hash, and of each row ``size`` characters from
-    a hash-chosen start, lower-cased. row_number() <= docs is cut per task before the shuffle, so a
-    language with most of the rows costs its reducer only ``docs`` rows of each task. The driver
-    receives docs * size characters for each language. A larger dictionary would win by its size, so
-    all are cut to the smallest (LEAST bytes at least). The languages with most rows come first.
+    A language's sample are its rows whose hash is below docs / rows, with their whole texts. Rows are
+    counted by language (folded on the map side) and drawn by a filter, so no language's rows ever
+    meet in one task; about ``docs`` texts of each language reach the driver. Null and empty texts and
+    null languages take no part; repeated rows are drawn together; no rows: no languages.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    draw = uniform(seed, F.col("doc_id"))
-    start = F.floor(uniform(seed, F.lit("at"), F.col("doc_id")) * F.greatest(F.char_length("text") - size, F.lit(0))).cast("int") + 1
-    piece = F.lower(F.substring(F.col("text"), start, F.lit(size)))
-    order = Window.partitionBy("lang").orderBy("draw", "piece")
-    sample = rows.select("lang", draw.alias("draw"), piece.alias("piece")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs)
-    found: dict[str, list[tuple[float, str]]] = {}
-    for r in sample.select("lang", "draw", "piece").collect():
-        found.setdefault(r["lang"], []).append((r["draw"], r["piece"]))
+    rows = labelled.filter(F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "text", "lang")
     rows_of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    contents = {lang: "\n".join(p for _, p in sorted(found[lang])).encode() for lang in sorted(found, key=lambda x: (-rows_of.get(x, 0), x))}
-    even = max(LEAST, min(map(len, contents.values()), default=0))
-    return {lang: content[:even] for lang, content in contents.items()}
+    rates = broadcast_if_small(labelled.sparkSession.createDataFrame([(lang, docs / n) for lang, n in rows_of.items()], "lang string, rate double"))
+    drawn = rows.select("lang", uniform(seed, F.col("doc_id")).alias("draw"), "text").join(rates, "lang").filter("draw < rate")
+    found: dict[str, list[tuple[float, str]]] = {}
+    for r in drawn.select("lang", "draw", "text").collect():
+        found.setdefault(r["lang"], []).append((r["draw"], r["text"]))
+    return Classifier.of({lang: [t for _, t in sorted(found[lang])] for lang in sorted(found, key=lambda x: (-rows_of[x], x))})
+
+
+def _coder(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
+def _code(coder: zstandard.ZstdCompressor, data: bytes) -> int:
+    return sum(len(coder.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK))
 
 
 class Classifier:
-    """Codes texts with each language's dictionary; picklable, so tasks build their own coders."""
+    """Codes texts with each language's dictionary; picklable, so tasks build their own coders.
+
+    usual: the share of its bytes that a text of the language usually takes when coded with the
+    language's own dictionary. Code lengths are divided by it, so that neither a larger dictionary
+    nor a language that is easily coded wins by that.
+    """
 
-    def __init__(self, dictionaries: dict[str, bytes]):
-        self.dictionaries = dictionaries
-        self._coders: list[tuple[str, zstandard.ZstdCompressor]] | None = None
+    def __init__(self, dictionaries: dict[str, bytes], usual: dict[str, float] | None = None):
+        self.dictionaries, self.usual = dictionaries, usual or {}
+        self._coders: list[tuple[str, float, zstandard.ZstdCompressor]] | None = None
+
+    @classmethod
+    def of(cls, samples: dict[str, list[str]]) -> Classifier:
+        """From whole texts by language. One text in CHECKED is left out of the dictionary, and the median
+        of their coded shares is the usual one; a language with too few texts for that puts all into its
+        dictionary and takes the mean of the other languages' shares (1, if there is none)."""
+        dictionaries, usual = {}, {}
+        for lang, texts in samples.items():
+            enough = len(texts) >= 2 * CHECKED
+            dictionaries[lang] = b"\n".join(_bytes(t) for i, t in enumerate(texts) if i % CHECKED or not enough)
+            if enough:
+                coder = _coder(dictionaries[lang])
+                usual[lang] = median(_code(coder, _bytes(t)) / len(_bytes(t)) for t in texts[::CHECKED])
+        mean = sum(usual.values()) / len(usual) if usual else 1.0
+        return cls(dictionaries, {lang: usual.get(lang, mean) for lang in dictionaries})
 
     def __getstate__(self) -> dict:
-        return {"dictionaries": self.dictionaries, "_coders": None}
+        return self.__dict__ | {"_coders": None}
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         if not text or not self.dictionaries or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
         if self._coders is None:
-            self._coders = []
-            for lang, content in self.dictionaries.items():
-                d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                self._coders.append((lang, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        data = text.lower().encode("utf-8", "replace")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted(((sum(len(coder.compress(b)) for b in blocks), lang) for lang, coder in self._coders), key=lambda x: x[0])
+            self._coders = [(lang, self.usual.get(lang, 1.0), _coder(content)) for lang, content in self.dictionaries.items()]
+        data = _bytes(text)
+        sizes = sorted(((_code(coder, data) / usual, lang) for lang, usual, coder in self._coders), key=lambda x: x[0])
         best, lang = sizes[0]
         if len(sizes) == 1:
             return lang, 1.0, False
         margin = (sizes[1][0] - best) / sizes[1][0]
-        score = 2 / (1 + 2.718281828459045 ** (-2 * margin / SCALE)) - 1
-        return lang, score, margin < MARGIN
+        return lang, math.tanh(margin / SCALE), margin < MARGIN
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """Add lang_pred, score (0 to 1: the margin of the shortest code) and rejected to ``docs``.
 
     A null text, an empty one and one without a letter: ``und``, score 0, rejected. Ties: the
-    language with more rows in the fit, score 0, rejected. No dictionaries: every row ``und``. A clashing column
-    of ``docs`` is replaced. Texts are coded whole, batch by batch, without a shuffle.
+    language with more rows in the fit, score 0, rejected. No languages: every row ``und``. Columns of
+    ``docs`` with these names are replaced, all others stay. Texts are coded whole, batch by batch, without a shuffle.
     """
     ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
+    model = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([model.value.classify(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    judged = docs.withColumn("_lid", judge(F.col(text)))
-    return judged.withColumns({n: F.col(f"_lid.{n}") for n in ("lang_pred", "score", "rejected")}).drop("_lid")
+    (lid,) = unused(docs, "lid")
+    judged = docs.withColumn(lid, judge(F.col(text)))
+    return judged.withColumns({n: F.col(lid)[n] for n in ("lang_pred", "score", "rejected")}).drop(lid)

@@ -1,17 +1,24 @@
-"""Mixing sources to target weights: repetition rates, whole copies and one Bernoulli copy."""
+"""Mixing sources to target weights: repetition rates, whole copies and one Bernoulli copy.
+
+All copies of a source are drawn from one seed. Of DRAWS seeds each source takes the one whose words
+come nearest to its target, so that small sources meet theirs too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, broadcast_if_small, durable, uniform
+from larkspur.llm import common
+from larkspur.llm.common import WORD, durable, join_hot, uniform, unused
 
 #: Words wanted for each word there is, and copies of one source at most.
 BUDGET = 1.5
 MOST = 2.0
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (3, 1, 2)
+#: Seeds that a source chooses from.
+DRAWS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -20,7 +27,7 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """source, source_size, target for (source, size) rows.
+    """source, source_size, target, n_rows for (source, size) rows.
 
     Sources in code point order, null last, get the weights in turn. ``budget`` times all sizes is
     shared by weight; no target exceeds ``most`` times its source's size, and what is cut goes to
@@ -31,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     One row per source, folded on the map side before the shuffle, so a source with a third of the
     rows costs its reducer one row from each task. The windows then run over the list of sources.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     cap = F.col("source_size") * F.lit(float(most))
     ranked = total.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)).withColumn("cap", cap)
@@ -42,36 +49,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     level = (F.sum("source_size").over(every) * F.lit(float(budget)) - before) / behind
     levelled = ranked.withColumn("level", level)
     level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
-    return levelled.withColumn("level", level).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    return levelled.withColumn("level", level).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"), "n_rows")
+
+
+def copies_of(rate: Column, doc_id: Column, seed: str, draw: Column) -> Column:
+    """floor(rate) copies, and one more if the document's hash under the draw's seed falls below the fraction."""
+    return (F.floor(rate) + F.when(uniform(F.concat(F.lit(f"{seed}-"), draw.cast("string")), doc_id) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def _keys(source: Column) -> list[Column]:
+    """A source as two columns that are never null."""
+    return [source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("its_source")]
+
 
+_ON = ["no_source", "its_source"]
 
-def copies_of(rate: Column, doc_id: Column, seed: str) -> Column:
-    """floor(rate) copies, and one more if the document's hash falls below the fraction."""
-    return (F.floor(rate) + F.when(uniform(seed, doc_id) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+def source_plan(sizes: DataFrame, seed: str, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """no_source, its_source, source_size, target, n_rows, rate, draw for (doc_id, source, size) rows with a durable lineage.
+
+    draw: the one of DRAWS seeds whose copies hold words nearest to the target (the first of equals).
+    The words of all draws come from one aggregate, folded on the map side.
+    """
+    targets = durable(source_targets(sizes, weights, budget, most).select(*_keys(F.col("source")), "source_size", "target", "n_rows"))
+    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    rows = _joined(sizes.select("doc_id", "size", *_keys(F.col("source"))), targets)
+    words = [F.sum(F.col("size") * copies_of(F.col("rate"), F.col("doc_id"), seed, F.lit(k))).alias(f"w{k}") for k in range(DRAWS)]
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("draw")) for k in range(DRAWS)]))["draw"]
+    return durable(rows.groupBy(*_ON, "source_size", "target", "n_rows", "rate").agg(*words).select(*_ON, "source_size", "target", "n_rows", "rate", nearest.alias("draw")))
+
+
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with the plan of their source: broadcast, or (more than BROADCAST_ROWS sources) by shuffle, large sources apart."""
+    if plan.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        return rows.join(F.broadcast(plan), _ON)
+    return join_hot(rows, plan, _ON, plan.select(*_ON, F.col("n_rows").alias("n")))
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs``.
 
     A source's rate is target / source_size; a row is taken floor(rate) times, and once more with
-    probability equal to the fraction, decided by a hash of seed and doc_id alone, so reruns agree.
+    probability equal to the fraction, decided by a hash of doc_id and the source's seed, so reruns agree.
 
     Null text: size 0. Null source: a source of its own, ranked last. Null doc_id: decided as if it
     were empty. Repeated rows: each is decided by its doc_id, so alike. A source without words has
     target 0 and no copies. Empty table: empty result. Other columns are ignored.
     """
     sizes = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    targets = broadcast_if_small(durable(source_targets(sizes, weights, budget, most))).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mixed = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return mixed.withColumn("copies", copies_of(rate, F.col("doc_id"), seed)).withColumn("taken", F.col("size") * F.col("copies"))
+    mixed = _joined(sizes.select("*", *_keys(F.col("source"))), source_plan(sizes, seed, weights, budget, most))
+    copied = mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), seed, F.col("draw")))
+    return copied.withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it (0, 1, ... times)."""
-    sizes = durable(docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
-    targets = broadcast_if_small(durable(source_targets(sizes, weights, budget, most)))
-    rates = targets.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    taken = docs.join(rates, docs["source"].eqNullSafe(F.col("_source"))).withColumn("_copies", copies_of(F.col("_rate"), docs["doc_id"], seed))
-    repeated = taken.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    """The rows of ``docs``, all columns, each as often as mix_sources takes it (0, 1, ... times)."""
+    sizes = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    whole, rest, copy = unused(docs, "row", "source", "copy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").alias(rest), *_keys(F.col("source")))
+    taken = _joined(rows, source_plan(sizes, seed, weights, budget, most)).withColumn(copy, copies_of(F.col("rate"), F.col(rest), seed, F.col("draw")))
+    repeated = taken.filter(F.col(copy) > 0).select(whole, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return repeated.select(f"{whole}.*")

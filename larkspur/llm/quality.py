@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import uniform
 from larkspur.session import ship
 
-#: The scorer is trained on at most so many documents (those of least hash), and each gives at most
-#: so many bytes to the fit, from evenly spaced windows; scoring reads whole texts.
+#: The scorer is trained on the whole texts of about so many documents, those of least hash (bounded sample).
 TRAIN_ROWS = 6_000
-TRAIN_BYTES = 4_000
-#: Buckets of hashed byte trigrams; all weights take 8 * BUCKETS bytes.
+#: Words of a block; variety is measured inside blocks, so that it means the same at every length.
+VARIETY = 300
+#: Buckets of hashed byte trigrams; one more holds the share of words that repeat the one before.
 BUCKETS = 1 << 15
 #: A document is rejected if its score is below this.
 THRESHOLD = 0.35
@@ -66,13 +66,15 @@ def votes(text: str | None) -> list[int]:
     runs = int((odd[1:] & ~odd[:-1]).sum()) + int(odd[0])  # odd runs, each in a word of its own as a rule
     bangs, stops = text.count("!"), sum(map(text.count, ".!?…"))
     bare = sum(len(w) == 1 and not w.isalnum() for w in words)
+    blocks = [words[i : i + VARIETY] for i in range(0, n, VARIETY)]
+    kinds_of, pairs_of = sum(len(set(b)) for b in blocks), sum(len(set(zip(b, b[1:], strict=False))) for b in blocks)
     return [
         int(other > 0.05 * solid),
         int(n >= 5 and runs > 0.2 * n),
         int(letters >= 10 and upper > 0.5 * letters),
         int(n >= 5 and bangs > 0.3 * n),
-        int(n >= 20 and len(set(words)) < 0.3 * min(n, 300)),
-        int(n >= 20 and len(set(zip(words, words[1:], strict=False))) < 0.55 * min(n - 1, 3000)),
+        int(n >= 20 and kinds_of < 0.3 * n),
+        int(n >= 20 and pairs_of < 0.55 * (n - len(blocks))),
         int(n >= 5 and sum(map(operator.eq, words, words[1:])) > 0.25 * (n - 1)),
         int(n >= 5 and bare > 0.15 * n),
         int(n >= 40 and stops * 40 < n),
@@ -119,52 +121,48 @@ def estimate(patterns: list[tuple[int, int]], rounds: int = 200) -> tuple[dict[i
     return dict(zip(codes, good.tolist(), strict=True)), accuracy, float(share)
 
 
-def _buckets(data: bytes) -> np.ndarray:
-    """Hashed byte trigrams, digits and case kept, counted: an array of BUCKETS square roots of shares."""
-    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features: their buckets and values.
+
+    Hashed byte trigrams (case and digits kept) and words that repeat the one before, each the
+    square root of its share.
+    """
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
     if len(b) < 3:
-        return np.zeros(BUCKETS, dtype=np.float32)
+        return np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.float32)
     h = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 15)
-    return np.sqrt(np.bincount(h, minlength=BUCKETS).astype(np.float32) / len(h))
-
-
-def _windows(text: str, size: int) -> bytes:
-    data = text.encode("utf-8", "replace")
-    if len(data) <= size:
-        return data
-    step, part = (len(data) - size // 4) // 3, size // 4
-    return b"\n".join(data[i * step : i * step + part] for i in range(4))
+    if len(h) < BUCKETS // 8:
+        found, counts = np.unique(h, return_counts=True)
+    else:
+        counts = np.bincount(h, minlength=BUCKETS)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    words = text.split()
+    again = sum(map(operator.eq, words, words[1:])) / max(1, len(words) - 1)
+    return np.append(found, BUCKETS).astype(np.uint16), np.sqrt(np.append(counts / len(h), again)).astype(np.float32)
 
 
 class Scorer:
-    """Linear on hashed trigrams and the vote posterior's log odds; picklable."""
+    """Linear on hashed trigrams alone; picklable. The labellers' posterior is its target, never its input."""
 
-    def __init__(self, weights: np.ndarray, posterior: dict[int, float], share: float, prior_weight: float, bias: float):
-        self.weights, self.posterior, self.share, self.prior_weight, self.bias = weights, posterior, share, prior_weight, bias
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
 
     def score(self, text: str | None) -> float:
-        """0 to 1; a null or empty text scores 0."""
+        """0 to 1; a null, empty or blank text scores 0."""
         if not (text or "").strip():
             return 0.0
-        p = self.posterior.get(_code(text), self.share)
-        z = self.bias + float(_buckets(text.encode("utf-8", "replace")) @ self.weights) + self.prior_weight * _logit(p)
+        at, values = hashed(text)
+        z = self.bias + float(values @ self.weights[at])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 0.01), 0.99)
-    return float(np.log(p / (1 - p)))
-
-
-def train(parts: list[bytes], posterior: list[float], epochs: int = 6, rate: float = 0.5, decay: float = 1e-5, prior_weight: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer fitted to soft labels by AdaGrad, in the given order."""
-    w, seen, bias = np.zeros(BUCKETS, dtype=np.float32), np.full(BUCKETS, 1e-6, dtype=np.float32), 0.0
-    if not parts:
-        return w, bias
-    some = [(i, v[i]) for v in map(_buckets, parts) for i in (np.flatnonzero(v),)]
+def train(some: list[tuple[np.ndarray, np.ndarray]], posterior: list[float], epochs: int = 6, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of hashed features, fitted to soft labels by AdaGrad, in the given order."""
+    w, seen, bias = np.zeros(BUCKETS + 1, dtype=np.float32), np.full(BUCKETS + 1, 1e-6, dtype=np.float32), 0.0
     for _ in range(epochs):
         for (i, v), p in zip(some, posterior, strict=True):
-            z = bias + float(v @ w[i]) + prior_weight * _logit(p)
+            z = bias + float(v @ w[i])
             g = float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) - p
             grad = g * v + decay * w[i]
             seen[i] += grad * grad
@@ -176,8 +174,10 @@ def train(parts: list[bytes], posterior: list[float], epochs: int = 6, rate: flo
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: str = "quality") -> tuple[Scorer, dict[str, tuple[float, float]]]:
     """The scorer and the labellers' accuracies.
 
-    EM sees the vote pattern counts of all documents (at most 2 ** 11 counts reach the driver).
-    The linear scorer learns the posterior on the about ``rows`` documents of least hash.
+    EM sees the vote pattern counts of all documents (at most 2 ** 11 counts reach the driver). The
+    scorer learns the posterior from the hashed features of the whole texts of about ``rows``
+    documents of least hash; a document sends at most 6 * BUCKETS bytes to the driver. Null texts
+    vote but are no sample; no documents: weights of 0.
     """
     ship(docs.sparkSession)
     code = F.pandas_udf(_as_code, "long")
@@ -185,11 +185,17 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: str = "quality") -> tuple
     patterns = sorted((r["code"], r["n"]) for r in counts)
     posterior, accuracy, share = estimate(patterns)
     n = sum(n for _, n in patterns)
-    cut = F.pandas_udf(lambda batch: batch.map(lambda t: _windows(t, TRAIN_BYTES)), "binary")
-    drawn = docs.filter(F.col("text").isNotNull()).withColumn("_draw", uniform(seed, F.col("doc_id"))).filter(F.col("_draw") < min(1.0, rows / max(1, n)))
-    sample = sorted((r["_draw"], bytes(r["part"]), r["code"]) for r in drawn.select("_draw", cut("text").alias("part"), code("text").alias("code")).collect())
-    weights, bias = train([part for _, part, _ in sample], [posterior.get(c, share) for _, _, c in sample])
-    return Scorer(weights, posterior, share, 1.0, bias), accuracy
+
+    @F.pandas_udf("code long, at binary, value binary")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        features = list(map(hashed, texts))
+        return pd.DataFrame({"code": _as_code(texts), "at": [at.tobytes() for at, _ in features], "value": [v.tobytes() for _, v in features]})
+
+    drawn = docs.select("text", uniform(seed, F.col("doc_id")).alias("draw")).filter(F.col("text").isNotNull() & (F.col("draw") < min(1.0, rows / max(1, n))))
+    measured = drawn.select("draw", measure("text").alias("m")).select("draw", "m.*").collect()
+    sample = sorted((r["draw"], bytes(r["at"]), bytes(r["value"]), r["code"]) for r in measured)
+    features = [(np.frombuffer(at, np.uint16), np.frombuffer(value, np.float32)) for _, at, value, _ in sample]
+    return Scorer(*train(features, [posterior.get(c, share) for *_, c in sample])), accuracy
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -50,8 +50,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.held_out(F.col("doc_id"), 3, 1)
-    dictionaries = language_id.fit_dictionaries(docs.select("doc_id", "text", "lang").filter(~held))
-    judged = language_id.identify(docs.select("doc_id", "text"), dictionaries)
+    classifier = language_id.fit(docs.select("doc_id", "text", "lang").filter(~held))
+    judged = language_id.identify(docs.select("doc_id", "text"), classifier)
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -103,13 +103,19 @@ with sizes as (
 ), targets as (
     select source, source_size, least(cap, coalesce(l * weight, cap)) target from ranked, level
 ), rated as (
-    select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end rate,
-           cast(cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0::double u
+    select doc_id, size, s.source, source_size, target, case when source_size > 0 then target / source_size else 0 end rate
     from sizes s join targets t on s.source is not distinct from t.source
+), drawn as (
+    select *, floor(rate) + case when cast(cast('0x' || substr(md5('mix-1-' || k || ':' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end copies
+    from rated, range(16) r(k)
+), off as (
+    select source, k, abs(sum(size * copies) - any_value(target)) off from drawn group by source, k
+), chosen as (
+    select source, k, row_number() over (partition by source order by off, k) nth from off
 )
-select doc_id, size, source_size, target,
-       cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) taken
-from rated
+select doc_id, size, source_size, target, cast(size * copies as bigint) taken
+from drawn d join chosen c on d.source is not distinct from c.source and d.k = c.k
+where nth = 1
 """,
     "op8_url_filters": r"""
 with parts as (

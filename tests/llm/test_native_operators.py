@@ -64,6 +64,23 @@ def test_mixing_comes_near_its_targets_and_the_documents_are_repeated(spark):
     assert counts == {k: v for k, v in copies.items() if v}
 
 
+def test_small_sources_come_near_their_targets_too(spark):
+    got = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count(F.lit(1)).alias("n")).filter("g > 0").collect()
+    assert len(found) > 10 and all(r["t"] == pytest.approx(r["g"], rel=0.03) for r in found if r["n"] >= 20)
+
+
+def test_the_draw_is_fair_and_columns_keep_their_names(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    odd = docs.withColumns({n: F.lit(n) for n in ("_source", "_rate", "_copies", "_copy", "_row", "rate", "draw", "copies", "target", "no_source")})
+    one = mixing.mixed_documents(odd)
+    assert one.columns == odd.columns and one.select("_copy", "rate").distinct().collect() == [("_copy", "rate")]
+    counts = {r["doc_id"]: r["count"] for r in one.groupBy("doc_id").count().collect()}
+    assert counts == {r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs).filter("copies > 0").collect()}
+    monkeypatch.setattr(mixing.common, "BROADCAST_ROWS", 0)
+    assert {r["doc_id"]: r["count"] for r in mixing.mixed_documents(odd).groupBy("doc_id").count().collect()} == counts
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/", "block"), ("a.net", "/", "allow"), ("x.org", "", "block"), ("x.org", "", "allow"), (None, "/q", "block")]
 URLS = [
     ("http://WWW.Example.COM/en/77?x", "www.example.com", "/en/77", "example.com/en/7", "allow"), ("http://example.com/en/8#/en/7", "example.com", "/en/8", "com/en/", "block"), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"), ("com/en/", "", "", None, "allow"),
@@ -122,7 +139,7 @@ def test_fingerprints_by_brute_force(spark):
 
 
 def test_colliding_buckets_are_told_apart_by_bytes(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "hashes", lambda text: [(F.length(text) % 2).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")])
+    monkeypatch.setattr(fingerprints, "hashes", lambda text: F.struct((F.length(text) % 2).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")))
     check_fingerprints(spark, list(range(len(TEXTS))), TEXTS)
 
 

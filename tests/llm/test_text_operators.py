@@ -166,8 +166,82 @@ def test_main_text(page, text):
 def test_the_sums_choose_the_block_and_not_the_element_name():
     teaser, story = "<article><p>Read more here</p></article>", f"<nav>m</nav><div><h1>Title</h1><p>{LONG * 3}</p></div><nav>m</nav>"
     assert html_extract.extract(teaser + story) == "Title\n" + (LONG * 3).strip()
-    lines = html_extract.lines_of(f"<article><p>{'x' * 60}</p></article><nav>m</nav><div><p>{'y' * 100}</p></div>")
-    assert html_extract.main_lines(lines, surge=50) == ["x" * 60] and html_extract.main_lines(lines, surge=86) == ["y" * 100]
+    assert html_extract.extract(f"<article class='comment'><p>{LONG}</p></article>{story}") == "Title\n" + (LONG * 3).strip()
+
+
+def test_surge_and_dive_change_with_the_threshold():
+    page = f"<body><div>A short notice</div><h1>Title</h1><p>{LONG}</p><p>End.</p><div>Imprint of this site, and so on</div><div><ul><li><a href='/x'>{LONG}</a></ul></div></body>"
+    lines = html_extract.lines_of(page)
+    assert html_extract.main_lines(lines) == ["Title", LONG.strip(), "End."]
+    assert html_extract.main_lines(lines, surge=10) == ["A short notice", "Title", LONG.strip(), "End.", "Imprint of this site, and so on"]
+    assert html_extract.main_lines(lines, window=1) == ["Title", LONG.strip(), "End."]
+    apart = html_extract.lines_of(f"<div><p>{'x' * 100}</p></div><hr><nav>m</nav><div><p>{'y' * 230}</p></div>")
+    assert html_extract.main_lines(apart) == ["y" * 230] and html_extract.main_lines(apart, surge=500) == ["y" * 230]
+
+
+def plain_form(page, surge=86, window=3):
+    """The method as a plain loop, for the markup of the test pages: the lines of the only region, or None if there are more."""
+    import html
+
+    page = re.sub(r"<!--.*?-->", "", page, flags=re.S)
+    page = re.sub(r"<(script|style|title|nav|footer)\b.*?</\1>", "", page, flags=re.S)
+    page = re.sub(r'<div class="ad">.*?</div>', "", page, flags=re.S)
+    rows, text, article, heading = [], "", False, False
+
+    def put(line, weight=0):
+        if line or not (article and rows and not rows[-1][0]):
+            rows.append((line, weight, heading, article))
+
+    for token in re.split(r"(<[^>]*>)", page):
+        if not token.startswith("<"):
+            text += token
+            continue
+        name = token.strip("<>/").split()[0] if token.strip("<>/") else ""
+        if name not in ("b", "a", "meta"):
+            line = " ".join(html.unescape(text).split())
+            text = ""
+            if line:
+                put(line, max(len(line), 40 if heading else 0) * (2 if article else 1))
+        if name == "h1":
+            heading = not token.startswith("</")
+        if name in ("article", "div", "body"):
+            if name == "article" and token.startswith("</"):
+                put("")
+                article = False
+                continue
+            put("")
+            article = article or name == "article"
+    weights = [w for _, w, _, _ in rows]
+    regions, i = [], 0
+    while i < len(rows):
+        line, _, head, art = rows[i]
+        reach = i
+        while reach < min(len(rows), i + window) and (head or art or rows[reach][0]):
+            reach += 1
+        if not line or sum(weights[i:reach]) < surge:
+            i += 1
+            continue
+        start = i
+        while start and rows[start - 1][0]:
+            start -= 1
+        while i < len(rows) and (rows[i][0] or sum(weights[i : i + window]) * 2 >= surge):
+            i += 1
+        regions.append([x for x, *_ in rows[start:i] if x])
+    return "\n".join(regions[0]) if len(regions) == 1 else None
+
+
+def test_extraction_is_the_plain_loop_with_and_without_article_and_classes(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{TENTH}/pages.parquet").collect()]
+    scores, same = [], 0
+    for page in pages:
+        bare = re.sub(r'\sclass="[^"]*"', "", page.replace("<article>", "").replace("</article>", ""))
+        for p in (page, bare):
+            want = plain_form(p)
+            same += want is not None
+            assert want is None or html_extract.extract(p) == want
+        a, b = Counter(html_extract.extract(bare).split()), Counter(html_extract.extract(page).split())
+        scores.append(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())))
+    assert same >= 1.9 * len(pages) and sum(scores) / len(scores) > 0.95
 
 
 @pytest.mark.parametrize("bar", ["<div class='ad'>Buy</div>", "<aside>Related</aside>", "<form>Join</form>"])
@@ -251,15 +325,37 @@ def test_language_on_held_out_and_odd_rows(spark, odd):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.avg(F.col("rejected").cast("int")).alias("r")).first()
     assert r["a"] > 0.97 and r["r"] < 0.03
-    dictionaries = {"en": b"the same text of words twice null id here " * 50, "fr": "le la les des une été où ça ".encode() * 50}
-    rows = language_id.identify(odd, dictionaries).collect()
-    assert len(rows) == len(ODD)
+    assert got.count() > 3000
+    model = language_id.Classifier({"en": b"the same text of words twice null id here " * 50, "fr": "le la les des une été où ça ".encode() * 50})
+    named = odd.withColumns({n: F.lit(n) for n in ("_lid", "lid", "__lid")})
+    rows = language_id.identify(named, model).collect()
+    assert len(rows) == len(ODD) and all((r["_lid"], r["__lid"]) == ("_lid", "__lid") for r in rows)
     for r in rows:
         und = r["text"] is None or not any(c.isalpha() for c in r["text"])
         assert (r["lang_pred"] == "und") == und and 0 <= r["score"] <= 1 and (r["rejected"] or not und)
-    assert {r["lang_pred"] for r in language_id.identify(odd, {}).collect()} == {"und"}
-    assert language_id.fit_dictionaries(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))) == {}
-
+    none = language_id.fit(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
+    assert none.dictionaries == {} and {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
+
+
+def test_a_language_of_few_rows_does_not_shrink_the_others_nor_win_by_its_size():
+    g = np.random.default_rng(5)
+    words = {lang: ["".join(g.choice(list(letters), 5)) for _ in range(300)] for lang, letters in (("a", "abcdefgh"), ("b", "defghijk"))}
+    made = lambda lang, n: [" ".join(g.choice(words[lang], 60)) for _ in range(n)]
+    model = language_id.Classifier.of({"a": made("a", 300), "b": made("b", 16)})
+    assert len(model.dictionaries["a"]) > 15 * len(model.dictionaries["b"]) and 0 < model.usual["a"] != model.usual["b"]
+    assert [model.classify(t)[0] for t in made("a", 20) + made("b", 20)].count("a") == 20
+    import zstandard
+
+    def plain(text):
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            coder = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            data = text.lower().encode()
+            sizes[lang] = sum(len(coder.compress(data[i : i + language_id.BLOCK])) for i in range(0, len(data), language_id.BLOCK)) / model.usual[lang]
+        return min(sizes, key=sizes.get)
+
+    texts = made("a", 5) + made("b", 5) + [" ".join(made("a", 200))]
+    assert [model.classify(t)[0] for t in texts] == [plain(t) for t in texts]
 
 def test_quality_on_labels_and_odd_rows(spark, odd, docs):
     scorer, accuracy = quality.fit(docs)
@@ -273,6 +369,32 @@ def test_quality_on_labels_and_odd_rows(spark, odd, docs):
     assert quality.fit(odd.select("doc_id", "text").limit(0))[0].score("x y") >= 0
 
 
+def test_the_scorer_is_linear_in_the_text_alone_and_holds_on_labels_it_never_saw(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    clash = docs.select("doc_id", "text").withColumns({n: F.lit(n) for n in ("draw", "_draw", "code", "m", "at", "value")})
+    scorer, _ = quality.fit(clash, rows=3000)
+    assert set(vars(scorer)) == {"weights", "bias"}  # no posterior in it
+    some = [r["text"] for r in docs.limit(200).collect() if (r["text"] or "").strip()]
+    for t in some:
+        data, z = t.encode(), scorer.bias
+        shares = Counter(((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 17 for i in range(len(data) - 2))
+        z += sum((n / (len(data) - 2)) ** 0.5 * float(scorer.weights[k]) for k, n in shares.items())
+        words = t.split()
+        z += (sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)) ** 0.5 * float(scorer.weights[-1])  # noqa: B905
+        assert len(data) < 3 or scorer.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4)
+    unseen = quality.score_quality(docs.select("doc_id", "text"), scorer).filter(quality.uniform("quality", F.col("doc_id")) >= 0.3)
+    kept = {r["quality"]: r["k"] for r in unseen.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg((~F.col("rejected")).cast("int")).alias("k")).collect()}
+    assert kept[1] > 0.99 and (kept[1] + 1 - kept[0]) / 2 > 0.95
+
+
+def test_variety_means_the_same_at_every_length():
+    g = np.random.default_rng(2)
+    pool = [f"w{i}" for i in range(400)]
+    for n in (100, 1000, 20_000):
+        assert quality.votes(" ".join(g.choice(pool, n)))[4:6] == [0, 0]
+        assert quality.votes(" ".join(g.choice(pool[:8], n)))[4:6] == [1, 1]
+
+
 def test_em_recovers_planted_accuracies():
     g = np.random.default_rng(3)
     n, k = 40_000, len(quality.LABELLERS)
@@ -369,6 +491,15 @@ def test_pipeline_stages_and_their_decisions(spark, docs):
 def test_pipeline_on_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
     assert docs.columns == corpus_pipeline.drop_near_duplicates(spark, docs, "").columns
-    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 10  # both null ids, one row of each id
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 11  # five rows without words, six texts
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    same = spark.createDataFrame([(1, a), (1, b), (2, a + " z"), (None, b), (3, b), (None, "one of its own")], "doc_id long, text string").withColumns({n: F.lit(n) for n in ("_row", "_nth", "_text_key", "_repeated", "h1", "n", "kept", "row")})
+    got = corpus_pipeline.drop_near_duplicates(spark, same, "")
+    assert got.columns == same.columns and got.select("_row", "_nth", "h1").distinct().count() == 1
+    texts = sorted((r["text"][:2], r["doc_id"]) for r in got.collect())
+    assert len(texts) == 3 and texts[1] == ("b0", 1) and texts[2] == ("on", None)  # of equal texts the least id
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.classify_quality):
+        named = docs.withColumns({n: F.lit(n) for n in ("_lid", "_draw", "score", "rejected", "quality_score", "predicted", "_row")})
+        assert stage(spark, named, "").columns == named.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() >= 0 and stage(spark, docs.limit(0), "").count() == 0
