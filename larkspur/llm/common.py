@@ -17,7 +17,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A side with at most so many (small) rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
 #: A key with more rows than this is not left to one task of a shuffled join.
-HOT = 1_000
+HOT = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,22 +61,47 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
+def _hottest(counts: DataFrame, on: list[str], hot: int) -> DataFrame | None:
+    """on, n of the keys with more than ``hot`` rows, the BROADCAST_ROWS most frequent of them; None if there are none.
+
+    A key that is not among these has less than a share of 1 / BROADCAST_ROWS of the rows.
+    """
+    found = counts.filter(F.col("n") > hot).select(*on, "n").orderBy(F.desc("n"), *on).limit(BROADCAST_ROWS)
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT) -> DataFrame:
-    """left join right (one row for each key) where a key may hold any share of left's rows.
+    """left join right (one small row for each key, none of them null) where a key may hold any share of left's rows.
 
-    counts: on, n (rows of ``left`` by key, aggregated). Keys with more than ``hot`` rows are few: their
-    rows of ``right`` are broadcast (after a check of their number), so left's rows stay where they
-    are; all other rows are joined by shuffle. Both sides are read twice, so cut their lineage first.
+    counts: on, n (rows of ``left`` by key, aggregated). The rows of ``right`` for keys with more than ``hot`` rows are
+    broadcast, so left's rows of such a key stay where they are; all others are joined by shuffle.
+    ``left`` is then read twice.
     """
-    keys = durable(counts.filter(F.col("n") > hot).select(*on))
-    if not keys.take(1):
+    keys = _hottest(counts, on, hot)
+    if keys is None:
         return left.join(right, on, how)
-    keys = broadcast_if_small(keys)
-    some = broadcast_if_small(durable(right.join(keys, on, "left_semi")))
-    near = left.join(keys, on, "left_semi").join(some, on, how)
+    keys = F.broadcast(keys.select(*on))
+    near = left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how)
     return near.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: str, counts: DataFrame, spread: list[str], hot: int = HOT) -> DataFrame:
+    """left join right (one row for each key, of any size) with at most about ``hot`` of left's rows of a key in a task.
+
+    counts: on, n. A frequent key is salted by a hash of left's ``spread`` columns, and its row of ``right``
+    is repeated for each salt.
+    """
+    keys = _hottest(counts, [on], hot)
+    if keys is None:
+        return left.join(right, on)
+    keys = F.broadcast(keys.select(on, F.ceil(F.col("n") / hot).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = left.join(keys, on, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("salts")
+    copies = right.join(keys, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return salted.join(copies, [on, "salt"]).drop("salt")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows (counted first), else leave it to a shuffled join.
 

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, join_hot
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, comp (the least id reachable) for every id in the (a, b) links.
 
     Each round takes the least label around each id and then the label of its label, until nothing
-    changes: rounds grow with the logarithm of a component's diameter. Hubs are folded per task
-    before the shuffle; joins on them may be split by AQE. No links: no rows.
+    changes: rounds grow with the logarithm of a component's diameter. Hubs, and the labels of large
+    components, are joined by broadcast of their one row, so neither gathers in a task. No links: no rows.
     """
     both = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")))
+    degrees = durable(both.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("least")))
+    labels = durable(degrees.select(F.col("b").alias("id"), F.least("b", "least").alias("comp")))
     while True:
-        around = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        nearer = labels.join(around, F.col("id") == F.col("a")).select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
+        around = join_hot(both, labels.select(F.col("id").alias("b"), "comp"), ["b"], degrees).groupBy("a").agg(F.min("comp").alias("near"))
+        nearer = durable(labels.join(around, F.col("id") == F.col("a")).select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp")))
         far = nearer.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        after = durable(nearer.join(far, "comp", "left").select("id", "before", F.least("comp", "further").alias("comp")))
+        sizes = nearer.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+        after = durable(join_hot(nearer, far, ["comp"], sizes, "left").select("id", "before", F.least("comp", "further").alias("comp")))
         labels = after.select("id", "comp")
         if not after.filter("before != comp").take(1):
             return labels

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, join_hot, join_salted
 from larkspur.llm.components import components
 from larkspur.session import ship
 
@@ -63,11 +63,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct (a, b) pairs whose full sets have 100 * intersection >= percent * union."""
+    """The distinct (a, b) pairs whose full sets have 100 * intersection >= percent * union.
+
+    A leader that meets many members is salted, on either side of the pairs.
+    """
     ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = durable(sets_of(docs, ids, width))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    left = join_salted(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["b"])
+    both = join_salted(left, sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["a"])
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
@@ -115,8 +118,8 @@ def _leftovers(docs: DataFrame, large: DataFrame, labels: DataFrame, width: int,
 def _mixed(held: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with comp, of buckets in which several components meet."""
     own = held.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return durable(own.join(keys, "key", "left_semi"))
+    keys = durable(own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo != hi").select("key", "rows"))
+    return durable(join_hot(own, keys.select("key"), ["key"], keys.withColumnRenamed("rows", "n")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -138,8 +141,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     is capped, and pairs inside a component are not formed.
     """
     signed = durable(signatures(docs, width, bands, rows))
-    kinds = signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("m"))
-    kinds = durable(kinds.select("h1", "h2", F.col("m.doc_id").alias("id"), F.col("m.a").alias("a"), F.col("m.b").alias("b")))
+    kinds = signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    kinds = durable(kinds.select("h1", "h2", F.col("m.doc_id").alias("id"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), "rows"))
 
     # Only sets that share a band in both collections can share a table key.
     banded = kinds.select("id", F.posexplode(F.concat("a", "b")).alias("at", "key"))
@@ -150,7 +153,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     tables = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * bands + j, x, y))))
     keyed = dense.select("id", F.explode(tables).alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("second")).filter("n > 1").select("key", "n", "first", F.col("second.id").alias("second"))
-    held = durable(keyed.join(buckets, "key"))
+    buckets = durable(buckets)
+    held = durable(join_hot(keyed, buckets, ["key"], buckets.select("key", "n")))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return durable(pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -160,9 +164,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = components(links)
 
     open_rows = _mixed(held, labels)
-    led = open_rows.select("id", "comp", F.explode(F.array("first", "second")).alias("leader")).filter("id != leader")
+    led = durable(open_rows.select("id", "comp", F.explode(F.array("first", "second")).alias("leader")).filter("id != leader").distinct())
     of_leader = labels.select(F.col("id").alias("leader"), F.col("comp").alias("its"))
-    across = led.distinct().join(of_leader, "leader", "left").filter(F.col("comp") != F.coalesce("its", "leader"))
+    followers = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    across = join_hot(led, of_leader, ["leader"], followers, "left").filter(F.col("comp") != F.coalesce("its", "leader"))
     more = durable(ordered(across.select(F.col("id").alias("x"), F.col("leader").alias("y"))).join(tried, ["a", "b"], "left_anti"))
     if more.take(1):
         tried = tried.union(more)
@@ -183,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = components(durable(links))
 
     found = kinds.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("component_id"))
-    placed = signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(found, ["h1", "h2"], "left")
+    placed = join_hot(signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2"), found, ["h1", "h2"], kinds.select("h1", "h2", F.col("rows").alias("n")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")

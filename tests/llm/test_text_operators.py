@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import components, html_extract, language_id, merge_dropout, near_dedup, quality, queries, toxicity, vector_search
+from larkspur.llm import common, components, html_extract, language_id, merge_dropout, near_dedup, quality, queries, toxicity, vector_search
 
 SMALL, TENTH = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 ODD = [(None, None), (None, "null id here"), (1, None), (2, ""), (2, ""), (3, " \n\t"), (4, "12 34 ,."), (5, "x" * 300_000), (6, "word " * 60_000), (7, "日本語 🎉 \u2581 é"), (8, "same text twice"), (8, "same text twice")]
@@ -443,9 +443,11 @@ def family(g, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("small", [2, near_dedup.SMALL])
-def test_components_equal_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize(("small", "hot"), [(2, 3), (near_dedup.SMALL, 500)])
+def test_components_equal_brute_force(spark, small, hot, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    for join in (common.join_hot, common.join_salted):
+        monkeypatch.setattr(join, "__defaults__", (*join.__defaults__[:-1], hot))
     monkeypatch.setattr(near_dedup, "QUERY_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "MEMBER_BLOCK", 16)
     g = np.random.default_rng(8)
