@@ -19,23 +19,21 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import broadcast_if_small, durable, uniform
 from larkspur.session import ship
 
-#: The fit reads about so many labelled rows (those of least hash) and keeps so many terms at most.
+#: The fit reads about so many labelled rows (those of least hash; bounded sample). Terms and near words are all
+#: that pass the tests on them.
 FIT_ROWS = 20_000
-MAX_TERMS = 5_000
 #: A prefix that is a term by itself has so many letters.
 PREFIX = (4, 8)
 #: A term must be so much likelier in toxic documents, and its G statistic must stand at this level
 #: after dividing it by the number of candidates.
 LIFT, LEVEL = 5.0, 0.5
-#: Near words of the bounded sample that the model holds at most.
-MAX_INNOCENT = 100_000
 #: Edits allowed for terms of at least so many letters.
 EDITS = ((9, 2), (5, 1))
 #: Characters on either side of a match that are searched for quotation marks and reporting words.
 CONTEXT = 60
 THRESHOLD = 0.3
-#: Clean words that a task remembers before it starts anew.
-MEMORY = 400_000
+#: Words and states of the automaton that a task remembers before it starts anew.
+MEMORY, STATES = 400_000, 60_000
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 # Reporting words of four languages.
@@ -73,6 +71,9 @@ class Automaton:
                 self.limit[node] = max(self.limit[node], k)
             self.best[node] = k
             self.term[node] = term
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -109,6 +110,8 @@ class Automaton:
         return to
 
     def _run(self, word: str) -> int:
+        if len(self.sets) > STATES:
+            self._forget()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -137,62 +140,76 @@ class Model:
         self._automaton: Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_stems": None, "_clean": None, "_hits": None}
+        return self.__dict__ | {"_automaton": None, "_stems": None, "_known": None}
 
     def _kind(self, word: str) -> str:
-        """"exact", "misspelt", "prefixed" or ""."""
-        e = self._automaton.edits(word)
-        if e == 0:
-            return "exact"
-        if any(word[:n] in self._stems for n in range(PREFIX[0], min(PREFIX[1], len(word)) + 1)):
-            return "prefixed"
-        return "misspelt" if word in self.guilty or e > 0 and word not in self.innocent else ""
-
-    def misspelt(self, text: str | None) -> list[str]:
-        """The words of a text that count as misspelt terms; not those that are only quoted."""
-        self.features(text)
-        low = (text or "").lower()
-        return sorted({m[0] for m in _WORD.finditer(low) if self._hits.get(m[0]) == "misspelt" and not quoted(low, m.start(), m.end())})
-
-    def features(self, text: str | None) -> list[float]:
-        """Counts of matches by kind (log1p), their share of the words, and 1."""
+        """"exact", "misspelt", "prefixed" or ""; the answer is remembered."""
         if self._automaton is None:
-            self._automaton, self._stems, self._clean, self._hits = Automaton(self.terms, self.doubtful), frozenset(self.prefixes), set(), {}
+            self._automaton, self._stems, self._known = Automaton(self.terms, self.doubtful), frozenset(self.prefixes), {}
+        kind = self._known.get(word)
+        if kind is None:
+            e = self._automaton.edits(word)
+            if e == 0:
+                kind = "exact"
+            elif any(word[:n] in self._stems for n in range(PREFIX[0], min(PREFIX[1], len(word)) + 1)):
+                kind = "prefixed"
+            else:
+                kind = "misspelt" if word in self.guilty or e > 0 and word not in self.innocent else ""
+            self._known[word] = kind
+        return kind
+
+    def tally(self, text: str | None) -> tuple[int, dict[str, int], dict[str, list[int]]]:
+        """Words in a text; its matches by kind; and of each misspelt word how often it is used and how often only quoted."""
+        if self._automaton is not None and len(self._known) > MEMORY:
+            self._known = {}
         low = (text or "").lower()
         words = _WORD.findall(low)
-        found = set()
-        for w in set(words) - self._clean:
-            kind = self._hits.get(w) or self._kind(w)
-            if kind:
-                self._hits[w] = kind
-                found.add(w)
-            else:
-                self._clean.add(w)
-        if len(self._clean) > MEMORY:
-            self._clean = set()
-        if not found:
-            return [0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
-        counts = dict.fromkeys(FEATURES, 0)
-        for m in _WORD.finditer(low):
-            if m[0] in found:
-                counts["quoted" if quoted(low, m.start(), m.end()) else self._hits[m[0]]] += 1
-        hits = counts["exact"] + counts["misspelt"] + counts["prefixed"]
-        return [math.log1p(counts[k]) for k in FEATURES[:4]] + [min(1.0, 20 * hits / len(words)), 1.0]
+        found = {w: k for w in set(words) if (k := self._kind(w))}
+        counts, near = dict.fromkeys(("exact", "prefixed", "quoted"), 0), {}
+        if found:
+            at = straight = 0
+            for m in _WORD.finditer(low):
+                kind = found.get(m[0])
+                if not kind:
+                    continue
+                # Straight marks on the line before the match, counted once along the text.
+                line = low.rfind("\n", at, m.start())
+                straight = low.count('"', line + 1, m.start()) if line >= 0 else straight + low.count('"', at, m.start())
+                at = m.start()
+                mark = quoted(low, m.start(), m.end(), straight)
+                if kind == "misspelt":
+                    near.setdefault(m[0], [0, 0])[mark] += 1
+                else:
+                    counts["quoted" if mark else kind] += 1
+        return len(words), counts, near
+
+    def features_of(self, n_words: int, counts: dict[str, int], near: dict[str, list[int]]) -> list[float]:
+        """Counts of matches by kind (log1p), their share of the words, and 1, from a tally of this model or of one without judged near words."""
+        some = {"exact": counts["exact"], "misspelt": 0, "prefixed": counts["prefixed"], "quoted": counts["quoted"]}
+        for word, (used, quoted_only) in near.items():
+            if self._kind(word):
+                some["misspelt"] += used
+                some["quoted"] += quoted_only
+        hits = some["exact"] + some["misspelt"] + some["prefixed"]
+        return [math.log1p(some[k]) for k in FEATURES[:4]] + [min(1.0, 20 * hits / max(1, n_words)), 1.0]
+
+    def features(self, text: str | None) -> list[float]:
+        return self.features_of(*self.tally(text))
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def quoted(text: str, start: int, end: int, context: int = CONTEXT) -> bool:
+def quoted(text: str, start: int, end: int, straight: int, context: int = CONTEXT) -> bool:
     """Whether the window around text[start:end] makes it a quotation: marks on both sides with none
-    between, or a reporting word before it and a mark at it."""
+    between, or a reporting word before it and a mark at it. straight: the straight marks before it on its line."""
     before, after = text[max(0, start - context) : start], text[end : end + context]
     opened = max(map(before.rfind, _OPEN))
     if opened < 0:
         return False
     # A straight mark opens if an odd number of them stands before.
-    if before[opened] == '"' and text.count('"', text.rfind("\n", 0, start) + 1, start) % 2 == 0:
+    if before[opened] == '"' and straight % 2 == 0:
         return False
     closed = min((i for i in map(after.find, _CLOSE) if i >= 0), default=-1)
     near = "\n" not in before[opened:] and len(before) - opened <= context
@@ -202,8 +219,8 @@ def quoted(text: str, start: int, end: int, context: int = CONTEXT) -> bool:
 def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and prefixes that mark toxic documents, from (text, toxic) rows.
 
-    Document counts of words and prefixes are aggregated in Spark; only terms that pass the test
-    (at most MAX_TERMS) reach the driver.
+    Document counts of words and prefixes are aggregated in Spark; only terms that pass the test reach
+    the driver, fewer than the distinct words of the sample's toxic rows.
     """
     rows = labelled.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("words"))
     lengths = F.sequence(F.lit(PREFIX[0]), F.lit(PREFIX[1]))
@@ -221,7 +238,7 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
     lift = (t / bad) / ((c + 0.5) / (every - bad))
     # 27.6 at one candidate in a million: the chi-square tail exp(-g / 2) is below LEVEL / candidates.
     candidates = max(1, counts.count())
-    chosen = counts.filter((lift >= LIFT) & (g > 2 * math.log(candidates / LEVEL))).withColumn("g", g).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
+    chosen = counts.filter((lift >= LIFT) & (g > 2 * math.log(candidates / LEVEL))).withColumn("g", g).orderBy(F.desc("g"), "term").collect()
     words = {r["term"] for r in chosen if r["term"][-1] != "*"}
     stems = {r["term"][:-1]: r["n"] for r in chosen if r["term"][-1] == "*"}
     # A prefix that only repeats one term, or a shorter prefix, adds nothing.
@@ -272,25 +289,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: str = "t
     """The model from (doc_id, text) rows and (doc_id, toxic) labels; rows without a label are left out.
 
     The sample is drawn among the labels, by a hash of the id; only its texts are read into the fit,
-    and they are written to the checkpoint folder once. No labels: no terms.
+    and they are written to the checkpoint folder once. Of each sampled document its counts and near
+    words reach the driver. No labels: no terms.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, known.count())))
     sample = durable(docs.select("doc_id", "text").join(broadcast_if_small(drawn), "doc_id"))
     terms, prefixes = learn_terms(sample)
-    # Words near a term that clean documents use more are words of their own; the most usual ones are held.
+    # One pass tells the matches and the near words; whether these count is decided by their use in all documents.
     first = docs.sparkSession.sparkContext.broadcast(Model(terms, prefixes))
-    near = F.pandas_udf(lambda batch: pd.Series([first.value.misspelt(t) for t in batch]), "array<string>")
-    words = sample.select("toxic", F.explode(near("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    seen = [(r["word"], r["t"], r["n"] - r["t"]) for r in words.orderBy(F.desc("n"), "word").limit(MAX_INNOCENT).collect()]
-    total = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    model = Model(terms, prefixes, **judge_near_words(seen, terms, total["t"], total["n"] - total["t"]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    measure = F.pandas_udf(lambda batch: pd.Series([shared.value.features(t) for t in batch]), "array<double>")
-    found = sorted((list(r["x"]), r["toxic"]) for r in sample.select("toxic", measure("text").alias("x")).collect())
+
+    @F.pandas_udf("n long, exact long, prefixed long, quoted long, near array<struct<word:string,used:long,quoted:long>>")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        rows = [(n, *(c[k] for k in ("exact", "prefixed", "quoted")), [{"word": w, "used": u, "quoted": q} for w, (u, q) in sorted(near.items())]) for n, c, near in map(first.value.tally, texts)]
+        return pd.DataFrame(rows, columns=["n", "exact", "prefixed", "quoted", "near"])
+
+    tallies = durable(sample.select("doc_id", "toxic", measure("text").alias("m")).select("doc_id", "toxic", "m.*"))
+    used = tallies.select("toxic", F.explode(F.filter("near", lambda x: x["used"] > 0)).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    seen = sorted((r["word"], r["t"], r["n"] - r["t"]) for r in used.collect())
+    found = sorted(tallies.select("toxic", "n", "exact", "prefixed", "quoted", "near", "doc_id").collect(), key=str)
+    bad = sum(r["toxic"] for r in found)
+    model = Model(terms, prefixes, **judge_near_words(seen, terms, bad, len(found) - bad))
     if found:
-        model.weights = fit_weights(np.array([x for x, _ in found]), np.array([y for _, y in found], dtype=float))
+        x = [model.features_of(r["n"], r.asDict(), {w["word"]: [w["used"], w["quoted"]] for w in r["near"]}) for r in found]
+        model.weights = fit_weights(np.array(x), np.array([r["toxic"] for r in found], dtype=float))
     return model
 
 

@@ -1,5 +1,6 @@
 """Operators that run Python, against brute force, exact round trips and held-out accuracy; and the pipeline."""
 
+import math
 import re
 from collections import Counter
 
@@ -122,7 +123,46 @@ def test_terms_of_a_family_are_matched_with_edits():
     judged = toxicity.judge_near_words([("idiom", 0, 1), ("idjot", 1, 0), ("idiat", 9, 1)], family, 100, 100)
     assert judged == {"innocent": ["idiom"], "doubtful": ["idiot"], "guilty": ["idiat"]}
     model = toxicity.Model(family, [], **judged)
-    assert model.misspelt("idiat idiom idxot ideotic") == ["ideotic", "idiat"]
+    assert sorted(model.tally("idiat idiom idxot ideotic")[2]) == ["ideotic", "idiat"]
+
+
+def plain_tally(text, terms, doubtful=frozenset(), innocent=frozenset()):
+    """Words, and matches (word, distance, quoted) of a text, by edit distances and a look around each word."""
+    allowed, low = toxicity.allowed_edits(terms, doubtful), text.lower()
+    found = []
+    words = list(re.finditer(r"[^\W\d_]+", low))
+    for m in words:
+        least = min((distance(m[0], t) for t in terms if distance(m[0], t) <= allowed[t]), default=-1)
+        if least == 0 or least > 0 and m[0] not in innocent:
+            found.append((m[0], least, toxicity.quoted(low, m.start(), m.end(), low[: m.start()].rsplit("\n", 1)[-1].count('"'))))
+    return len(words), found
+
+
+def test_scores_are_those_of_edit_distances(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    monkeypatch.setattr(toxicity, "MEMORY", 20)
+    g = np.random.default_rng(4)
+    model = toxicity.Model(TERMS, [], innocent=["crown"], doubtful=["scum"])
+    pool = [*TERMS, "lozer", "clwn", "crown", "idoit", "skum", "worthles", "a", "day", "fine", '"', "“", "”", "said", "\n"] + ["".join(g.choice(list("closeridwn"), 5)) for _ in range(200)]
+    for _ in range(150):
+        text = " ".join(g.choice(pool, int(g.integers(0, 40))))
+        n, found = plain_tally(text, TERMS, frozenset(["scum"]), frozenset(["crown"]))
+        hits = [(e, q) for _, e, q in found]
+        want = [math.log1p(hits.count((0, False))), math.log1p(sum(e > 0 and not q for e, q in hits)), 0.0, math.log1p(sum(q for _, q in hits)), min(1.0, 20 * sum(not q for _, q in hits) / max(1, n)), 1.0]
+        assert model.features(text) == pytest.approx(want)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, want, strict=True)))))
+
+
+def test_a_long_line_of_quotations_takes_time_in_proportion():
+    import time
+
+    model = toxicity.Model(TERMS, [])
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        model.features('"you clown" ' * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
 
 
 def test_one_clean_document_does_not_make_a_misspelling_innocent(spark):
