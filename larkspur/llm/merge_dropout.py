@@ -12,7 +12,6 @@ a piece are coded as bytes, so every text decodes to itself.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from larkspur.session import ship
 DROPOUT = 0.1
 #: An occurrence's variant, from its document and place, is one of so many.
 VARIANTS = 1 << 64
-#: Courses of the agenda that a task remembers before it starts anew.
+#: Courses of the agenda that a task remembers; of more it keeps those in use, half as many at most.
 MEMORY = 250_000
 #: Occurrences that draw together.
 BLOCK = 1 << 17
@@ -65,7 +65,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _hashed(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _roomy(array: np.ndarray, size: int) -> np.ndarray:
@@ -143,6 +143,29 @@ class Codec:
         self.first, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: The open merges in order, and the node behind each if it is the next one skipped (0: not made yet).
         self.codes, self.behind, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        #: How often each node was passed; older uses count half at each thinning.
+        self.uses = np.zeros(0, np.int64)
+
+    def _count(self, nodes: np.ndarray) -> None:
+        self.uses = _roomy(self.uses, len(self.nodes))
+        self.uses[: len(self.nodes)] += np.bincount(nodes, minlength=len(self.nodes))
+
+    def _thin(self) -> None:
+        """Keep the nodes used most. A node is passed as often as those behind it or more, so none loses its way."""
+        n, least = len(self.nodes), 2
+        while (self.uses[:n] >= least).sum() > MEMORY // 2:
+            least *= 2
+        keep = self.uses[:n] >= least
+        keep[0] = True
+        old, new = np.flatnonzero(keep), np.cumsum(keep) - 1
+        size = self.open[old]
+        at = np.repeat(self.first[old] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        behind = self.behind[at]
+        self.codes, self.behind, self.used = self.codes[at], np.where(keep[behind], new[behind], 0), len(at)
+        self.first, self.open = np.cumsum(size) - size, size
+        self.marks, self.decided, self.uses = self.marks[old], self.decided[old], self.uses[old] // 2
+        self.nodes, self.spelt = [self.nodes[i] for i in old.tolist()], [self.spelt[i] for i in old.tolist()]
+        self.roots = {chunk: int(new[i]) for chunk, i in self.roots.items() if keep[i]}
 
     # --- one chunk at a time, by heap -------------------------------------------------------
 
@@ -326,6 +349,7 @@ class Codec:
                 self.behind[new] = made
             going = going[who]
             nodes[going] = self.behind[spot]
+            self._count(nodes[going])
         return nodes
 
     def together(self, chunks: list[str], variants: np.ndarray) -> list[bytes]:
@@ -333,6 +357,8 @@ class Codec:
         self._root(list(set(chunks).difference(self.roots)))
         nodes = np.fromiter(map(self.roots.__getitem__, chunks), np.int64, len(chunks))
         variants = variants.astype(np.uint64)
+        if len(nodes):
+            self._count(nodes)
         for i in range(0, len(chunks), BLOCK):
             nodes[i : i + BLOCK] = self._draw(nodes[i : i + BLOCK], variants[i : i + BLOCK])
         return list(map(self.spelt.__getitem__, nodes.tolist()))
@@ -344,7 +370,7 @@ class Codec:
         if not self._ready:
             self._prepare()
         if len(self.nodes) > MEMORY:
-            self._forget()
+            self._thin()
         chunks: list[str] = []
         bounds = [0]
         for text in texts:
