@@ -1,4 +1,8 @@
-"""Approximate nearest neighbours by largest inner product, with vantage-point trees per shard."""
+"""Approximate nearest neighbours by largest inner product, with vantage-point trees per shard.
+
+Rows go to the cell of their nearest pivot, cells are cut into shards, and each shard has its tree. A
+query meets its own cell first; what it finds there decides which other cells can be passed over.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, uniform
 from larkspur.session import ship
 
 #: Rows of a shard (one tree each) and queries that meet it in one task.
-SHARD_ROWS, QUERY_BLOCK = 8192, 1024
+SHARD_ROWS, QUERY_BLOCK = 8192, 8192
+#: Pivots at most; there is one for each SHARD_ROWS rows, drawn among these.
+PIVOTS = 1024
 #: Points of a leaf.
 LEAF = 256
-#: A subtree is passed over if its distance bound times FACTOR exceeds the k-th best distance.
+#: A subtree or cell is passed over if its distance bound times FACTOR exceeds the k-th best distance.
 #: 1 is the triangle inequality itself: exact search.
-FACTOR = 3.0
+FACTOR = 5.0
+
+
+def _slack(square: float) -> float:
+    """What rounding may take from a distance between points whose squared norms are at most ``square``."""
+    return 1e-6 * (1 + square**0.5)
 
 
 class VantageTree:
@@ -29,7 +40,7 @@ class VantageTree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.scored = ids, vectors, 0
         norms = (vectors * vectors).sum(axis=1)
         self.square = float(norms.max())
         points = np.hstack([vectors, np.sqrt(np.maximum(self.square - norms, 0))[:, None]])
@@ -53,12 +64,14 @@ class VantageTree:
                 stack.append((rows[part], [(a, dist[part]) for a, dist in above] + [(v, d[part])]))
         self.points = points
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the k best rows for each query, best first; -inf and -1 fill what is missing.
 
-        A query visits leaves by ascending bound until factor * bound exceeds its k-th distance.
+        A query visits leaves by ascending bound until factor * bound exceeds its k-th distance. floor:
+        scores that k rows elsewhere reach already; rows below them may be left out.
         Scores are sums of products in double precision, in one order for every pair.
         """
+        floor = np.full(len(queries), -np.inf) if floor is None else floor
         n, n_leaves = len(queries), len(self.leaves)
         best, found = np.full((n, k), -np.inf), np.full((n, k), -1, dtype=np.int64)
         square = (queries * queries).sum(axis=1)
@@ -72,16 +85,17 @@ class VantageTree:
         order = np.argsort(bounds, axis=1, kind="stable")
         active = np.arange(n)
         for turn in range(n_leaves):
-            reach = np.sqrt(np.maximum(square[active] + self.square - 2 * best[active, k - 1], 0))  # inf until k are found
-            active = active[factor * bounds[active, order[active, turn]] <= reach + 1e-9]
+            reach = np.sqrt(np.maximum(square[active] + self.square - 2 * np.maximum(best[active, k - 1], floor[active]), 0))  # inf until k are found
+            active = active[factor * bounds[active, order[active, turn]] <= reach + _slack(self.square)]
             if not len(active):
                 break
             at = order[active, turn]
             for leaf in np.unique(at):
                 asked, rows = active[at == leaf], self.leaves[leaf]
+                self.scored += len(asked) * len(rows)
                 rough = queries[asked] @ self.vectors[rows].T
                 slack = 1e-9 * (1 + np.sqrt(square[asked] * self.square))
-                pairs = np.nonzero(rough >= (best[asked, k - 1] - slack)[:, None])
+                pairs = np.nonzero(rough >= (np.maximum(best[asked, k - 1], floor[asked]) - slack)[:, None])
                 keep = query_ids[asked[pairs[0]]] != self.ids[rows[pairs[1]]]
                 who, which = asked[pairs[0][keep]], rows[pairs[1][keep]]
                 if not len(who):
@@ -105,6 +119,57 @@ class VantageTree:
         found[asked] = np.take_along_axis(all_ids, top, axis=1)
 
 
+class Cells:
+    """Pivots of each dimension, in the space in which largest inner product is least distance; picklable.
+
+    square is the largest square of a norm. ranges: (dim, cell) to the least and greatest distance of
+    the cell's points to its pivot. A dimension without a drawn pivot has the zero vector for one.
+    """
+
+    def __init__(self, pivots: list[list[float]], square: float):
+        self.square, self.pivots, self.ranges = square, {}, {}
+        for p in map(np.array, pivots):
+            self.pivots.setdefault(len(p), []).append(p)
+
+    def _distances(self, x: np.ndarray, points: bool) -> np.ndarray:
+        p = np.array(self.pivots.get(x.shape[1]) or [np.zeros(x.shape[1])])
+        norms = (x * x).sum(axis=1)
+        inner, apart = x @ p.T, norms[:, None] + self.square
+        if points:
+            above = lambda squares: np.sqrt(np.maximum(self.square - squares, 0))
+            inner, apart = inner + above(norms)[:, None] * above((p * p).sum(axis=1)), 2 * self.square
+        return np.sqrt(np.maximum(apart - 2 * inner, 0))
+
+    @staticmethod
+    def _by_dim(vectors: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = vectors.map(len).to_numpy()
+        return [(at, np.stack(vectors.iloc[at].to_list())) for at in (np.flatnonzero(sizes == n) for n in np.unique(sizes))]
+
+    def nearest(self, vectors: pd.Series, points: bool) -> pd.DataFrame:
+        """cell, away: the nearest pivot of each vector and its distance; points: rows, else queries."""
+        cell, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+        for at, x in self._by_dim(vectors):
+            d = self._distances(x, points)
+            cell[at] = d.argmin(axis=1)
+            away[at] = d.min(axis=1)
+        return pd.DataFrame({"cell": cell, "away": away})
+
+    def others(self, vectors: pd.Series, home: pd.Series, kth: pd.Series, factor: float) -> pd.Series:
+        """For each query the cells beside its own that may hold a row better than its k-th score (null: fewer than k were found)."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(vectors)
+        for at, x in self._by_dim(vectors):
+            cells = [c for d, c in self.ranges if d == x.shape[1]]
+            lo, hi = (np.array([self.ranges[x.shape[1], c][i] for c in cells]) for i in (0, 1))
+            d = self._distances(x, False)[:, cells]
+            bound = np.maximum(np.maximum(lo - d, d - hi), 0)
+            best = kth.iloc[at].fillna(-np.inf).to_numpy(dtype=float)
+            reach = np.sqrt(np.maximum((x * x).sum(axis=1) + self.square - 2 * best, 0))
+            visit = (factor * bound <= reach[:, None] + _slack(self.square)) & (np.array(cells) != home.iloc[at].to_numpy()[:, None])
+            for i, row in zip(at, visit, strict=True):
+                out[i] = np.array(cells, np.int32)[row]
+        return pd.Series(out)
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id, v (array<double>), dim: rows with an id and a finite, non-zero vector; one row for each id."""
     v = F.col("v")
@@ -123,29 +188,58 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     own length. Equal vectors are ranked by vec_id. An empty table gives no rows; other columns are
     ignored.
 
-    Rows are dealt to shards by a hash of the id, so a common vector is spread like any other. Each
+    Pivots are a bounded sample, one for each SHARD_ROWS rows (PIVOTS at most). A cell of many rows, or
+    copies, is cut into shards by a hash of the id, so a common vector is spread like any other. Each
     task builds one shard's tree and answers one block of queries, so its memory is bounded whatever
     the size of either; its lists are merged by query.
     """
     ship(vectors.sparkSession)
     rows = durable(usable(vectors, id_column, vector_column))
-    n = rows.count()
-    asked = rows.filter(is_query)
-    n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-asked.count() // query_block))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(is_query)).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    n, n_blocks = total["n"], max(1, -(-total["asked"] // query_block))
+    n_pivots = min(PIVOTS, -(-n // shard_rows))
+    drawn = rows.filter(uniform("pivot", F.col("id")) < min(1.0, n_pivots / max(1, n))).select("id", "v").collect() if n_pivots > 1 else []
+    cells = Cells([r["v"] for r in sorted(drawn)], total["square"] or 0.0)
+    spark = vectors.sparkSession
+    pivots = spark.sparkContext.broadcast(cells)
+    kinds = {points: F.pandas_udf(lambda v, points=points: pivots.value.nearest(v, points), "cell int, away double") for points in (True, False)}
+    held = durable(rows.select("id", "v", "dim", kinds[True]("v").alias("c")).select("id", "v", "dim", "c.*"))
+    found = held.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).collect()
+    cells.ranges = {(r["dim"], r["cell"]): (r["lo"], r["hi"]) for r in found}
+    ranges = spark.sparkContext.broadcast(cells)
+    sizes = F.broadcast(spark.createDataFrame([(r["dim"], r["cell"], -(-r["n"] // shard_rows)) for r in found], "dim int, cell int, shards long"))
     place = F.abs(F.xxhash64("id") % (1 << 40))
-    members = rows.select("id", "v", "dim", (place % n_shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(0).alias("role"))
-    queries = asked.select("id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), (place % n_blocks).cast("int").alias("block"), F.lit(1).alias("role"))
+    block = (place % n_blocks).cast("int")
+    members = held.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", (place % F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(False).alias("asks"), F.lit(None).cast("double").alias("kth"))
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        held, posed = group[group.role == 0], group[group.role == 1]
-        if not len(held) or not len(posed):
+        kept, posed = (group[group.asks == x].sort_values("id") for x in (False, True))
+        if not len(kept) or not len(posed):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        held, posed = held.sort_values("id"), posed.sort_values("id")
         ids = posed.id.to_numpy()
-        scores, found = VantageTree(held.id.to_numpy(), np.stack(held.v.to_list())).search(ids, np.stack(posed.v.to_list()), k, factor)
+        tree = VantageTree(kept.id.to_numpy(), np.stack(kept.v.to_list()))
+        scores, best = tree.search(ids, np.stack(posed.v.to_list()), k, factor, posed.kth.fillna(-np.inf).to_numpy(dtype=float))
         real = np.isfinite(scores)
-        return pd.DataFrame({"query_id": np.repeat(ids, k).reshape(len(ids), k)[real], "vec_id": found[real], "score": scores[real]})
-
-    lists = members.unionByName(queries).groupBy("shard", "block", "dim").applyInPandas(answer, "query_id long, vec_id long, score double")
+        return pd.DataFrame({"query_id": np.repeat(ids, k).reshape(len(ids), k)[real], "vec_id": best[real], "score": scores[real]})
+
+    def lists(asked: DataFrame) -> DataFrame:
+        """The best rows of each (query, cell) in ``asked`` (id, v, dim, cell, kth)."""
+        queries = asked.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"), block.alias("block"), F.lit(True).alias("asks"), "kth")
+        best = members.unionByName(queries).groupBy("dim", "cell", "shard", "block").applyInPandas(answer, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def home(v: pd.Series) -> pd.Series:
+        return pivots.value.nearest(v, False)["cell"]
+
+    asked = rows.filter(is_query).select("id", "v", "dim", F.pandas_udf(home, "int")("v").alias("cell"), F.lit(None).cast("double").alias("kth"))
+    if len(found) <= 1:
+        return lists(asked).select("query_id", "rank", "vec_id", "score")
+    # A query whose nearest pivot holds no row starts without a list.
+    first = durable(lists(asked))
+    kth = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+    visits = F.pandas_udf(lambda v, cell, kth: ranges.value.others(v, cell, kth, factor), "array<int>")
+    again = asked.drop("kth").join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "dim", F.explode(visits("v", "cell", "kth")).alias("cell"), "kth")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return lists.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    both = first.unionByName(lists(again)).select("query_id", "vec_id", "score")
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

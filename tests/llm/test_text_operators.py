@@ -350,6 +350,29 @@ def test_search_over_shards_with_odd_vectors(spark):
     assert vector_search.nearest(df.limit(0), "id % 20 = 0").count() == 0
 
 
+def test_cells_that_are_far_are_passed_over_and_factor_one_stays_exact(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    centres = g.normal(size=(12, 16)) * 3
+    vectors = np.array([centres[i % 12 if i % 3 else 0] + 0.1 * g.normal(size=16) for i in range(1500)])  # a third around one centre
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    ids = list(range(len(vectors)))
+    got = {}
+    for r in vector_search.nearest(df, "id % 20 = 0", 10, factor=1.0, shard_rows=50, query_block=30).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = brute(ids, vectors, 10, [i for i in ids if i % 20 == 0])
+    assert got == {q: {n: i for n, (_, i) in enumerate(w, 1)} for q, w in want.items()}
+    cells = vector_search.Cells(vectors[:30].tolist(), float((vectors**2).sum(axis=1).max()))
+    import pandas as pd
+
+    rows = pd.Series(list(vectors))
+    near = cells.nearest(rows, True)
+    cells.ranges = {(16, c): (d.min(), d.max()) for c, d in near.groupby("cell").away}
+    kth = pd.Series([-want[q][-1][0] for q in want])
+    asked = pd.Series([vectors[q] for q in want])
+    visits = cells.others(asked, cells.nearest(asked, False)["cell"], kth, 1.0)
+    assert visits.map(len).mean() < 0.5 * len(cells.ranges)
+
+
 def test_recall_on_the_embeddings(spark):
     table = spark.read.parquet(f"{TENTH}/embeddings.parquet").toPandas()
     ids, vectors = table.vec_id.tolist(), np.stack(table.embedding.to_list()).astype(float)
