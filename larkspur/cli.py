@@ -43,7 +43,8 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--slack-webhook")
     run.add_argument("--max-insights", type=int, default=3)
     web = commands.add_parser("serve", help="answer /api requests about an events file")
-    web.add_argument("--events", required=True)
+    web.add_argument("--events", default=os.environ.get("EVENTS_FILE", ""))
+    web.add_argument("--max-users", type=int, default=int(os.environ.get("MAX_USERS") or 0), help="sample so many users of a CSV file; 0: all")
     web.add_argument("--port", type=int, default=8000)
     commands.add_parser("version")
     return parser
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = get_spark()
     if args.command == "serve":
-        serve(Service(spark, args.events), port=args.port).serve_forever()
+        serve(Service(spark, args.events, max_users=args.max_users or None), port=args.port).serve_forever()
         return 0
     if not args.events and not args.vendor_host:
         print("give --events or --vendor-host", file=sys.stderr)

@@ -98,6 +98,6 @@ def activation_summary(events: DataFrame, window: int = 7, retention: int = 30,
         }
 
     return {
-        "metric": "activation", "caveat": "Association, not cause: confirm with an experiment.", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "total_users": n, "activation_window_days": window, "retention_period_days": retention,
+        "metric": "activation_discovery", "caveat": "Association, not cause: confirm with an experiment.", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "total_users": n, "activation_window_days": window, "retention_period_days": retention,
         "baseline_retention": round(base, 4), "moments_found": len(found), "top_moments": [moment(r) for r in found[:10]],
     }

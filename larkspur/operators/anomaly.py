@@ -49,7 +49,7 @@ def detect_anomalies(series: DataFrame, sigma_threshold: float = 2.0, window: in
 
 def anomaly_summary(series: DataFrame, limit: int = 1000, **options: float) -> dict:
     """The JSON form; the first ``limit`` anomalies are listed, all are counted."""
-    found = detect_anomalies(series, **options)
+    found = detect_anomalies(series, **options).persist()
     counts = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("c")).first()
     span = series.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("metric")).alias("metrics")).first()
     metrics = span["metrics"]
@@ -57,7 +57,8 @@ def anomaly_summary(series: DataFrame, limit: int = 1000, **options: float) -> d
         {"metric": r["metric"], "date": str(r["date"]), "value": r["value"], "expected": round(r["expected"], 2), "sigma_distance": finite(r["sigma_distance"], 2), "direction": r["direction"], "severity": r["severity"], "pct_change": finite(r["pct_change"], 4)}
         for r in found.limit(limit).collect()
     ]
+    found.unpersist()
     return {
-        "metric": metrics[0] if len(metrics) == 1 else "multiple", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "metrics_checked": metrics, "total_data_points": span["n"],
+        "metric": "anomaly_detection", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "metrics_checked": metrics, "total_data_points": span["n"],
         "anomaly_count": counts["n"], "critical_count": counts["c"], "warning_count": counts["n"] - counts["c"], "anomalies": rows,
     }

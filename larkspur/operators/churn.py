@@ -97,20 +97,29 @@ def signal_cohorts(users: DataFrame) -> DataFrame:
     return fired.groupBy("signal").agg(F.count(F.lit(1)).alias("users"), F.avg("health_score").alias("avg_health_score")).orderBy(F.desc("users"), "signal")
 
 
-def churn_summary(events: DataFrame, analysis_date: str | None = None, healthy: int = 100, cohort_cap: int = 100, **options) -> dict:  # noqa: ANN003
-    """The JSON form. As reports do, it counts all users at risk and ``healthy`` others at most, and caps cohort sizes."""
+def at_risk_users(users: DataFrame, limit: int) -> DataFrame:
+    """The users at risk of least health, equal ones by user_id."""
+    return users.filter("at_risk").orderBy("health_score", "user_id").limit(limit)
+
+
+def churn_summary(events: DataFrame, analysis_date: str | None = None, healthy: int | None = None, cohort_cap: int | None = None, **options) -> dict:  # noqa: ANN003
+    """The JSON form. All users count; ``healthy`` bounds those who are not at risk in the stage distribution, and ``cohort_cap``
+    a signal's users, where a report wants that."""
     rows = identified(normalize_events(events))
     span = rows.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
     at = analysis_date or str(span["b"] or "1970-01-01")
-    users = churn_users(events, at, **options)
+    users = churn_users(events, at, **options).persist()
     stages = {r["stage"]: r["users"] for r in stage_distribution(users).collect()}
     total, risk = sum(stages.values()), sum(stages.get(s, 0) for s in AT_RISK)
-    shown = users.filter(~F.col("at_risk")).orderBy("user_id").limit(healthy)
-    listed = {r["stage"]: r["users"] for r in stage_distribution(shown).collect()} | {s: stages[s] for s in AT_RISK if s in stages}
-    cohorts = [{"signal": r["signal"], "user_count": min(r["users"], cohort_cap), "avg_health_score": round(r["avg_health_score"], 1), "description": SIGNALS[r["signal"]]} for r in signal_cohorts(users).collect()]
-    worst = users.filter("at_risk").orderBy("health_score", "user_id").limit(10).collect()
+    listed = stages
+    if healthy is not None:
+        shown = users.filter(~F.col("at_risk")).orderBy("user_id").limit(healthy)
+        listed = {r["stage"]: r["users"] for r in stage_distribution(shown).collect()} | {s: stages[s] for s in AT_RISK if s in stages}
+    cohorts = [{"signal": r["signal"], "user_count": r["users"] if cohort_cap is None else min(r["users"], cohort_cap), "avg_health_score": round(r["avg_health_score"], 1), "description": SIGNALS[r["signal"]]} for r in signal_cohorts(users).collect()]
+    worst = at_risk_users(users, 10).collect()
+    users.unpersist()
     return {
-        "metric": "churn", "analysis_date": at, "date_range": {"start": str(span["a"] or at), "end": str(span["b"] or at)}, "total_users": total, "at_risk_count": risk, "at_risk_pct": round(risk / total, 4) if total else 0.0,
+        "metric": "churn_prediction", "analysis_date": at, "date_range": {"start": str(span["a"] or at), "end": str(span["b"] or at)}, "total_users": total, "at_risk_count": risk, "at_risk_pct": round(risk / total, 4) if total else 0.0,
         "stage_distribution": {s: listed.get(s, 0) for s in STAGES}, "cohorts": sorted(cohorts, key=lambda c: -c["user_count"]),
         "top_at_risk": [
             {

@@ -22,13 +22,13 @@ def _net(periods: list[int]) -> Column:
     return sum((F.col(f"normalized_{p}") * w for p, w in zip(periods, weights, strict=True)), F.lit(0.0)) / F.lit(float(sum(weights)))
 
 
-def feature_correlation(events: DataFrame, periods: list[int] | None = None, min_feature_users: int = 5, min_non_users: int = 5, exclude_events: list[str] | None = None, segment_column: str | None = None, normalize_max_users: int | None = 50_000) -> DataFrame:
+def feature_correlation(events: DataFrame, periods: list[int] | None = None, min_feature_users: int = 5, min_non_users: int = 5, exclude_events: list[str] | None = None, segment_column: str | None = None, normalize_max_users: int | None = None) -> DataFrame:
     """One row per feature (event_name), by users: counts, impact_<p>, normalized_<p>, net_score, is_negative.
 
     impact: retention of the feature's users less that of all others; retained at p: active p or more
     days after the first day. normalized: the same within weeks of first activity, averaged with
     weight min(users, others); weeks with fewer than two on either side do not count, none: 0. Above
-    ``normalize_max_users`` users the raw impact stands in (None: never). ``exclude_events`` leave
+    ``normalize_max_users`` users, if that is given, the raw impact stands in. ``exclude_events`` leave
     before anything is computed. ``segment_column`` is accepted and not used.
 
     "Others" are totals less the feature's own counts, so there is no pass per feature: one aggregate
@@ -76,7 +76,7 @@ def feature_correlation(events: DataFrame, periods: list[int] | None = None, min
 def feature_summary(events: DataFrame, periods: list[int] | None = None, **options) -> dict:  # noqa: ANN003
     """The JSON form: the ten features of highest net score, and the negative ones."""
     periods = periods or [7, 30]
-    found = feature_correlation(events, periods, **options)
+    found = feature_correlation(events, periods, **options).persist()
     rows = identified(normalize_events(events))
     span = rows.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b"), F.count_distinct("user_id").alias("n")).first()
     counts = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("net_score") > POSITIVE).alias("up"), F.count_if("is_negative").alias("down")).first()
@@ -87,6 +87,7 @@ def feature_summary(events: DataFrame, periods: list[int] | None = None, **optio
 
     top = found.orderBy(F.desc("net_score"), "event_name").limit(10).collect()
     bad = found.filter("is_negative").orderBy("net_score", "event_name").limit(1000).collect()
+    found.unpersist()
     return {
         "metric": "feature_correlation", "caveat": "Correlation, not causation: users choose the features they use.", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "total_users": span["n"], "total_features": counts["n"],
         "periods": [f"D{p}" for p in periods], "positive_count": counts["up"], "negative_count": counts["down"], "top_features": [entry(r) for r in top], "negative_features": [entry(r, False) for r in bad],

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,25 +61,29 @@ class Funnel:
     def labels(self) -> list[str]:
         return [f"step_{i}_{slug(s.name)}" for i, s in enumerate(self.steps, 1)]
 
-    def levels(self) -> DataFrame:
-        """user_id, entry_date (the user's first row of any kind), max_step (0 without a first step)."""
+    def levels(self, entry_date: bool = True) -> DataFrame:
+        """user_id, max_step (0 without a first step) and entry_date: the user's first row of any kind.
+
+        Without entry_date only rows of some step are read into the sort; users without any are left out.
+        """
         before = Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
         flags = {f"c{i}": F.coalesce(s.column(), F.lit(False)) for i, s in enumerate(self.steps, 1)}
-        # Rows of no step cannot move anyone, but a user's first date needs them.
-        df = self.rows.select("user_id", "event_date", "event_id", F.unix_micros("timestamp").alias("at"), *[c.alias(n) for n, c in flags.items()])
+        rows = self.rows if entry_date else self.rows.filter(reduce(or_, flags.values()))
+        df = rows.select("user_id", *(["event_date"] if entry_date else []), "event_id", F.unix_micros("timestamp").alias("at"), *[c.alias(n) for n, c in flags.items()])
         df = df.withColumn("s1", F.when(F.col("c1"), F.col("at")))
         for i in range(2, len(self.steps) + 1):
             start = F.max(f"s{i - 1}").over(before)
             df = df.withColumn(f"s{i}", F.when(F.col(f"c{i}") & (F.col("at") <= start + self.window * 1_000_000), start))
         reached = [F.max(f"s{i}").isNotNull().cast("int") for i in range(1, len(self.steps) + 1)]
-        return df.groupBy("user_id").agg(F.min("event_date").alias("entry_date"), sum(reached[1:], reached[0]).alias("max_step"))
+        first = [F.min("event_date").alias("entry_date")] if entry_date else []
+        return df.groupBy("user_id").agg(*first, sum(reached[1:], reached[0]).alias("max_step"))
 
     def _counts(self) -> list[Column]:
         return [F.count(F.lit(1)).alias("total_entered"), *[F.count_if(F.col("max_step") >= i).alias(n) for i, n in enumerate(self.labels(), 1)]]
 
     def totals(self) -> DataFrame:
         """One row: total_entered and the users who reached each step."""
-        return self.levels().filter("max_step >= 1").agg(*self._counts())
+        return self.levels(entry_date=False).filter("max_step >= 1").agg(*self._counts())
 
     def by_date(self) -> DataFrame:
         """The same for each entry_date."""

@@ -16,31 +16,32 @@ def _is_ai() -> Column:
     return F.col("ai_model") != ""
 
 
-def _distinct(sketch: bool, column: str, name: str) -> Column:
-    return (F.hll_sketch_agg(column) if sketch else F.collect_set(column)).alias(name)
-
-
 def daily_partials(events: DataFrame, kind: str = "event_type", sketch: bool = True) -> DataFrame:
-    """Mergeable states for each (tenant_id, event_date, kind): counts, sums, and distinct users and sessions.
+    """Mergeable states: counts, sums, and what tells distinct users and sessions.
 
-    sketch: HyperLogLog binaries (bounded size, about 1.6 % error); else exact sets for small data.
-    No user filter: the empty user counts as one, as in the inserted-row states.
+    sketch: one row for each (tenant_id, event_date, kind) with HyperLogLog binaries (bounded size, about
+    1.6 % error). Else exact: one row for each of these and (user_id, session_id), so that no cell holds all
+    users of a day. No user filter: the empty user counts as one, as in the inserted-row states.
     """
     q, cost = F.col("ai_quality_score"), F.col("ai_cost_usd")
-    return events.groupBy("tenant_id", "event_date", kind).agg(
-        F.count(F.lit(1)).alias("n"), _distinct(sketch, "user_id", "users"), _distinct(sketch, "session_id", "sessions"), F.count_if(_is_ai()).alias("ai_n"),
-        F.sum(_if(q > 0, q)).alias("quality_sum"), F.count_if(q > 0).alias("quality_n"), F.sum(_if(cost > 0, cost)).alias("cost_sum"),
+    keys, states = ["tenant_id", "event_date", kind], []
+    if sketch:
+        states = [F.hll_sketch_agg("user_id").alias("users"), F.hll_sketch_agg("session_id").alias("sessions")]
+    else:
+        keys += ["user_id", "session_id"]
+    return events.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *states, F.count_if(_is_ai()).alias("ai_n"), F.sum(_if(q > 0, q)).alias("quality_sum"), F.count_if(q > 0).alias("quality_n"), F.sum(_if(cost > 0, cost)).alias("cost_sum")
     )
 
 
 def merge_daily(partials: DataFrame, keys: list[str], sketch: bool = True) -> DataFrame:
     """Merge daily states to ``keys``: events, users, sessions, ai_events, avg_ai_quality, total_ai_cost."""
 
-    def merged(c: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_union_agg(c)) if sketch else F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    def merged(state: str, column: str) -> Column:
+        return F.hll_sketch_estimate(F.hll_union_agg(state)) if sketch else F.count_distinct(column)
 
     return partials.groupBy(*keys).agg(
-        F.sum("n").alias("events"), merged("users").alias("users"), merged("sessions").alias("sessions"), F.sum("ai_n").alias("ai_events"),
+        F.sum("n").alias("events"), merged("users", "user_id").alias("users"), merged("sessions", "session_id").alias("sessions"), F.sum("ai_n").alias("ai_events"),
         F.try_divide(F.sum("quality_sum"), F.sum("quality_n")).alias("avg_ai_quality"), F.sum("cost_sum").alias("total_ai_cost"),
     )
 
@@ -126,3 +127,9 @@ class Metrics:
 def dau_series(events: DataFrame) -> DataFrame:
     """date, value: distinct identified users of each day."""
     return identified(events).groupBy(F.col("event_date").alias("date")).agg(F.count_distinct("user_id").cast("double").alias("value"))
+
+
+def dau_points(events: DataFrame) -> DataFrame:
+    """dau_series, or today with 0.0 if no day has a user."""
+    series = dau_series(events)
+    return series if series.take(1) else events.sparkSession.range(1).select(F.current_date().alias("date"), F.lit(0.0).alias("value"))

@@ -15,37 +15,38 @@ def _in_range(events: DataFrame, tenant_id: str, start: str, end: str) -> DataFr
     return identified(events).filter((F.col("tenant_id") == tenant_id) & F.col("event_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
-def _narrow(events: DataFrame, event_filter: str | Column | None, ai_only: bool) -> DataFrame:
+def _condition(event_filter: str | Column | None, ai_only: bool) -> Column:
+    """Whether a row meets the filter; a null answer is no."""
+    condition = F.lit(True)
     if event_filter is not None:
-        events = events.filter(F.expr(event_filter) if isinstance(event_filter, str) else event_filter)
-    return events.filter(F.col("ai_model") != "") if ai_only else events
+        condition = F.expr(event_filter) if isinstance(event_filter, str) else event_filter
+    return F.coalesce(condition & (F.col("ai_model") != "") if ai_only else condition, F.lit(False))
 
 
-def period_flags(events: DataFrame, tenant_id: str, start: str, end: str, period: str, num_periods: int, event_filter: str | Column | None, ai_only: bool, week_start: str) -> DataFrame:
+def period_flags(events: DataFrame, tenant_id: str, start: str, end: str, period: str, num_periods: int, enters: Column, week_start: str) -> DataFrame:
     """user_id, cohort_date, p0 ... : whether the user was active in each period of the cohort's calendar.
 
-    The filter decides who enters a cohort and when; any activity counts as a return. Both come from
-    one pass: the first date over filtered rows and the distinct dates over all rows of a user.
+    ``enters`` decides which rows bring a user into a cohort and when; any activity counts as a return. One
+    scan: rows are folded to (user, day), with a mark if a row of the day enters, and these to users.
     """
-    rows = _in_range(events, tenant_id, start, end)
-    firsts = _narrow(rows, event_filter, ai_only).groupBy("user_id").agg(start_of(period, F.min("event_date"), week_start).alias("cohort_date"))
-    days = rows.select("user_id", "event_date").distinct()
-    index = periods_between(period, F.col("cohort_date"), F.col("event_date"))
-    flags = [F.max((index == i).cast("int")).alias(f"p{i}") for i in range(num_periods)]
-    return firsts.join(days, "user_id").groupBy("user_id", "cohort_date").agg(*flags)
+    days = _in_range(events, tenant_id, start, end).groupBy("user_id", "event_date").agg(F.max(enters).alias("enters"))
+    users = days.groupBy("user_id").agg(F.min(F.when(F.col("enters"), F.col("event_date"))).alias("first"), F.collect_list("event_date").alias("dates"))
+    users = users.filter(F.col("first").isNotNull()).withColumn("cohort_date", start_of(period, F.col("first"), week_start))
+    users = users.withColumn("at", F.transform("dates", lambda d: periods_between(period, F.col("cohort_date"), d)))
+    return users.select("user_id", "cohort_date", *[F.array_contains("at", F.lit(i).cast(users.schema["at"].dataType.elementType)).cast("int").alias(f"p{i}") for i in range(num_periods)])
 
 
 def retention_matrix(events: DataFrame, tenant_id: str, start: str, end: str, period: str = "week", num_periods: int = 8, event_filter: str | Column | None = None, ai_only: bool = False, week_start: str = "sunday") -> DataFrame:
     """cohort_date, cohort_size, retention_array (users active in period i of their cohort)."""
-    rows = _narrow(events, event_filter, ai_only)
-    flags = period_flags(rows, tenant_id, start, end, period, num_periods, None, False, week_start)
+    rows = events.filter(_condition(event_filter, ai_only))
+    flags = period_flags(rows, tenant_id, start, end, period, num_periods, F.lit(True), week_start)
     sums = F.array(*[F.sum(f"p{i}") for i in range(num_periods)])
     return flags.groupBy("cohort_date").agg(F.count(F.lit(1)).alias("cohort_size"), sums.alias("retention_array")).orderBy("cohort_date")
 
 
 def retention_simple(events: DataFrame, tenant_id: str, start: str, end: str, period: str = "week", num_periods: int = 8, event_filter: str | Column | None = None, ai_only: bool = False, week_start: str = "sunday") -> DataFrame:
     """cohort_date, cohort_size, period_0 ...; the filter is applied to the cohorts only."""
-    flags = period_flags(events, tenant_id, start, end, period, num_periods, event_filter, ai_only, week_start)
+    flags = period_flags(events, tenant_id, start, end, period, num_periods, _condition(event_filter, ai_only), week_start)
     return flags.groupBy("cohort_date").agg(F.count(F.lit(1)).alias("cohort_size"), *[F.sum(f"p{i}").alias(f"period_{i}") for i in range(num_periods)]).orderBy("cohort_date")
 
 
@@ -81,7 +82,7 @@ def retention_summary(events: DataFrame, periods: list[int] | None = None, cohor
     Overall sums, best and worst are aggregated in Spark; at most ``max_cohorts`` cohorts are listed.
     """
     periods = periods or [1, 7, 30, 90]
-    curves = retention_curves(events, periods, cohort_column)
+    curves = retention_curves(events, periods, cohort_column).persist()
     last, dimension = f"rate_{periods[-1]}", cohort_column if cohort_column and cohort_column in events.columns else "signup_week"
     sums = curves.agg(F.sum("cohort_size").alias("n"), *[F.sum(f"retained_{p}").alias(f"r{p}") for p in periods]).first()
     span = identified(normalize_events(events)).agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
@@ -97,6 +98,7 @@ def retention_summary(events: DataFrame, periods: list[int] | None = None, cohor
     best = large.orderBy(F.desc(last), F.col("cohort_key").asc_nulls_last()).limit(1).collect()
     worst = large.orderBy(F.asc(last), F.col("cohort_key").asc_nulls_last()).limit(1).collect()
     listed = curves.limit(max_cohorts).collect()
+    curves.unpersist()
     return {
         "metric": "retention", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "total_users": total, "periods": periods,
         "overall_retention": {f"D{p}": round(sums[f"r{p}"] / total, 4) if total else 0.0 for p in periods},

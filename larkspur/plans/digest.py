@@ -87,7 +87,7 @@ def to_slack(d: dict) -> dict:
 
 @dataclass
 class Channel:
-    """kind: slack (target: webhook address), email (webhook address, recipients) or markdown (a path, or none for the text)."""
+    """kind: slack (target: webhook address), email (webhook address, recipients) or markdown (a path; none, - or stdout prints it)."""
 
     kind: str
     target: str | None = None
@@ -120,7 +120,9 @@ def deliver(d: dict, channels: list[Channel], http_post: Callable[[str, dict], i
         elif channel.kind == "markdown":
 
             def write(c: Channel = channel) -> None:
-                if c.target:
+                if c.target in (None, "-", "stdout"):
+                    print(to_markdown(d))
+                else:
                     Path(c.target).write_text(to_markdown(d), encoding="utf-8")
 
             attempt(channel, channel.target, write)

@@ -79,7 +79,8 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def to_table_rows(events: DataFrame) -> DataFrame:
     """The flat event table: '' for absent texts, {} for absent maps, ai_* columns with ''/0, event_date.
 
-    User and group properties and all utm fields are kept.
+    User and group properties and all utm fields are kept. An absent event_id is a digest of the row's texts, so reading
+    it again gives the same one.
     """
     df = with_missing(events)
     columns: list[Column] = []
@@ -93,7 +94,8 @@ def to_table_rows(events: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.MapType):
             columns.append(F.coalesce(F.col(f.name), F.create_map().cast(f.dataType)).alias(f.name))
         elif f.name == "event_id":
-            columns.append(F.coalesce("event_id", F.uuid()).alias("event_id"))
+            told = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tenant_id", "user_id", "anonymous_id", "event_name", "event_type", "timestamp", "session_id", "source_system", "source_event_id")])
+            columns.append(F.coalesce("event_id", F.sha2(told, 256)).alias("event_id"))
         elif f.name == "received_at":
             columns.append(F.coalesce("received_at", F.current_timestamp()).alias("received_at"))
         elif isinstance(f.dataType, T.StringType):
@@ -104,12 +106,15 @@ def to_table_rows(events: DataFrame) -> DataFrame:
 
 
 def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the event table: Parquet by tenant and month, rows of a user together in a file.
+    """Append to the event table: Parquet by tenant and month, rows of neighbouring users together in a file.
 
-    Bloom filters on the ids that point lookups use; a reader's tenant and month predicates prune folders.
+    Rows are dealt by ranges of (tenant, month, user, time), so a large tenant's month is as many tasks
+    and files as its size asks for, and a small one's is in one or two. Bloom filters on the ids that point
+    lookups use; a reader's tenant and month predicates prune folders.
     """
     ready = rows.withColumn("event_month", F.date_format("event_date", "yyyyMM"))
-    ordered = ready.repartition("tenant_id", "event_month").sortWithinPartitions("tenant_id", "event_month", "user_id", "timestamp", "event_id")
+    order = ["tenant_id", "event_month", "user_id", "timestamp"]
+    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order, "event_id")
     writer = ordered.write.mode(mode).partitionBy("tenant_id", "event_month")
     for column in ("event_name", "user_id", "session_id"):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")

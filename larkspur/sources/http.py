@@ -35,13 +35,13 @@ def status_post(timeout: float = 10) -> Callable[[str, dict], int]:
     return lambda address, payload: post(address, payload)[0]
 
 
-def message_model(post: Callable[[str, dict], tuple[int, dict]], path: str, model: str, schema: dict | None = None, max_tokens: int = 4096) -> Callable[[str, str], str]:
-    """A language model behind a messages interface, as CardWriter takes it: (system, user) -> answer text.
+def message_model(post: Callable[[str, dict], tuple[int, dict]], path: str, model: str, schema: dict | None = None, max_tokens: int = 4096) -> Callable[[str, str], tuple[str, dict]]:
+    """A language model behind a messages interface, as CardWriter takes it: (system, user) -> (answer text, token usage).
 
     schema: asked for as a tool's input; the tool call's input is then the answer.
     """
 
-    def ask(system: str, user: str) -> str:
+    def ask(system: str, user: str) -> tuple[str, dict]:
         body: dict = {"model": model, "max_tokens": max_tokens, "system": system, "messages": [{"role": "user", "content": user}]}
         if schema:
             body |= {"tools": [{"name": "report", "description": "Report the cards", "input_schema": schema}], "tool_choice": {"type": "tool", "name": "report"}}
@@ -50,6 +50,8 @@ def message_model(post: Callable[[str, dict], tuple[int, dict]], path: str, mode
             raise ConnectionError(f"status {status}")
         parts = found.get("content") or []
         called = next((p["input"] for p in parts if p.get("type") == "tool_use"), None)
-        return json.dumps(called) if called is not None else "".join(p.get("text", "") for p in parts)
+        usage = found.get("usage") or {}
+        answer = json.dumps(called) if called is not None else "".join(p.get("text", "") for p in parts)
+        return answer, {"input": usage.get("input_tokens", 0), "output": usage.get("output_tokens", 0)}
 
     return ask

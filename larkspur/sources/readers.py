@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Users kept when a file has more (environment-independent default).
+#: A usual bound for interactive use; sampling happens only where a bound is given.
 MAX_USERS = 200_000
 ANALYSIS = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("event_date", T.DateType()), T.StructField("event_name", T.StringType())])
 _LINE = T.StructType([T.StructField(n, T.StringType()) for n in ("user_id", "distinct_id", "event_date", "timestamp", "event_name", "event", "_corrupt")])
@@ -45,8 +46,8 @@ def sample_users(events: DataFrame, max_users: int = MAX_USERS) -> DataFrame:
     return events.join(users, "user_id", "left_semi")
 
 
-def read_commerce_csv(spark: SparkSession, path: str, max_users: int | None = MAX_USERS) -> DataFrame:
-    """Commerce CSV as the analysis frame; only the columns that are used are parsed."""
+def read_commerce_csv(spark: SparkSession, path: str, max_users: int | None = None) -> DataFrame:
+    """Commerce CSV as the analysis frame, of ``max_users`` users if that is given; only the columns that are used are parsed."""
     names = spark.read.option("header", True).csv(path).columns if Path(path.removeprefix("file://")).exists() or "://" in path else []
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] or COMMERCE.fields)
     rows = spark.read.schema(schema).option("header", True).csv(path).select("event_time", "event_type", "user_id")
@@ -67,8 +68,8 @@ def write_jsonl(events: DataFrame, path: str) -> None:
     events.select(F.to_json(F.struct("user_id", "event_date", "event_name")).alias("value")).write.text(path)
 
 
-def load_events(spark: SparkSession, path: str, max_users: int | None = MAX_USERS) -> DataFrame:
-    """Read by suffix: .jsonl/.ndjson/.json, .csv, else Parquet; a missing local file gives the empty frame."""
+def load_events(spark: SparkSession, path: str, max_users: int | None = None) -> DataFrame:
+    """Read by suffix: .jsonl/.ndjson/.json, .csv, else Parquet; a missing local file gives the empty frame. CSV: of ``max_users`` users, if given."""
     if "://" not in path and not Path(path).exists():
         return empty_events(spark)
     if path.endswith((".jsonl", ".ndjson", ".json")):
@@ -89,11 +90,12 @@ def demo_events(spark: SparkSession, users: int = 500, days: int = 90, start: st
 VOTES = ("useful", "not_useful")
 
 
-def append_feedback(path: str, insight: int, vote: str, comment: str = "") -> dict:
-    """Append one vote as a JSON line; any other vote is an error."""
+def append_feedback(path: str, insight_rank: int, vote: str, tenant_id: str = "default", comment: str = "") -> dict:
+    """Append one vote, with today's date, as a JSON line; any other vote is an error. Missing folders are made."""
     if vote not in VOTES:
         raise ValueError(f"vote must be one of {VOTES}")
-    entry = {"insight": insight, "vote": vote, "comment": comment}
+    entry = {"tenant_id": tenant_id, "insight_rank": insight_rank, "vote": vote, "timestamp": date.today().isoformat()} | ({"comment": comment} if comment else {})
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "a", encoding="utf-8") as out:
         out.write(json.dumps(entry) + "\n")
     return entry

@@ -62,8 +62,11 @@ def map_vendor_events(rows: DataFrame, tenant_id: str, keep_all: bool = False) -
     core = [k for k in CORE_KEYS if not (keep_all and k in HOMELESS)]
     passed = F.map_filter("_p", lambda k, v: ~(k.startswith("$set") | k.startswith("$group") | k.isin(*core)))
     country = prop("$geoip_country_code")
+    # The same row gets the same id whenever it is read: a retried task or page repeats no event.
+    told = F.concat_ws("\x1f", F.coalesce("uuid", F.lit("")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event", "distinct_id", "timestamp")], F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_p")))))
+    event_id = F.sha2(F.concat_ws("\x1f", F.lit(tenant_id), F.when(F.coalesce("uuid", F.lit("")) != "", F.col("uuid")).otherwise(told)), 256)
     fields = {
-        "tenant_id": F.lit(tenant_id), "event_id": F.uuid(), "user_id": F.when(identify, who).when(anonymous, "").otherwise(who), "anonymous_id": F.when(identify, prop("$anon_distinct_id")).when(anonymous, who).otherwise(""),
+        "tenant_id": F.lit(tenant_id), "event_id": event_id, "user_id": F.when(identify, who).when(anonymous, "").otherwise(who), "anonymous_id": F.when(identify, prop("$anon_distinct_id")).when(anonymous, who).otherwise(""),
         "event_name": event, "event_type": _lookup(EVENT_TYPE_OF, F.coalesce("event", F.lit("")), "track"), "timestamp": timestamp_of(F.col("timestamp").cast("string")), "received_at": F.current_timestamp(),
         "session_id": prop("$session_id"), "page_url": prop("$current_url"), "page_path": prop("$pathname"), "referrer": prop("$referrer"), "locale": prop("$locale"), "country": F.when(F.length(country) == 2, F.upper(country)).otherwise(""),
         "device_type": _lookup(DEVICE_OF, prop("$device_type"), "unknown"), "source_system": F.lit("posthog"), "source_event_id": F.coalesce("uuid", F.lit("")),
@@ -75,5 +78,9 @@ def map_vendor_events(rows: DataFrame, tenant_id: str, keep_all: bool = False) -
 
 
 def drop_repeats(events: DataFrame) -> DataFrame:
-    """One row for each (tenant_id, source_event_id): what a page boundary or a retry read twice."""
-    return events.dropDuplicates(["tenant_id", "source_event_id"])
+    """Without what a page boundary or a retry read twice: one row for each (tenant_id, event_id).
+
+    event_id comes from the source's id, or from the whole row where that has none, so rows without a
+    source id are told apart by what they hold.
+    """
+    return events.dropDuplicates(["tenant_id", "event_id"])

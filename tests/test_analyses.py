@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.functions.statistics import chi_square_cut, p_value
 from larkspur.operators import activation, anomaly, churn, cohort, features, funnel, metrics, retention
@@ -45,6 +46,16 @@ def test_retention_of_nothing_and_of_null_cohorts(spark):
     assert got == {None: (1, 1), "free": (1, 0)}
 
 
+def test_a_large_tenant_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("u"), F.col("id") % 500).alias("user_id"), F.col("id").cast("string").alias("event_id"), F.timestamp_seconds(F.lit(1767225600) + F.col("id")).alias("timestamp")).withColumns({"event_date": F.to_date("timestamp"), "event_name": F.lit("x"), "session_id": F.lit("")})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_events(rows, str(tmp_path / "w"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "w" / "tenant_id=t" / "event_month=202601").glob("*.parquet"))) >= 3 and spark.read.parquet(str(tmp_path / "w")).count() == 4000
+
+
 def test_period_bounds_follow_the_list_order(spark):
     rows = frame(spark, [("u", at(0), "x"), ("u", at(10), "x")])
     r = retention.retention_curves(rows, [30, 7]).first()
@@ -159,8 +170,6 @@ def test_activation_finds_the_planted_event(spark):
 
 
 def test_statistics(spark):
-    from pyspark.sql import functions as F
-
     from larkspur.functions.statistics import chi_square, matthews
 
     lit = lambda *x: [F.lit(v) for v in x]

@@ -4,6 +4,7 @@ import json
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur import cli
 from larkspur.api import Service
@@ -50,7 +51,7 @@ def test_connector_pages_state_and_retries(spark, tmp_path):
     c = connector.VendorConnector(post, "1", tmp_path / "s.json", batch=2)
     got = []
     state = c.sync(spark, "t", lambda df: got.extend(r["source_event_id"] for r in df.collect()))
-    assert c.validate() and got == [f"id{i}" for i in range(5)] and state.rows == 5 and len(asked) == 3
+    assert c.validate() and sorted(got) == [f"id{i}" for i in range(5)] and state.rows == 5 and len(asked) == 3
     assert connector.SyncState.load(tmp_path / "s.json") == state
     (tmp_path / "s.json").write_text("{broken")
     assert connector.SyncState.load(tmp_path / "s.json") == connector.SyncState()
@@ -68,11 +69,11 @@ def test_findings_rank_and_freshness():
     assert d["freshness"]["date_range"] == {"start": "2026-01-01", "end": "2026-03-31"} and d["freshness"]["user_count"] == 500 and d["freshness"]["event_count"] == 30
     scores = [x["rank_score"] for x in d["findings"]]
     assert scores == sorted(scores, reverse=True) and len(scores) == 6
-    assert next(x for x in f.findings if x.title == "Overall retention").severity == "critical"  # the greatest key as text is D7
+    assert next(x for x in f.findings if x["title"] == "Overall retention")["severity"] == "critical"  # the greatest key as text is D7
     assert findings.retention_severity({"D1": 0.4, "D30": 0.2, "D7": 0.04}, numeric=True) == "medium"
-    assert [findings.Finding("r", s, "", "", {}, c, i).rank_score for s, c, i in (("critical", 1, 1), ("high", 0.8, 0.5), ("critical", 1, 0))] == pytest.approx([1.0, 0.32, 0.1])
+    assert [findings.rank_score(s, c, i) for s, c, i in (("critical", 1, 1), ("high", 0.8, 0.5), ("critical", 1, 0))] == pytest.approx([1.0, 0.32, 0.1])
     assert "dau fell by 44%" in f.prompt_context() and findings.build_findings().freshness["modules_missing"] == list(findings.MODULES)
-    assert findings.build_findings(anomalies={"anomalies": [{"sigma_distance": "inf", "pct_change": "inf", "metric": "m"}]}).findings[0].confidence == 1.0
+    assert findings.build_findings(anomalies={"anomalies": [{"sigma_distance": "inf", "pct_change": "inf", "metric": "m"}]}).findings[0]["confidence"] == 1.0
 
 
 def test_cards_cache_and_errors(tmp_path):
@@ -82,14 +83,22 @@ def test_cards_cache_and_errors(tmp_path):
     w = cards.CardWriter(lambda system, user: calls.append(user) or fenced, "m", cache=cards.AnswerCache(tmp_path))
     a, b = w.write({"x": 1, "generated_at": "1"}, "ctx"), w.write({"x": 1, "generated_at": "2"}, "ctx")
     assert len(a["cards"]) == 1 and not a["cached"] and b["cached"] and len(calls) == 1 and w.cache.size == 1 and w.cache.clear() == 1
-    assert w.write({}, "", dry_run=True)["cards"] == []
+    dry = w.write({}, "ctx", dry_run=True)
+    assert dry["cards"] == [] and dry["token_usage"] == {"input": len(w.prompt.system) + len(w.prompt.user.format(context="ctx")), "output": 0} and a["token_usage"] is None
+    short = cards.AnswerCache(tmp_path / "short", ttl=1)
+    short.put("k", "v")
+    assert short.get("k") == "v" and cards.AnswerCache(tmp_path / "short").get("k") == "v" and cards.AnswerCache(tmp_path / "ever", ttl=0).get("none") is None
+    short._run("update answers set ends = 1")
+    assert short.get("k") is None and short.size == 0
+    told = cards.CardWriter(lambda system, user: (fenced, {"input": 3, "output": 4})).write({}, "")
+    assert told["token_usage"] == {"input": 3, "output": 4} and len(told["cards"]) == 1
     with pytest.raises(RuntimeError):
         cards.CardWriter().write({}, "")
     with pytest.raises(ValueError):
         cards.prompt("v9")
 
 
-def test_digest_rendering_and_delivery(tmp_path):
+def test_digest_rendering_and_delivery(tmp_path, capsys):
     many = [cards.Card.of(CARD | {"title": s, "severity": s}) for s in ("info", "critical", "<b>high" and "high", "low")]
     d = digest.compose(many, {"freshness": {"date_range": {"start": "a", "end": "b"}}}, digest.DigestOptions(tenant_name="Acme", feedback_url="http://f", evidence_url="http://e"))
     assert [x["card"]["title"] for x in d["insights"]] == ["critical", "high", "low"] and d["period"] == "a — b" and d["insights"][0]["feedback_url"] == "http://f?insight=1"
@@ -102,8 +111,18 @@ def test_digest_rendering_and_delivery(tmp_path):
             raise OSError("down")
         return 500 if address == "http://bad" else 200
 
-    r = digest.deliver(d, [digest.Channel("slack", "http://ok"), digest.Channel("slack", "http://bad"), digest.Channel("slack", "http://boom"), digest.Channel("email", "http://ok", ("a@x", "b@x")), digest.Channel("markdown", str(tmp_path / "d.md")), digest.Channel("odd")], post)
-    assert [x["success"] for x in r] == [True, False, False, True, True, True, False] and r[2]["error"] == "down" and (tmp_path / "d.md").exists()
+    r = digest.deliver(d, [digest.Channel("slack", "http://ok"), digest.Channel("slack", "http://bad"), digest.Channel("slack", "http://boom"), digest.Channel("email", "http://ok", ("a@x", "b@x")), digest.Channel("markdown", str(tmp_path / "d.md")), digest.Channel("odd"), digest.Channel("markdown", "stdout")], post)
+    assert [x["success"] for x in r] == [True, False, False, True, True, True, False, True] and "## 1." in capsys.readouterr().out and r[2]["error"] == "down" and (tmp_path / "d.md").exists()
+
+
+def test_events_without_a_source_id_are_kept_and_a_page_read_twice_is_not(spark):
+    rows = [(None, "a", "u", "2026-01-02T00:00:00Z", "{}"), (None, "b", "u", "2026-01-02T00:00:00Z", "{}"), ("", "b", "v", "2026-01-02T00:00:00Z", '{"k":1}'), ("", "b", "v", "2026-01-02T00:00:00Z", '{"k":2}'), ("id1", "c", "u", "2026-01-02T00:00:00Z", "{}")]
+    raw = spark.createDataFrame(rows, connector.RAW)
+    once = vendor.map_vendor_events(raw, "t")
+    twice = vendor.map_vendor_events(raw.union(raw).repartition(3), "t")
+    ids = {r["event_id"] for r in once.collect()}
+    assert len(ids) == 5 and {r["event_id"] for r in vendor.drop_repeats(twice).collect()} == ids and vendor.drop_repeats(twice).count() == 5
+    assert not ids & {r["event_id"] for r in vendor.map_vendor_events(raw, "other").collect()}
 
 
 def stream_rows(spark, n, start=0):
@@ -122,6 +141,12 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = merge_daily(spark.read.parquet(str(tmp_path / "out")), ["event_date"]).first()
     assert (got["events"], got["users"]) == (7, 3)
+    q = incremental.write_views(source.withColumns({"event_name": F.col("event_type"), "ai_feature": F.lit(""), "source_system": F.lit("custom")}), str(tmp_path / "views"), str(tmp_path / "cp2"))
+    q.processAllAvailable()
+    q.stop()
+    views = {n: spark.read.parquet(str(tmp_path / "views" / n)) for n in ("daily_metrics", "feature_usage", "user_profiles", "user_cohorts", "recent_events")}
+    assert merge_daily(views["feature_usage"], ["event_date"]).first()["events"] == 20 and views["user_profiles"].count() == views["user_cohorts"].count() == 3 and views["recent_events"].count() == 20
+    assert incremental.expire_days(spark, str(tmp_path / "views" / "recent_events"), "2026-01-02") == ["event_date=2026-01-01"]
     q = incremental.windowed_activity(source, "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
@@ -148,11 +173,24 @@ def test_api(spark, events_file, tmp_path):
     assert s.health()["users"] == 30
     o = s.get("overview")
     assert o["total_users"] == 30 and len(o["dau_series"]) == 40 and s.get("overview") is o
-    assert s.get("retention")["metric"] == "retention" and s.get("churn")["total_users"] == 30 and s.get("activation")["metric"] == "activation"
+    assert s.get("retention")["metric"] == "retention" and s.get("churn")["total_users"] == 30 and s.get("activation")["metric"] == "activation_discovery"
+    assert s.get("retention", periods="2,5")["periods"] == [2, 5] and s.get("retention")["periods"] == [1, 7, 30] and s.get("features", periods="3")["periods"] == ["D3"]
+    asked = s.get("activation", window="3", retention_period="10")
+    assert (asked["activation_window_days"], asked["retention_period_days"]) == (3, 10)
+    assert s.get("churn", end="2026-01-20")["analysis_date"] == "2026-01-20" and s.get("churn")["metric"] == "churn_prediction" and s.get("anomalies")["metric"] == "anomaly_detection"
+    with pytest.raises(ValueError):
+        s.get("overview", "soon")
+    small = Service(spark, events_file, keep=2)
+    for end in ("2026-01-03", "2026-01-04", "2026-01-05"):
+        small.get("anomalies", end=end)
+    assert len(small._results) == 2
+    nothing = Service(spark, str(tmp_path / "none.jsonl"))
+    assert nothing.get("anomalies")["total_data_points"] == 1 and nothing.get("overview")["dau_series"] == []
     assert s.get("insights")["cards"] == [] and "stats_summary" in s.get("insights")
     assert s.get("overview", "2026-01-01", "2026-01-02")["date_range"]["end"] <= "2026-01-02"
     assert json.dumps(s.get("anomalies")) and s.get("features")["periods"] == ["D7", "D30"]
-    assert s.feedback({"insight": 1, "vote": "useful"})["vote"] == "useful"
+    said = s.feedback({"insight_rank": "1", "vote": "useful", "tenant_id": "acme"})
+    assert said == {"status": "ok", "recorded": {"tenant_id": "acme", "insight_rank": 1, "vote": "useful", "timestamp": date.today().isoformat()}}
     with pytest.raises(KeyError):
         s.get("nothing")
 
@@ -167,6 +205,7 @@ def test_command_line(spark, events_file, tmp_path, capsys):
 
 def test_http_server_and_clients(spark, events_file, tmp_path):
     import threading
+    from urllib.error import HTTPError
     from urllib.request import urlopen
 
     from larkspur.api import serve
@@ -179,16 +218,20 @@ def test_http_server_and_clients(spark, events_file, tmp_path):
         with urlopen(f"{base}/api/health") as answer:
             assert json.loads(answer.read())["users"] == 30
         post = json_post(base)
-        assert post("/api/feedback", {"insight": 1, "vote": "useful"})[0] == 200
-        assert post("/api/feedback", {"insight": 1, "vote": "meh"})[0] == 400 and status_post()(f"{base}/nothing", {}) == 404
+        assert post("/api/feedback", {"insight_rank": 1, "vote": "useful"})[0] == 200 and post("/api/feedback?insight_rank=2&vote=not_useful&tenant_id=t", {})[1]["recorded"]["tenant_id"] == "t"
+        assert post("/api/feedback", {"insight_rank": 1, "vote": "meh"})[0] == 400 and post("/api/feedback", {"vote": "useful"})[0] == 400 and status_post()(f"{base}/nothing", {}) == 404
+        for path, status in (("/api/overview?start_date=soon", 400), ("/api/retention?periods=x", 400), ("/api/nothing", 404)):
+            with pytest.raises(HTTPError) as told:
+                urlopen(base + path)
+            assert told.value.code == status
     finally:
         server.shutdown()
         server.server_close()
     with pytest.raises(ConnectionError):
         post("/api/feedback", {})
     tool = message_model(lambda p, b: (200, {"content": [{"type": "tool_use", "input": {"cards": [CARD]}}]}), "/m", "x", cards.CARD_SCHEMA)
-    assert len(cards.parse_cards(tool("s", "u"))) == 1
-    assert message_model(lambda p, b: (200, {"content": [{"type": "text", "text": "hi"}]}), "/m", "x")("s", "u") == "hi"
+    assert len(cards.parse_cards(tool("s", "u")[0])) == 1
+    assert message_model(lambda p, b: (200, {"content": [{"type": "text", "text": "hi"}], "usage": {"input_tokens": 1, "output_tokens": 2}}), "/m", "x")("s", "u") == ("hi", {"input": 1, "output": 2})
     with pytest.raises(ConnectionError):
         message_model(lambda p, b: (500, {}), "/m", "x")("s", "u")
     assert cli.main(["version"]) == 0 and cli.main(["run"]) == 1
