@@ -73,6 +73,11 @@ def feature_correlation(events: DataFrame, periods: list[int] | None = None, min
     return out.select(*columns, *[f"{k}_{p}" for k in ("impact", "normalized") for p in periods], "net_score", "is_negative").orderBy(F.desc("unique_users"), "event_name")
 
 
+def ranked(found: DataFrame, limit: int) -> DataFrame:
+    """The features of highest net score, equal ones by name."""
+    return found.orderBy(F.desc("net_score"), "event_name").limit(limit)
+
+
 def feature_summary(events: DataFrame, periods: list[int] | None = None, **options) -> dict:  # noqa: ANN003
     """The JSON form: the ten features of highest net score, and the negative ones."""
     periods = periods or [7, 30]
@@ -85,7 +90,7 @@ def feature_summary(events: DataFrame, periods: list[int] | None = None, **optio
         out = {"name": r["event_name"], "users": r["unique_users"], "events": r["total_events"], "impact": {f"D{p}": round(r[f"normalized_{p}"], 4) for p in periods}, "net_score": round(r["net_score"], 4)}
         return out if events_too else {k: v for k, v in out.items() if k != "events"}
 
-    top = found.orderBy(F.desc("net_score"), "event_name").limit(10).collect()
+    top = ranked(found, 10).collect()
     bad = found.filter("is_negative").orderBy("net_score", "event_name").limit(1000).collect()
     found.unpersist()
     return {

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import activation, anomaly, churn, cohort, features, funnel, metrics, retention
-from larkspur.schema import from_orders, from_stream_table, identified, split_valid
+from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
 from larkspur.sources import readers, vendor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,9 +113,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.merge_daily(parts, ["event_date"], sketch=False).withColumn("avg_ai_quality", F.round("avg_ai_quality", 9)).withColumn("total_ai_cost", F.round("total_ai_cost", 6))
 
 
-@query("daily_partials_sketch")
+@query("daily_partials_sketch", f"with {EV} select event_date, count(*) events, true users_near, true sessions_near from ev group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.merge_daily(metrics.daily_partials(stream(spark, d), "event_name"), ["event_date"])
+    """Sketched counts against exact ones: near is 5 % of them, or 1."""
+    rows = stream(spark, d)
+    rough = metrics.merge_daily(metrics.daily_partials(rows, "event_name"), ["event_date"])
+    exact = metrics.merge_daily(metrics.daily_partials(rows, "event_name", sketch=False), ["event_date"], sketch=False)
+    both = rough.alias("a").join(exact.alias("b"), "event_date")
+    near = [(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= F.greatest(F.lit(1.0), 0.05 * F.col(f"b.{c}"))).alias(f"{c}_near") for c in ("users", "sessions")]
+    return both.select("event_date", F.col("a.events").alias("events"), *near)
 
 
 # --- funnels: the window chain, in SQL as in Spark --------------------------------------------
@@ -151,6 +157,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _funnel(spark, d).by_date()
 
 
+_CONDITIONS = _CHAIN.replace("event_name = 'signup' c1, event_name = 'click' c2, event_name = 'purchase' c3 from ev", "event_name <> 'view' c1, event_name = 'click' and q > 0.3 c2, ai_model = '' c3 from ev where k % 3 <> 0")
+
+
+@query("funnel_conditions", f"{_CONDITIONS} select count(*) total_entered, count(*) filter (max_step >= 1) step_1_not_a_view, count(*) filter (max_step >= 2) step_2_click, count(*) filter (max_step >= 3) step_3_plain from u where max_step >= 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(1))
+    steps = [funnel.Step(condition="event_name <> 'view'", label="not a view"), funnel.Step("click", "ai_quality_score > 0.3"), funnel.Step(condition=F.col("ai_model") == "", label="plain")]
+    return funnel.Funnel(from_stream_table(raw.filter(k % 3 != 0)), TENANT, steps, *ALL, window_seconds=21_600, segment="user_id <> 'nobody'").totals()
+
+
 # --- retention ---------------------------------------------------------------------------------
 
 _START = {"day": "min(event_date)", "week": "min(event_date) - cast(dayofweek(min(event_date)) as integer)", "month": "cast(date_trunc('month', min(event_date)) as date)"}
@@ -178,6 +195,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retention.retention_simple(ordered(spark, d), TENANT, *ALL, event_filter="event_name = '1-URGENT'")
 
 
+@query("retention_matrix_filtered", _simple_sql("month", 6, "event_type = 'F'").replace("from od join f", "from (select * from od where event_type = 'F') od join f"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = retention.retention_matrix(ordered(spark, d), TENANT, *ALL, period="month", num_periods=6, event_filter=F.col("event_type") == "F")
+    return rows.select("cohort_date", "cohort_size", *[F.col("retention_array")[i].alias(f"period_{i}") for i in range(6)])
+
+
+@query("retention_simple_ai_only", _simple_sql("week", 8, "ai_model <> ''"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retention.retention_simple(ordered(spark, d), TENANT, *ALL, ai_only=True)
+
+
 def _curve_sql(key: str) -> str:
     return f"""with {OD}, f as (select user_id, min(event_date) first, min_by(event_type, event_date || event_type) kind from od where user_id <> '' group by 1),
     b as (select user_id, {key} cohort_key, max((date_diff('day', first, event_date) between 1 and 29)::int) r1, max((date_diff('day', first, event_date) between 30 and 364)::int) r30, max((date_diff('day', first, event_date) >= 365)::int) r365
@@ -280,6 +308,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _feature_rows(spark, d).select("event_name", *[F.round(c, 9).alias(c) for c in ("normalized_1500", "normalized_2000", "net_score")], "is_negative")
 
 
+@query("feature_ranking", f"{_FEATURES} select event_name, round((coalesce(na, 0) + coalesce(nb, 0)) / 2, 9) net_score from r left join n using (event_name) where unique_users >= 5 and non_users >= 5 order by net_score desc, event_name limit 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.ranked(_feature_rows(spark, d).withColumn("net_score", F.round("net_score", 9)), 10).select("event_name", "net_score")
+
+
 _ACT = f"""with {OD}, e as (select user_id, event_date, event_name || event_type event_name from od where user_id <> ''),
     u as (select user_id, min(event_date) first, (date_diff('day', min(event_date), max(event_date)) >= 2000)::int r from e group by 1),
     c as (select user_id, event_name, count(*) n, max(r) r from e join u using (user_id) where date_diff('day', first, event_date) <= 365 group by 1, 2),
@@ -305,11 +338,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d, 2).filter(F.col("events").contains("+"))
 
 
-@query("activation_moments")
+_STATISTICS = """s as (select *, users - adopters others, ur - ar others_retained, ar::double x, adopters::double n, (ur - ar)::double y, (users - adopters)::double m from p cross join t),
+    v as (select *, case when y > 0 then (x / n) / (y / m) when x > 0 then 'infinity'::double else 1 end lift, case when n > 0 and m > 0 and x + y > 0 and n + m - x - y > 0 then (n + m) * (x * (m - y) - y * (n - x)) ^ 2 / (n * m * (x + y) * (n + m - x - y)) else 0 end chi2,
+          case when n * m * ur * (users - ur) > 0 then (x * (m - y) - (n - x) * y) / sqrt(n * m * ur * (users - ur)) else 0 end mcc from s)"""
+_PAIRS = "m as (select event_name from c group by 1 order by count(*) desc, 1 limit 30), k as (select * from c where event_name in (select event_name from m))"
+_PATTERNS = "p as (select event_name events, k frequency, count(*) adopters, sum(r) ar from c cross join (values (1), (2), (3)) v(k) where n >= k group by 1, 2 union all select x.event_name || '+' || y.event_name, 1, count(*), sum(x.r) from k x join k y on x.user_id = y.user_id and x.event_name < y.event_name group by 1)"
+#: The statistic that p = 0.5 stands at, at one degree of freedom.
+_MEDIAN_CHI2 = 0.454936423119572
+
+
+@query("activation_statistics", f"{_ACT}, {_PAIRS}, {_PATTERNS}, {_STATISTICS} select events, frequency, adopters, round(chi2, 6) chi2, round(mcc, 9) mcc, round(lift, 9) lift from v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = ordered(spark, d).select("user_id", "event_date", F.concat("event_name", "event_type").alias("event_name"))
+    table = activation.contingency(rows, 365, 2000, 2, [1, 2, 3])
+    return table.select(F.array_join("events", "+").alias("events"), "frequency", "adopters", F.round("chi2", 6).alias("chi2"), F.round("mcc", 9).alias("mcc"), F.round("lift", 9).alias("lift"))
+
+
+@query("activation_moments", f"""{_ACT}, {_PAIRS}, {_PATTERNS}, {_STATISTICS}, w as (
+        select *, row_number() over (partition by events order by mcc desc, frequency) nth from v
+        where adopters >= 10 and others >= 10 and n / users between 0.02 and 0.95 and lift >= 1.1 and chi2 > {_MEDIAN_CHI2})
+    select events, frequency, adopters, cast(ar as bigint) adopters_retained, cast(others as bigint) others, cast(others_retained as bigint) others_retained, round(lift, 9) lift, round(mcc, 9) mcc, round(chi2, 6) chi2 from w where nth = 1 order by w.mcc desc, events limit 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = ordered(spark, d).select("user_id", "event_date", F.concat("event_name", "event_type").alias("event_name"))
     found = activation.discover(rows, 365, 2000, p_threshold=0.5, frequencies=[1, 2, 3])
-    return found.select(F.array_join("events", "+").alias("events"), *_COLUMNS, "lift", "mcc", "chi2")
+    return found.select(F.array_join("events", "+").alias("events"), *_COLUMNS, F.round("lift", 9).alias("lift"), F.round("mcc", 9).alias("mcc"), F.round("chi2", 6).alias("chi2"))
 
 
 # --- churn -------------------------------------------------------------------------------------
@@ -335,6 +387,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _churn(spark, d).select("user_id", "days_inactive", "recent_events", "prior_events", F.round("health_score", 6).alias("health_score"), F.size("signals").alias("signals"), "stage", "trend")
 
 
+# The stream's users, a quarter each: gone for 20 days, for 10 days, with a fifth of their events of late, as they are.
+_FADING = f"""{EV}, od as (select user_id, event_date, event_name from (select *, max(event_date) over () mx, cast(user_id as bigint) % 4 g from ev) where case g when 0 then event_date <= mx - 20 when 1 then event_date <= mx - 10 when 2 then event_date <= mx - 14 or k % 5 = 0 else true end)"""
+_FADED = _CHURN.replace(f"with {OD}", f"with {_FADING}").replace("dt - 728", "dt - 28")
+
+
+def _fading(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(1))
+    rows = from_stream_table(raw.filter(k % 5 == 0)).withColumn("fifth", F.lit(True)).unionByName(from_stream_table(raw.filter(k % 5 != 0)).withColumn("fifth", F.lit(False)))
+    rows = rows.withColumn("part", F.col("user_id").cast("long") % 4)
+    last = F.lit(rows.agg(F.max("event_date")).first()[0])
+    late = F.when(F.col("part") == 0, F.col("event_date") <= F.date_sub(last, 20)).when(F.col("part") == 1, F.col("event_date") <= F.date_sub(last, 10)).when(F.col("part") == 2, (F.col("event_date") <= F.date_sub(last, 14)) | F.col("fifth"))
+    return rows.filter(late.isNull() | late)
+
+
+@query("churn_fading_users", f"{_FADED} select user_id, di days_inactive, re recent_events, pe prior_events, round(health, 6) health_score, n signals, stage, case when (act + br + rec) / 3 >= 70 then 'stable' else 'declining' end trend from u")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return churn.churn_users(_fading(spark, d)).select("user_id", "days_inactive", "recent_events", "prior_events", F.round("health_score", 6).alias("health_score"), F.size("signals").alias("signals"), "stage", "trend")
+
+
+@query("churn_fading_signals", f"{_FADED} select signal, count(*) users from (select health, unnest(['absence', 'usage_frequency_drop', 'activity_volume_decline', 'feature_breadth_narrow', 'session_gap_growth']) signal, unnest([f1, f2, f3, f4, f5]) f from u) where f group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return churn.signal_cohorts(churn.churn_users(_fading(spark, d))).select("signal", "users")
+
+
+@query("churn_at_risk", f"{_FADED} select user_id, round(health, 6) health_score, stage from u where stage in ('fading', 'ghosting', 'gone') order by health, user_id limit 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return churn.at_risk_users(churn.churn_users(_fading(spark, d)), 10).select("user_id", F.round("health_score", 6).alias("health_score"), "stage")
+
+
 @query("churn_stage_distribution", f"{_CHURN} select stage, count(*) users from u group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return churn.stage_distribution(_churn(spark, d))
@@ -385,3 +467,51 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = stream(spark, d).select("user_id", "event_date", "event_name")
     kept = readers.sample_users(rows, 50)
     return identified(rows).agg(F.count_distinct("user_id").alias("users")).crossJoin(kept.agg(F.count_distinct("user_id").alias("kept_users")))
+
+
+@query("commerce_csv_scan", "select cast(user_id as varchar) user_id, cast(ts as date) event_date, event_type event_name, count(*) n from events group by 1, 2, 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    empty = {f.name: F.lit("") for f in readers.COMMERCE.fields} | {"event_time": F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss 'UTC'"), "event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string"), "brand": F.lit('a "b", c')}
+    lines = raw.select(F.to_csv(F.struct(*[c.alias(n) for n, c in empty.items()])).alias("value"))
+    return readers.parse_commerce_csv(lines).groupBy("user_id", "event_date", "event_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flattened_rows", """select event_type event_name, case user_id % 3 when 0 then 'mobile' else 'unknown' end device_type, case user_id % 3 when 1 then 'DE' else '' end country, case event_id % 2 when 0 then 'm' else '' end ai_model, cast(ts as date) event_date,
+    round(sum(case event_id % 2 when 0 then 0.5 else 0 end), 6) quality, cast(sum(case event_id % 2 when 0 then event_id % 7 else 0 end) as bigint) tokens, count(*) filter (user_id % 5 = 0) set_keys, count(*) n from events group by 1, 2, 3, 4, 5""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    user, event = F.col("user_id"), F.col("event_id")
+    ai = F.when(event % 2 == 0, F.struct(F.lit("m").alias("model"), F.lit(0.5).alias("quality_score"), (event % 7).alias("tokens_in")))
+    rows = raw.select(
+        F.lit(TENANT).alias("tenant_id"), event.cast("string").alias("event_id"), user.cast("string").alias("user_id"), F.col("event_type").alias("event_name"), F.lit("track").alias("event_type"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("custom").alias("source_system"),
+        F.when(user % 3 == 0, "mobile").alias("device_type"), F.when(user % 3 == 1, "DE").alias("country"), F.when(user % 5 == 0, F.create_map(F.lit("plan"), F.lit("pro"))).alias("user_properties_set"),
+        F.struct(*[(ai[f.name] if f.name in ("model", "quality_score", "tokens_in") else F.lit(None)).cast(f.dataType).alias(f.name) for f in AI]).alias("ai"),
+    )
+    flat = to_table_rows(rows)
+    totals = [F.round(F.sum("ai_quality_score"), 6).alias("quality"), F.sum("ai_tokens_in").alias("tokens"), F.count_if(F.size("user_properties_set") > 0).alias("set_keys"), F.count(F.lit(1)).alias("n")]
+    return flat.groupBy("event_name", "device_type", "country", "ai_model", "event_date").agg(*totals)
+
+
+@query("vendor_mapping_fields", """with e as (select *, user_id % 6 u, cast(user_id as varchar) who, event_id % 3 g from events)
+    select case event_type when 'view' then '$groupidentify' else event_type end event_name, case event_type when 'view' then 'group_identify' else 'track' end event_type, case u when 0 then 'mobile' when 1 then 'tablet' else 'unknown' end device_type, case u when 2 then 'FR' else '' end country,
+    case g when 0 then 'company' when 1 then 'group_2' else '' end group_type, case g when 0 then 'k' || u when 1 then 'g' || u else '' end group_id, '/p' || u page_path, 'en-US' locale, case u when 3 then 'mail' else '' end utm_source,
+    '{"$geoip_country_code":"' || case u when 2 then 'fr' else 'xxx' end || '","$locale":"en-US","flag":"true","nested":"{\\"a\\":[1]}","none":"","plan":"p' || u || '"}' properties, case when u = 4 then '{"tier":"1"}' else '{}' end user_set, case when u = 4 then '{"first":"x"}' else '{}' end user_set_once,
+    case when event_type = 'view' then '{"size":"9"}' else '{}' end group_properties, 'posthog' source_system, count(*) n from e group by all""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    u, g, one = F.col("user_id") % 6, F.col("event_id") % 3, F.col("event_type") == "view"
+    told = {
+        "$device_type": F.when(u == 0, "Mobile").when(u == 1, "Tablet").otherwise("Watch"), "$geoip_country_code": F.when(u == 2, "fr").otherwise("xxx"), "$pathname": F.concat(F.lit("/p"), u), "$locale": F.lit("en-US"), "$utm_source": F.when(u == 3, "mail"), "$os": F.lit("x"),
+        "$group_type": F.when(g == 0, "company"), "$group_key": F.when(g == 0, F.concat(F.lit("k"), u)), "$group_2": F.when(g == 1, F.concat(F.lit("g"), u)), "plan": F.concat(F.lit("p"), u), "flag": F.lit(True), "none": F.lit(None).cast("string"), "nested": F.struct(F.array(F.lit(1)).alias("a")),
+        "$set": F.when(u == 4, F.struct(F.lit(1).alias("tier"))), "$set_once": F.when(u == 4, F.struct(F.lit("x").alias("first"))), "$group_set": F.struct(F.lit(9).alias("size")),
+    }
+    properties = F.to_json(F.struct(*[c.alias(k) for k, c in told.items()]), {"ignoreNullFields": "false"})
+    rows = raw.select(F.col("event_id").cast("string").alias("uuid"), F.when(one, "$groupidentify").otherwise(F.col("event_type")).alias("event"), F.col("user_id").cast("string").alias("distinct_id"), F.col("ts").cast("timestamp").cast("string").alias("timestamp"), properties.alias("properties"))
+
+    def text(column: str) -> Column:
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
+
+    mapped = vendor.map_vendor_events(rows, TENANT)
+    keys = ["event_name", "event_type", "device_type", "country", "group_type", "group_id", "page_path", "locale", "utm_source", "source_system"]
+    return mapped.groupBy(*keys, text("properties").alias("properties"), text("user_properties_set").alias("user_set"), text("user_properties_set_once").alias("user_set_once"), text("group_properties").alias("group_properties")).agg(F.count(F.lit(1)).alias("n"))

@@ -50,12 +50,20 @@ def read_commerce_csv(spark: SparkSession, path: str, max_users: int | None = No
     """Commerce CSV as the analysis frame, of ``max_users`` users if that is given; only the columns that are used are parsed."""
     names = spark.read.option("header", True).csv(path).columns if Path(path.removeprefix("file://")).exists() or "://" in path else []
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] or COMMERCE.fields)
-    rows = spark.read.schema(schema).option("header", True).csv(path).select("event_time", "event_type", "user_id")
-    day = F.to_date(F.try_to_timestamp(F.substring("event_time", 1, 10), F.lit("yyyy-MM-dd")))
-    events = rows.select(F.col("user_id"), day.alias("event_date"), F.col("event_type").alias("event_name")).filter("event_date is not null")
+    events = _commerce_days(spark.read.schema(schema).option("header", True).csv(path))
     return sample_users(events, max_users) if max_users else events
 
 
+def _commerce_days(rows: DataFrame) -> DataFrame:
+    day = F.to_date(F.try_to_timestamp(F.substring("event_time", 1, 10), F.lit("yyyy-MM-dd")))
+    return rows.select("user_id", day.alias("event_date"), F.col("event_type").alias("event_name")).filter("event_date is not null")
+
+
+def parse_commerce_csv(lines: DataFrame) -> DataFrame:
+    """The analysis frame from a ``value`` column of commerce CSV lines without a header."""
+    return _commerce_days(lines.select(F.from_csv("value", F.lit(COMMERCE.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))).alias("r")).select("r.*"))
+
+
 def commerce_to_events(rows: DataFrame) -> DataFrame:
     """Each row as its event, and each view of a category also as browse_<top category>."""
     category = F.split(F.coalesce("category_code", F.lit("")), r"\.")[0]
