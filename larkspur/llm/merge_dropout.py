@@ -29,9 +29,9 @@ DROPOUT = 0.1
 #: An occurrence's variant, from its document and place, is one of so many.
 VARIANTS = 1 << 64
 #: Courses of the agenda that a task remembers; of more it keeps those in use, half as many at most.
-MEMORY = 250_000
+MEMORY = 200_000
 #: Occurrences that draw together.
-BLOCK = 1 << 17
+BLOCK = 1 << 15
 #: Chunks of up to so many characters go through the agenda together in numpy, longer ones by heap.
 TOGETHER = 32
 SPACE = "▁"
@@ -135,14 +135,15 @@ class Codec:
     def _forget(self) -> None:
         """Empty the memory. A node stands for a chunk and the candidates skipped in it so far."""
         self.roots: dict[str, int] = {}
-        self.nodes: list[tuple[str, tuple[int, ...]]] = []
+        self.nodes: list[str] = []
+        self.without: list[tuple[int, ...]] = []
         #: The ids of each node's chunk if nothing else is skipped.
         self.spelt: list[bytes] = []
         #: The chunk's hash, the number of merges already decided, and where those still open lie.
         self.marks, self.decided = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: The open merges in order, and the node behind each if it is the next one skipped (0: not made yet).
-        self.codes, self.behind, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.codes, self.behind, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         #: How often each node was passed; older uses count half at each thinning.
         self.uses = np.zeros(0, np.int64)
 
@@ -161,10 +162,10 @@ class Codec:
         size = self.open[old]
         at = np.repeat(self.first[old] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         behind = self.behind[at]
-        self.codes, self.behind, self.used = self.codes[at], np.where(keep[behind], new[behind], 0), len(at)
+        self.codes, self.behind, self.used = self.codes[at], np.where(keep[behind], new[behind], 0).astype(np.int32), len(at)
         self.first, self.open = np.cumsum(size) - size, size
         self.marks, self.decided, self.uses = self.marks[old], self.decided[old], self.uses[old] // 2
-        self.nodes, self.spelt = [self.nodes[i] for i in old.tolist()], [self.spelt[i] for i in old.tolist()]
+        self.nodes, self.without, self.spelt = ([x[i] for i in old.tolist()] for x in (self.nodes, self.without, self.spelt))
         self.roots = {chunk: int(new[i]) for chunk, i in self.roots.items() if keep[i]}
 
     # --- one chunk at a time, by heap -------------------------------------------------------
@@ -309,7 +310,8 @@ class Codec:
             self.marks[at], self.decided[at] = np.array([marks[k] for k in part], dtype=np.uint64), done
             self.used += size
             self.spelt += ids
-            self.nodes += [(chunks[k], skipped[k]) for k in part]
+            self.nodes += [chunks[k] for k in part]
+            self.without += [skipped[k] for k in part]
         return numbers
 
     def _root(self, chunks: list[str]) -> None:
@@ -342,10 +344,10 @@ class Codec:
             new, where = new[new >= 0], where[new >= 0]
             if len(new):
                 parents = node[who[where]]
-                known = [self.nodes[p] for p in parents.tolist()]
+                of = parents.tolist()
                 decided = self.decided[parents] + new - self.first[parents]
-                skipped = [(*codes, c) for (_, codes), c in zip(known, self.codes[new].tolist(), strict=True)]
-                made = self._remember([c for c, _ in known], skipped, decided.tolist(), self.marks[parents].tolist())
+                skipped = [(*self.without[p], c) for p, c in zip(of, self.codes[new].tolist(), strict=True)]
+                made = self._remember([self.nodes[p] for p in of], skipped, decided.tolist(), self.marks[parents].tolist())
                 self.behind[new] = made
             going = going[who]
             nodes[going] = self.behind[spot]
@@ -405,7 +407,7 @@ class Codec:
         return self.contents[at].tobytes().decode("utf-8", "replace")[1:]
 
 
-def _batches(column: pa.Array, keys: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[str | None], list[str]]]:
+def _batches(column: pa.Array, keys: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str | None], list[str]]]:
     """(first row, texts, keys) of pieces of about ``size`` characters."""
     texts, names = column.to_pylist(), ["" if k is None else str(k) for k in keys.to_pylist()]
     at = n = 0

@@ -76,6 +76,18 @@ def test_every_occurrence_of_a_word_is_segmented_for_itself():
     assert 0.3 < sum(w[0] != w[1] for w in want) / n < 0.95
 
 
+def test_thinning_the_memory_changes_no_segmentation(monkeypatch):
+    g = np.random.default_rng(6)
+    pool = ["".join(g.choice(list("theinorsa"), int(g.integers(2, 12)))) for _ in range(400)]
+    texts = [" ".join(pool[int(i)] for i in g.zipf(1.3, 200) % len(pool)) for _ in range(40)]
+    want = [merge_dropout.Codec(MODEL, 0.2, 3).encode([t], [str(i)])[0].tolist() for i, t in enumerate(texts)]
+    monkeypatch.setattr(merge_dropout, "MEMORY", 100)
+    monkeypatch.setattr(merge_dropout, "BLOCK", 64)
+    codec = merge_dropout.Codec(MODEL, 0.2, 3)
+    got = [codec.encode([t], [str(i)])[0].tolist() for i, t in enumerate(texts)]
+    assert got == want and len(codec.roots) < 400
+
+
 def test_encoded_documents(spark, odd):
     got = merge_dropout.encode_documents(odd, MODEL)
     assert got.count() == len(ODD) and got.filter("not lossless").count() == 0 and got.filter("ids is null").count() == 2
