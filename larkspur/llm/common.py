@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import ship
+
 #: A word is a run of code points other than space and U+0009..U+000D (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,6 +54,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a batch that Spark hands to Python where the session leaves Spark's own 10,000: whole texts are large rows.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and batches of texts small enough for their memory."""
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names with underscores in front, as many as no column of ``df`` has (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import ship
+from larkspur.llm.common import prepare_python
 
 #: Lines in a window; the sum at which text begins; it ends where the sum is below half of that.
 WINDOW = 3
@@ -332,7 +332,7 @@ def extract_pages(pages: DataFrame, html: str = "html", window: int = WINDOW, su
     Null or empty html: empty text, 0. Repeated rows are each extracted. Clashing columns are
     replaced. Whole pages are read, batch by batch, without a shuffle; an empty table stays empty.
     """
-    ship(pages.sparkSession)
+    prepare_python(pages.sparkSession)
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -12,8 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import broadcast_if_small, uniform, unused
-from larkspur.session import ship
+from larkspur.llm.common import broadcast_if_small, prepare_python, uniform, unused
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -121,7 +120,7 @@ def identify(docs: DataFrame, classifier: Classifier, text: str = "text") -> Dat
     language with more rows in the fit, score 0, rejected. No languages: every row ``und``. Columns of
     ``docs`` with these names are replaced, all others stay. Texts are coded whole, batch by batch, without a shuffle.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

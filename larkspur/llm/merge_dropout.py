@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import ship
+from larkspur.llm.common import prepare_python
 
 DROPOUT = 0.1
 #: An occurrence's variant, from its document and place, is one of so many.
@@ -427,7 +427,7 @@ def encode_documents(docs: DataFrame, model: tuple[list[str], list[float], list[
     text. Rows with equal doc_id and text get equal ids; dropout 0 gives the model's own encoding.
     Other columns are ignored; an empty table gives no rows. No shuffle; a task holds one batch.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec(model, dropout, seed))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +443,7 @@ def encode_documents(docs: DataFrame, model: tuple[list[str], list[float], list[
 
 def decode_ids(coded: DataFrame, model: tuple[list[str], list[float], list[int]], ids: str = "ids") -> DataFrame:
     """Add text, decoded from ``ids``, to ``coded``; null ids give a null text."""
-    ship(coded.sparkSession)
+    prepare_python(coded.sparkSession)
     shared = coded.sparkSession.sparkContext.broadcast(Codec(model))
 
     @F.pandas_udf("string")

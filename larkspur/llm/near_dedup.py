@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles
-from larkspur.llm.common import durable, join_hot, join_salted
+from larkspur.llm.common import durable, join_hot, join_salted, prepare_python
 from larkspur.llm.components import components
-from larkspur.session import ship
 
 #: Each of two collections has BANDS bands of ROWS minhashes; table (i, j) is keyed by band i of the
 #: first and band j of the second. So 2 * BANDS * ROWS minhashes serve BANDS ** 2 tables of 2 * ROWS
@@ -30,7 +29,7 @@ PICK_ROWS = 500_000
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n (size of the shingle set), h1, h2 (its digests), a, b (its bands) for each row."""
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +47,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, s (its sorted set of shingle hashes) for the documents in ``ids`` (id), from their whole texts."""
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +116,7 @@ def _leftovers(docs: DataFrame, large: DataFrame, labels: DataFrame, width: int,
 
 def _mixed(held: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with comp, of buckets in which several components meet."""
-    own = held.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    own = durable(held.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     keys = durable(own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo != hi").select("key", "rows"))
     return durable(join_hot(own, keys.select("key"), ["key"], keys.withColumnRenamed("rows", "n")))
 

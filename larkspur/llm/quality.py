@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import uniform
-from larkspur.session import ship
+from larkspur.llm.common import prepare_python, uniform
 
 #: The scorer is trained on the whole texts of about so many documents, those of least hash (bounded sample).
 TRAIN_ROWS = 6_000
@@ -179,7 +178,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: str = "quality") -> tuple
     documents of least hash; a document sends at most 6 * BUCKETS bytes to the driver. Null texts
     vote but are no sample; no documents: weights of 0.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     code = F.pandas_udf(_as_code, "long")
     counts = docs.select(code("text").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = sorted((r["code"], r["n"]) for r in counts)
@@ -204,7 +203,7 @@ def score_quality(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD,
     Null, empty or blank text: score 0, rejected. Repeated rows score alike. Clashing columns of
     ``docs`` are replaced. Whole texts are read, batch by batch, without a shuffle.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")

@@ -16,8 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import broadcast_if_small, durable, uniform
-from larkspur.session import ship
+from larkspur.llm.common import broadcast_if_small, durable, prepare_python, uniform
 
 #: The fit reads about so many labelled rows (those of least hash; bounded sample). Terms and near words are all
 #: that pass the tests on them.
@@ -292,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: str = "t
     and they are written to the checkpoint folder once. Of each sampled document its counts and near
     words reach the driver. No labels: no terms.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = known.filter(uniform(seed, F.col("doc_id")) < min(1.0, rows / max(1, known.count())))
     sample = durable(docs.select("doc_id", "text").join(broadcast_if_small(drawn), "doc_id"))
@@ -323,7 +322,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     Null and empty texts score as texts without a match. Repeated rows score alike. Clashing columns
     are replaced. Whole texts are read, batch by batch, without a shuffle.
     """
-    ship(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

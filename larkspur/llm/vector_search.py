@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, uniform
-from larkspur.session import ship
+from larkspur.llm.common import durable, prepare_python, uniform
 
 #: Rows of a shard (one tree each) and queries that meet it in one task.
 SHARD_ROWS, QUERY_BLOCK = 8192, 8192
@@ -193,7 +192,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     task builds one shard's tree and answers one block of queries, so its memory is bounded whatever
     the size of either; its lists are merged by query.
     """
-    ship(vectors.sparkSession)
+    prepare_python(vectors.sparkSession)
     rows = durable(usable(vectors, id_column, vector_column))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(is_query)).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
     n, n_blocks = total["n"], max(1, -(-total["asked"] // query_block))
