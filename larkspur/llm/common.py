@@ -100,22 +100,6 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame
     return near.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: str, counts: DataFrame, spread: list[str], hot: int = HOT) -> DataFrame:
-    """left join right (one row for each key, of any size) with at most about ``hot`` of left's rows of a key in a task.
-
-    counts: on, n. A frequent key is salted by a hash of left's ``spread`` columns, and its row of ``right``
-    is repeated for each salt.
-    """
-    keys = _hottest(counts, [on], hot)
-    if keys is None:
-        return left.join(right, on)
-    keys = F.broadcast(keys.select(on, F.ceil(F.col("n") / hot).cast("int").alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    salted = left.join(keys, on, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("salts")
-    copies = right.join(keys, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return salted.join(copies, [on, "salt"]).drop("salt")
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows (counted first), else leave it to a shuffled join.
 
