@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles
-from larkspur.llm.common import durable, prepare_python
+from larkspur.llm.common import BROADCAST_ROWS, HOT, durable, prepare_python
 from larkspur.llm.components import components
 
 #: Each of two collections has BANDS bands of ROWS minhashes; table (i, j) is keyed by band i of the
@@ -61,12 +61,43 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return picked.mapInArrow(build, "id long, s array<long>")
 
 
+def _busy(pairs: DataFrame) -> DataFrame | None:
+    """id, salts for the ids in more than HOT of the (a, b) pairs; None if there are none.
+
+    The threshold grows with the number of pairs, so that at most BROADCAST_ROWS ids can exceed it:
+    the result may be broadcast whatever the input.
+    """
+    hot = max(HOT, 2 * pairs.count() / BROADCAST_ROWS)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    busy = durable(ends.filter(F.col("n") > hot).select("id", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
+    return busy if busy.take(1) else None
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, busy: DataFrame | None) -> DataFrame:
+    """pairs with the set of the id in ``end`` as s<end>.
+
+    The pairs of a busy id are spread over its salts by their ``other`` id, and its set is repeated once a
+    salt: its sets come out as wide rows, one a pair, which one task must not make alone.
+    """
+    of_end = sets.select(F.col("id").alias(end), F.col("s").alias(f"s{end}"))
+    if busy is None:
+        return pairs.join(of_end, end)
+    salts = F.broadcast(busy.withColumnRenamed("id", end))
+    n = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(salts, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), n).cast("int")).drop("salts")
+    copies = of_end.join(salts, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return salted.join(copies, [end, "salt"]).drop("salt")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct (a, b) pairs whose full sets have 100 * intersection >= percent * union."""
+    """The distinct (a, b) pairs whose full sets have 100 * intersection >= percent * union.
+
+    ``pairs`` has a durable lineage: it is read several times.
+    """
     ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = durable(sets_of(docs, ids, width))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    busy = _busy(pairs)
+    both = _with_set(_with_set(pairs, sets, "a", "b", busy), sets, "b", "a", busy)
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 

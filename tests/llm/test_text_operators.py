@@ -518,9 +518,10 @@ def family(g, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("small", [2, near_dedup.SMALL])
-def test_components_equal_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize(("small", "hot"), [(2, 3), (near_dedup.SMALL, near_dedup.HOT)])
+def test_components_equal_brute_force(spark, small, hot, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     monkeypatch.setattr(near_dedup, "QUERY_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "MEMBER_BLOCK", 16)
     g = np.random.default_rng(8)
@@ -533,6 +534,20 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert got == truth(rows, 3, 85)
 
 
+def test_busy_ids_are_salted_and_their_pairs_confirmed_alike(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    base = [f"t{g.integers(5000)}" for _ in range(60)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[:-k] + ["x"] * k)) for i in range(1, 41) for k in [1 + i % 20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 41)] + [(1, 2)], "a long, b long").cache()
+    assert near_dedup._busy(pairs) is None
+    plain = sorted(map(tuple, near_dedup.confirm(docs, pairs, 3, 85).collect()))
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    assert [tuple(r) for r in near_dedup._busy(pairs).collect()] == [(0, 10)]
+    salted = sorted(map(tuple, near_dedup.confirm(docs, pairs, 3, 85).collect()))
+    assert salted == plain and 0 < len(plain) < 41
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = near_dedup.near_duplicates(odd, 3, 85).collect()
     assert len(got) == len(ODD) and all(r["component_id"] == r["doc_id"] and r["kept"] for r in got)
