@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles
-from larkspur.llm.common import BROADCAST_ROWS, HOT, durable, prepare_python
+from larkspur.llm.common import durable, prepare_python
 from larkspur.llm.components import components
 
 #: Each of two collections has BANDS bands of ROWS minhashes; table (i, j) is keyed by band i of the
@@ -61,45 +61,21 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return picked.mapInArrow(build, "id long, s array<long>")
 
 
-def _busy(pairs: DataFrame) -> DataFrame | None:
-    """id, salts for the ids in more than HOT of the (a, b) pairs; None if there are none.
-
-    The threshold grows with the number of pairs, so that at most BROADCAST_ROWS ids can exceed it:
-    the result may be broadcast whatever the input.
-    """
-    hot = max(HOT, 2 * pairs.count() / BROADCAST_ROWS)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    busy = durable(ends.filter(F.col("n") > hot).select("id", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
-    return busy if busy.take(1) else None
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, busy: DataFrame | None) -> DataFrame:
-    """pairs with the set of the id in ``end`` as s<end>.
-
-    The pairs of a busy id are spread over its salts by their ``other`` id, and its set is repeated once a
-    salt: its sets come out as wide rows, one a pair, which one task must not make alone.
-    """
-    of_end = sets.select(F.col("id").alias(end), F.col("s").alias(f"s{end}"))
-    if busy is None:
-        return pairs.join(of_end, end)
-    salts = F.broadcast(busy.withColumnRenamed("id", end))
-    n = F.coalesce("salts", F.lit(1))
-    salted = pairs.join(salts, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), n).cast("int")).drop("salts")
-    copies = of_end.join(salts, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
-    return salted.join(copies, [end, "salt"]).drop("salt")
-
-
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct (a, b) pairs whose full sets have 100 * intersection >= percent * union.
+    """The (a, b) pairs whose full sets have 100 * intersection >= percent * union.
 
-    ``pairs`` has a durable lineage: it is read several times.
+    ``pairs``: a, b, lead (whichever of the two may be in any number of pairs; the other is in few). The
+    other's set is joined first, so what then meets a leader's set are rows as wide as the work they
+    bring, and adaptive execution can split a leader's partition by its bytes. Nothing after that join
+    asks for its partitioning, which would forbid the split: pairs of an id that several texts share may repeat.
     """
     ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = durable(sets_of(docs, ids, width))
-    busy = _busy(pairs)
-    both = _with_set(_with_set(pairs, sets, "a", "b", busy), sets, "b", "a", busy)
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    mate = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    wide = pairs.withColumn("mate", mate).join(sets.select(F.col("id").alias("mate"), F.col("s").alias("sm")), "mate")
+    both = wide.join(sets.select(F.col("id").alias("lead"), F.col("s").alias("sl")), "lead")
+    shared = F.size(F.array_intersect("sm", "sl"))
+    return both.filter(100 * shared >= percent * (F.size("sm") + F.size("sl") - shared)).select("a", "b")
 
 
 def _leftovers(docs: DataFrame, large: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
@@ -183,9 +159,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     held = durable(keyed.join(buckets, "key"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        return durable(pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        ends = [F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")]
+        return pairs.filter("lead != id").groupBy(*ends).agg(F.min("lead").alias("lead"))
 
-    tried = ordered(held.groupBy("id").agg(F.min("first").alias("x")).withColumnRenamed("id", "y"))
+    tried = durable(ordered(held.groupBy("id").agg(F.min("first").alias("lead"))))
     links = durable(confirm(docs, tried, width, percent))
     labels = components(links)
 
@@ -193,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     led = open_rows.select("id", "comp", F.explode(F.array("first", "second")).alias("leader")).filter("id != leader")
     of_leader = labels.select(F.col("id").alias("leader"), F.col("comp").alias("its"))
     across = led.distinct().join(of_leader, "leader", "left").filter(F.col("comp") != F.coalesce("its", "leader"))
-    more = durable(ordered(across.select(F.col("id").alias("x"), F.col("leader").alias("y"))).join(tried, ["a", "b"], "left_anti"))
+    more = durable(ordered(across.select("id", F.col("leader").alias("lead"))).join(tried, ["a", "b"], "left_anti"))
     if more.take(1):
         tried = tried.union(more)
         links = durable(links.union(confirm(docs, more, width, percent)))
@@ -203,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     open_rows = open_rows.filter("n > 2")  # the one pair of a bucket of two has been tried
     small = open_rows.filter(F.col("n") <= SMALL)
     other = small.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    pairs = small.join(other, "key").filter("id < id2 and comp != comp2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    pairs = small.join(other, "key").filter("id < id2 and comp != comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("id").alias("lead")).distinct()
     pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
     if pairs.take(1):
         links = links.union(confirm(docs, pairs, width, percent))

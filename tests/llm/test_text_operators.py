@@ -518,10 +518,9 @@ def family(g, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize(("small", "hot"), [(2, 3), (near_dedup.SMALL, near_dedup.HOT)])
-def test_components_equal_brute_force(spark, small, hot, monkeypatch):
+@pytest.mark.parametrize("small", [2, near_dedup.SMALL])
+def test_components_equal_brute_force(spark, small, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "HOT", hot)
     monkeypatch.setattr(near_dedup, "QUERY_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "MEMBER_BLOCK", 16)
     g = np.random.default_rng(8)
@@ -534,18 +533,26 @@ def test_components_equal_brute_force(spark, small, hot, monkeypatch):
     assert got == truth(rows, 3, 85)
 
 
-def test_busy_ids_are_salted_and_their_pairs_confirmed_alike(spark, monkeypatch):
+def test_pairs_of_one_leader_are_confirmed_in_several_tasks(spark):
     g = np.random.default_rng(3)
     base = [f"t{g.integers(5000)}" for _ in range(60)]
-    rows = [(0, " ".join(base))] + [(i, " ".join(base[:-k] + ["x"] * k)) for i in range(1, 41) for k in [1 + i % 20]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = spark.createDataFrame([(0, i) for i in range(1, 41)] + [(1, 2)], "a long, b long").cache()
-    assert near_dedup._busy(pairs) is None
-    plain = sorted(map(tuple, near_dedup.confirm(docs, pairs, 3, 85).collect()))
-    monkeypatch.setattr(near_dedup, "HOT", 4)
-    assert [tuple(r) for r in near_dedup._busy(pairs).collect()] == [(0, 10)]
-    salted = sorted(map(tuple, near_dedup.confirm(docs, pairs, 3, 85).collect()))
-    assert salted == plain and 0 < len(plain) < 41
+    edits = {i: 1 + i % 20 for i in range(1, 201)}
+    docs = spark.createDataFrame([(0, " ".join(base))] + [(i, " ".join(base[:-k] + ["x"] * k)) for i, k in edits.items()], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i, 0) for i in edits], "a long, b long, lead long")
+    # A set has 58 shingles; k edits leave 58 - k of them and bring min(k, 3) others.
+    linked = [(0, i) for i, k in edits.items() if 100 * (58 - k) >= 85 * (58 + min(k, 3))]
+    split = {"autoBroadcastJoinThreshold": -1, "adaptive.coalescePartitions.enabled": False, "adaptive.advisoryPartitionSizeInBytes": 4096,
+             "adaptive.skewJoin.skewedPartitionFactor": 1, "adaptive.skewJoin.skewedPartitionThresholdInBytes": 8192}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        found = near_dedup.confirm(docs, pairs, 3, 85)
+        assert sorted(map(tuple, found.collect())) == linked and 0 < len(linked) < 200
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
