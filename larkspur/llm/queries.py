@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
+import public_tokenizers
+from larkspur.llm import byte_bpe, fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
 from larkspur.llm.common import table
 
 #: The SentencePiece model (merge type, with byte fallback) that op2 encodes with.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The rank file, of the public tokenizers, that op13 encodes with.
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 #: The rules of op8: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -71,6 +74,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, scorer).select("doc_id", F.col("quality_score").alias("score"), (~F.col("rejected")).alias("kept"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = byte_bpe.load_ranks(public_tokenizers.path(BYTE_RANKS)), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = byte_bpe.decode_ids(byte_bpe.encode_documents(docs, ranks, pattern), ranks, pattern)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_merge_dropout": op2_merge_dropout,
@@ -82,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
