@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from larkspur.llm import byte_bpe, fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
+from larkspur.llm import byte_bpe, filter_audit, fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
 from larkspur.llm.common import table
 
 #: The SentencePiece model (merge type, with byte fallback) that op2 encodes with.
@@ -74,6 +74,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, scorer).select("doc_id", F.col("quality_score").alias("score"), (~F.col("rejected")).alias("kept"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit_filters(docs.select("doc_id", "text", "source"), labels).select("part", "filter_order", "step", *filter_audit.COUNTS, "shapley")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = byte_bpe.load_ranks(public_tokenizers.path(BYTE_RANKS)), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
@@ -145,5 +151,45 @@ with parts as (
 )
 select page_id, host, path, rule, case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' else 'allow' end verdict
 from judged
+""",
+    "op12_filter_audit": r"""
+with words as (
+    select doc_id, coalesce(source, '') part, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+), least as (
+    select coalesce(text, '') text, min(doc_id) least from documents group by 1
+), told as (
+    select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by doc_id
+), judged as (
+    select part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                  100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+                  regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > l.least, false)] fails,
+           coalesce(good, 0) good, coalesce(toxic, 0) toxic
+    from words d join least l using (text) left join told t on d.doc_id = t.doc_id
+), letters as (
+    select unnest([1, 2, 3, 4, 5]) f
+), orders as (
+    select [a.f, b.f, c.f, d.f, e.f] o from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+    select array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') filter_order, step, o[step] f, o[:step - 1] before
+    from orders, (select unnest([1, 2, 3, 4, 5]) step)
+), grouped as (
+    select part, fails, count(*) n, sum(good) good, sum(toxic) toxic from judged group by part, fails
+), met as (
+    select part, filter_order, step, f, n, good, toxic, fails[f] falls,
+           len(list_filter(before, lambda x: fails[x])) = 0 there,
+           len(list_filter(fails, lambda x: x)) = 1 alone
+    from grouped, steps
+), counted as (
+    select part, filter_order, step, f,
+           sum(case when there and not falls then n else 0 end) kept, sum(case when there and falls then n else 0 end) removed,
+           sum(case when falls and not there then n else 0 end) redundant, sum(case when falls and alone then n else 0 end) unique_fails,
+           sum(case when there and falls then good else 0 end) good_lost, sum(case when there and falls then toxic else 0 end) toxic_lost
+    from met group by part, filter_order, step, f
+)
+select part, filter_order, cast(step as integer) step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant,
+       cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) shapley
+from counted
 """,
 }
