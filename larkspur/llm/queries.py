@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from larkspur.llm import byte_bpe, filter_audit, fingerprints, html_extract, language_id, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
+from larkspur.llm import byte_bpe, filter_audit, fingerprints, html_extract, language_id, lexical_search, merge_dropout, mixing, near_dedup, quality, toxicity, url_filters, vector_search
 from larkspur.llm.common import table
 
 #: The SentencePiece model (merge type, with byte fallback) that op2 encodes with.
@@ -74,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, scorer).select("doc_id", F.col("quality_score").alias("score"), (~F.col("rejected")).alias("kept"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return filter_audit.audit_filters(docs.select("doc_id", "text", "source"), labels).select("part", "filter_order", "step", *filter_audit.COUNTS, "shapley")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
@@ -151,6 +156,31 @@ with parts as (
 )
 select page_id, host, path, rule, case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' else 'allow' end verdict
 from judged
+""",
+    "op11_lexical_search": r"""
+with terms as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents
+), held as (
+    select doc_id, len(t) n, t from terms where len(t) > 0
+), corpus as (
+    select count(*) big_n, cast(coalesce(sum(n), 0) as bigint) l from held
+), asked as (
+    select item_id, term, count(*) repeats
+    from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark)
+    group by item_id, term
+), postings as (
+    select doc_id, n, term, count(*) tf from (select doc_id, n, unnest(t) term from held) group by doc_id, n, term
+), df as (
+    select term, count(*) df from postings group by term
+), weights as (
+    select term, cast(floor(1000 * ln((2.0::double * big_n + 2) / (2.0::double * df + 1))) as bigint) w from df, corpus
+), scored as (
+    select item_id, doc_id, cast(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // l)))) as bigint) score
+    from asked join postings using (term) join weights using (term), corpus group by item_id, doc_id
+), ranked as (
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
 """,
     "op12_filter_audit": r"""
 with words as (
