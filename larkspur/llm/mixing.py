@@ -1,7 +1,10 @@
 """Mixing sources to target weights: repetition rates, whole copies and one Bernoulli copy.
 
-All copies of a source are drawn from one seed. Of DRAWS seeds each source takes the one whose words
-come nearest to its target, so that small sources meet theirs too.
+A document gets its one copy more with probability equal to the fraction of its source's rate, whatever
+its size. The draws of a source are not independent, so that they come near the target: its documents
+stand in an order by size in groups of about GROUP, and with one hash-seeded start u for each group the
+document at place i gets the copy where floor((i + 1) * f + u) > floor(i * f + u). Over u that has
+probability f at every place, and every stretch of sizes gets its share within one document.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ BUDGET = 1.5
 MOST = 2.0
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (3, 1, 2)
-#: Seeds that a source chooses from.
-DRAWS = 16
+#: Documents that are drawn together, on average.
+GROUP = 2_000
 
 
 def n_words(text: Column) -> Column:
@@ -52,11 +55,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return levelled.withColumn("level", level).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"), "n_rows")
 
 
-def copies_of(rate: Column, doc_id: Column, seed: str, draw: Column) -> Column:
-    """floor(rate) copies, and one more if the document's hash under the draw's seed falls below the fraction."""
-    return (F.floor(rate) + F.when(uniform(F.concat(F.lit(f"{seed}-"), draw.cast("string")), doc_id) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-
-
 def _keys(source: Column) -> list[Column]:
     """A source as two columns that are never null."""
     return [source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("its_source")]
@@ -65,18 +63,28 @@ def _keys(source: Column) -> list[Column]:
 _ON = ["no_source", "its_source"]
 
 
-def source_plan(sizes: DataFrame, seed: str, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """no_source, its_source, source_size, target, n_rows, rate, draw for (doc_id, source, size) rows with a durable lineage.
+def source_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """no_source, its_source, source_size, target, n_rows, rate for (source, size) rows, with a durable lineage."""
+    targets = source_targets(sizes, weights, budget, most).select(*_keys(F.col("source")), "source_size", "target", "n_rows")
+    return durable(targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+
+
+def _with_copies(rows: DataFrame, seed: str, tie: Column) -> DataFrame:
+    """rows (doc_id, size, no_source, its_source, n_rows, rate and others) with ``copies``.
 
-    draw: the one of DRAWS seeds whose copies hold words nearest to the target (the first of equals).
-    The words of all draws come from one aggregate, folded on the map side.
+    A source's groups are by a hash of doc_id, about n_rows / GROUP of them, so none holds a large source;
+    in a group the order is by size, hash and doc_id, then ``tie``.
     """
-    targets = durable(source_targets(sizes, weights, budget, most).select(*_keys(F.col("source")), "source_size", "target", "n_rows"))
-    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rows = _joined(sizes.select("doc_id", "size", *_keys(F.col("source"))), targets)
-    words = [F.sum(F.col("size") * copies_of(F.col("rate"), F.col("doc_id"), seed, F.lit(k))).alias(f"w{k}") for k in range(DRAWS)]
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("draw")) for k in range(DRAWS)]))["draw"]
-    return durable(rows.groupBy(*_ON, "source_size", "target", "n_rows", "rate").agg(*words).select(*_ON, "source_size", "target", "n_rows", "rate", nearest.alias("draw")))
+    draw = uniform(seed, F.col("doc_id"))
+    group = F.floor(uniform(f"{seed}-group", F.col("doc_id")) * F.ceil(F.col("n_rows") / GROUP))
+    spread = rows.withColumns({"draw": draw, "draw_group": group})
+    place = F.row_number().over(Window.partitionBy(*_ON, "draw_group").orderBy("size", "draw", F.col("doc_id").asc_nulls_first(), tie)) - 1
+    start = uniform(f"{seed}-start", F.col("no_source"), F.col("its_source"), F.col("draw_group"))
+    whole = F.floor(F.col("rate"))
+    part = F.col("rate") - whole
+    more = F.floor((F.col("place") + 1) * part + F.col("start")) > F.floor(F.col("place") * part + F.col("start"))
+    placed = spread.withColumns({"place": place, "start": start})
+    return placed.withColumn("copies", (whole + more.cast("int")).cast("int")).drop("draw", "draw_group", "place", "start")
 
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -90,23 +98,27 @@ def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] =
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs``.
 
     A source's rate is target / source_size; a row is taken floor(rate) times, and once more with
-    probability equal to the fraction, decided by a hash of doc_id and the source's seed, so reruns agree.
+    probability equal to the fraction (see the module's head), so reruns agree. The texts are read once;
+    narrow rows are shuffled to their groups.
 
-    Null text: size 0. Null source: a source of its own, ranked last. Null doc_id: decided as if it
-    were empty. Repeated rows: each is decided by its doc_id, so alike. A source without words has
-    target 0 and no copies. Empty table: empty result. Other columns are ignored.
+    Null text: size 0. Null source: a source of its own, ranked last. Null doc_id: hashed as the empty
+    text. Repeated rows stand side by side in one group, each at a place of its own. A source without words
+    has target 0 and no copies. Empty table: empty result. Other columns are ignored.
     """
     sizes = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    mixed = _joined(sizes.select("*", *_keys(F.col("source"))), source_plan(sizes, seed, weights, budget, most))
-    copied = mixed.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), seed, F.col("draw")))
-    return copied.withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    mixed = _with_copies(_joined(sizes.select("*", *_keys(F.col("source"))), source_plan(sizes, weights, budget, most)), seed, F.lit(0))
+    return mixed.withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as mix_sources takes it (0, 1, ... times)."""
-    sizes = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    whole, rest, copy = unused(docs, "row", "source", "copy")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").alias(rest), *_keys(F.col("source")))
-    taken = _joined(rows, source_plan(sizes, seed, weights, budget, most)).withColumn(copy, copies_of(F.col("rate"), F.col(rest), seed, F.col("draw")))
-    repeated = taken.filter(F.col(copy) > 0).select(whole, F.explode(F.sequence(F.lit(1), F.col(copy))))
-    return repeated.select(f"{whole}.*")
+    """The rows of ``docs``, all columns, each as often as mix_sources takes it (0, 1, ... times).
+
+    The same statements hold; of rows that share doc_id and size, a hash of the text tells which is taken.
+    Whole rows are shuffled once, to the groups in which their copies are drawn.
+    """
+    size = n_words(F.col("text")).alias("size")
+    plan = source_plan(docs.select("source", size), weights, budget, most)
+    (whole,) = unused(docs, "row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), "doc_id", size, F.xxhash64("text").alias("text_hash"), *_keys(F.col("source")))
+    taken = _with_copies(_joined(rows, plan), seed, F.col("text_hash")).filter("copies > 0")
+    return taken.select(whole, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{whole}.*")

@@ -126,19 +126,20 @@ with sizes as (
 ), targets as (
     select source, source_size, least(cap, coalesce(l * weight, cap)) target from ranked, level
 ), rated as (
-    select doc_id, size, s.source, source_size, target, case when source_size > 0 then target / source_size else 0 end rate
+    select doc_id, size, s.source, source_size, target, case when source_size > 0 then target / source_size else 0 end rate, count(*) over (partition by s.source) n_rows,
+           cast(cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0::double draw,
+           cast(cast('0x' || substr(md5('mix-1-group:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0::double grouped
     from sizes s join targets t on s.source is not distinct from t.source
-), drawn as (
-    select *, floor(rate) + case when cast(cast('0x' || substr(md5('mix-1-' || k || ':' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end copies
-    from rated, range(16) r(k)
-), off as (
-    select source, k, abs(sum(size * copies) - any_value(target)) off from drawn group by source, k
-), chosen as (
-    select source, k, row_number() over (partition by source order by off, k) nth from off
+), spread as (
+    select *, cast(floor(grouped * ceil(n_rows / 2000.0::double)) as bigint) g, rate - floor(rate) part from rated
+), placed as (
+    select *, cast(row_number() over (partition by source, g order by size, draw, doc_id nulls first) - 1 as double) place,
+           cast(cast('0x' || substr(md5('mix-1-start:' || case when source is null then 'true' else 'false' end || ':' || coalesce(source, '') || ':' || g), 1, 13) as bigint) as double) / 4503599627370496.0::double start
+    from spread
 )
-select doc_id, size, source_size, target, cast(size * copies as bigint) taken
-from drawn d join chosen c on d.source is not distinct from c.source and d.k = c.k
-where nth = 1
+select doc_id, size, source_size, target,
+       cast(size * (floor(rate) + case when floor((place + 1) * part + start) > floor(place * part + start) then 1 else 0 end) as bigint) taken
+from placed
 """,
     "op8_url_filters": r"""
 with parts as (

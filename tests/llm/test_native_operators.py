@@ -65,9 +65,23 @@ def test_mixing_comes_near_its_targets_and_the_documents_are_repeated(spark):
 
 
 def test_small_sources_come_near_their_targets_too(spark):
+    """Sources of 50 documents, some with a fifth of their words in one document."""
     got = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     found = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count(F.lit(1)).alias("n")).filter("g > 0").collect()
-    assert len(found) > 10 and all(r["t"] == pytest.approx(r["g"], rel=0.03) for r in found if r["n"] >= 20)
+    assert len(found) > 10 and all(r["t"] == pytest.approx(r["g"], rel=0.1) for r in found if r["n"] >= 20)
+
+
+def test_every_size_is_taken_with_the_fraction_as_its_probability(spark):
+    """300 seeds, as 300 sources of the same twelve sizes: one document holds half of the words."""
+    sizes = [1, 1, 2, 3, 5, 8, 13, 20, 30, 40, 60, 183]
+    rows = spark.range(300 * 12).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 12).cast("string").alias("its_source"), F.lit(False).alias("no_source"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % 12 + 1).cast("int")).alias("size"))
+    for rate in (0.3, 1.75):
+        drawn = mixing._with_copies(rows.withColumns({"rate": F.lit(rate), "n_rows": F.lit(12)}), "s", F.lit(0))
+        found = drawn.groupBy((F.col("doc_id") % 12).alias("k")).agg(F.avg("copies").alias("mean"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()
+        f = rate % 1
+        assert len(found) == 12
+        for r in found:
+            assert abs(r["mean"] - rate) < 3 * (f * (1 - f) / 300) ** 0.5 and (r["low"], r["high"]) == (int(rate), int(rate) + 1)
 
 
 def test_the_draw_is_fair_and_columns_keep_their_names(spark, monkeypatch):
