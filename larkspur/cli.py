@@ -6,9 +6,10 @@ import argparse
 import json
 import os
 import sys
+from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from larkspur import __version__
@@ -16,7 +17,7 @@ from larkspur.api import Service, serve
 from larkspur.plans.cards import CARD_SCHEMA, DEFAULT_PROMPT, PROMPTS, AnswerCache, Card, CardWriter
 from larkspur.plans.digest import Channel, DigestOptions, compose, deliver, to_markdown
 from larkspur.session import get_spark
-from larkspur.sources.connector import VendorConnector
+from larkspur.sources.connector import VendorConnector, append_new
 from larkspur.sources.http import json_post, message_model, status_post
 
 
@@ -53,12 +54,9 @@ def _parser() -> argparse.ArgumentParser:
 def pull(spark: SparkSession, args: argparse.Namespace) -> str:
     """Append what is new at the vendor to the store; return its path."""
     post = json_post(args.vendor_host, {"Authorization": f"Bearer {args.vendor_key}"})
-    source = VendorConnector(post, args.vendor_project, args.sync_state, lookback_days=args.lookback_days)
-
-    def keep(events: DataFrame) -> None:
-        events.withColumn("event_date", F.to_date("timestamp")).write.mode("append").parquet(args.store)
-
-    source.sync(spark, args.tenant, keep)
+    source, now = VendorConnector(post, args.vendor_project, args.sync_state, lookback_days=args.lookback_days), datetime.now(timezone.utc)
+    since = source.since(now)
+    source.sync(spark, args.tenant, lambda events: append_new(events, args.store, since), now)
     return args.store
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import activation, anomaly, churn, cohort, features, funnel, metrics, retention
 from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
-from larkspur.sources import readers, vendor
+from larkspur.sources import readers, vendor, vendor_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -448,6 +448,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mapped.groupBy("user_id", "anonymous_id", "event_type", "device_type", F.to_date("timestamp").alias("event_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("vendor_pull", "select cast(event_id as varchar) source_event_id, event_type event_name, cast(user_id as varchar) user_id, ts \"timestamp\", props from events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a vendor's export, pulled by day slices through the data source."""
+    feed = vendor_source.ExportFeed(f"{d}/events.parquet", ("event_id", "event_type", "user_id", "ts", "props"))
+    low, high = spark.read.parquet(f"{d}/events.parquet").agg(F.min("ts").cast("date").cast("string"), F.date_add(F.max("ts").cast("date"), 1).cast("string")).first()
+    raw = spark.read.format(vendor_source.register_vendor_source(spark, feed)).options(start=low, end=high, slice_seconds=86_400).load()
+    events = vendor.drop_repeats(vendor.map_vendor_events(raw, TENANT))
+    return events.select("source_event_id", "event_name", "user_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.concat(F.lit('{"k": '), F.col("properties")["k"], F.lit("}")).alias("props"))
+
+
 @query("validation_split", "select case when user_id % 7 = 0 then 'quarantined' else 'valid' end kind, count(*) n from events group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = stream(spark, d).withColumn("user_id", F.when(F.col("user_id").cast("long") % 7 == 0, "").otherwise(F.col("user_id")))

@@ -76,11 +76,23 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
+def row_digest() -> Column:
+    """A digest of all fields of EVENT but event_id and received_at; the order of a map's keys does not matter."""
+    fields = [f for f in EVENT if f.name not in ("event_id", "received_at")]
+    told = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in fields]
+    return F.sha2(F.to_json(F.struct(*[c.alias(f.name) for c, f in zip(told, fields, strict=True)])), 256)
+
+
+def only_once() -> Column:
+    """A key that no other row has where event_id is absent (null or ''), null elsewhere: such rows are no repeats."""
+    return F.when(F.coalesce("event_id", F.lit("")) == "", F.uuid(F.lit(7)))
+
+
 def to_table_rows(events: DataFrame) -> DataFrame:
     """The flat event table: '' for absent texts, {} for absent maps, ai_* columns with ''/0, event_date.
 
-    User and group properties and all utm fields are kept. An absent event_id is a digest of the row's texts, so reading
-    it again gives the same one.
+    User and group properties and all utm fields are kept. An absent (null or '') event_id is a digest of all the other
+    fields but received_at, so reading the row again gives the same one, and rows that differ anywhere have different ones.
     """
     df = with_missing(events)
     columns: list[Column] = []
@@ -94,8 +106,7 @@ def to_table_rows(events: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.MapType):
             columns.append(F.coalesce(F.col(f.name), F.create_map().cast(f.dataType)).alias(f.name))
         elif f.name == "event_id":
-            told = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tenant_id", "user_id", "anonymous_id", "event_name", "event_type", "timestamp", "session_id", "source_system", "source_event_id")])
-            columns.append(F.coalesce("event_id", F.sha2(told, 256)).alias("event_id"))
+            columns.append(F.when(F.col("event_id") != "", F.col("event_id")).otherwise(row_digest()).alias("event_id"))
         elif f.name == "received_at":
             columns.append(F.coalesce("received_at", F.current_timestamp()).alias("received_at"))
         elif isinstance(f.dataType, T.StringType):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.schema import EVENT, with_missing
+from larkspur.schema import EVENT, only_once, with_missing
 
 # The vendor's names and what they stand for.
 EVENT_TYPE_OF = {"$pageview": "pageview", "$pageleave": "pageview", "$screen": "pageview", "$identify": "identify", "$groupidentify": "group_identify"}
@@ -80,7 +80,7 @@ def map_vendor_events(rows: DataFrame, tenant_id: str, keep_all: bool = False) -
 def drop_repeats(events: DataFrame) -> DataFrame:
     """Without what a page boundary or a retry read twice: one row for each (tenant_id, event_id).
 
-    event_id comes from the source's id, or from the whole row where that has none, so rows without a
-    source id are told apart by what they hold.
+    map_vendor_events makes event_id of the source's id, or of the whole row where that has none, so rows without
+    a source id are told apart by what they hold. Rows of other origin whose event_id is null or '' all stay.
     """
-    return events.dropDuplicates(["tenant_id", "event_id"])
+    return events.withColumn("_only", only_once()).dropDuplicates(["tenant_id", "event_id", "_only"]).drop("_only")

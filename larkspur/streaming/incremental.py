@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.operators.metrics import daily_partials, user_cohort_info, user_profiles
+from larkspur.schema import only_once
 
 
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:  # noqa: ANN001
@@ -14,8 +15,12 @@ def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:  # noqa:
 
 
 def distinct_events(stream: DataFrame, delay: str = "1 day", keys: tuple[str, ...] = ("tenant_id", "event_id")) -> DataFrame:
-    """Rows without those whose keys came before within ``delay``; the state that is kept ends with it."""
-    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
+    """Rows without those whose keys came before within ``delay``; the state that is kept ends with it.
+
+    Rows whose event_id is null or '' are no repeats of each other: all stay.
+    """
+    marked = stream.withWatermark("timestamp", delay).withColumn("_only", only_once())
+    return marked.dropDuplicatesWithinWatermark([*keys, "_only"]).drop("_only")
 
 
 def write_partials(stream: DataFrame, path: str, checkpoint: str, kind: str = "event_type") -> StreamingQuery:

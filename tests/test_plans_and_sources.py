@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur import cli
 from larkspur.api import Service
 from larkspur.plans import cards, digest, findings
-from larkspur.sources import connector, vendor
+from larkspur.sources import vendor, vendor_source
 from larkspur.streaming import incremental
 
 CARD = {"title": "T", "severity": "high", "finding": "f", "evidence": "e", "action": "a", "confidence": 0.8, "category": "retention"}
@@ -35,29 +35,6 @@ def test_vendor_mapping(spark):
     assert (r["event_name"], r["user_id"], r["properties"], r["device_type"]) == ("unknown", "", {}, "unknown")
 
 
-def test_connector_pages_state_and_retries(spark, tmp_path):
-    rows = [[f"id{i}", "x", "u", "2026-01-02T00:00:00Z" if i < 3 else "2026-01-03T00:00:00Z", {"k": i}] for i in range(5)]
-    asked = []
-
-    def post(path, body):
-        sql = body["query"]["query"]
-        if sql == "SELECT 1":
-            return 200, {}
-        asked.append(sql)
-        last = sql.split("toString(uuid) > '")[1].split("'")[0]
-        start = [r[0] for r in rows].index(last) + 1 if last else 0
-        return 200, {"results": rows[start : start + 2]}
-
-    c = connector.VendorConnector(post, "1", tmp_path / "s.json", batch=2)
-    got = []
-    state = c.sync(spark, "t", lambda df: got.extend(r["source_event_id"] for r in df.collect()))
-    assert c.validate() and sorted(got) == [f"id{i}" for i in range(5)] and state.rows == 5 and len(asked) == 3
-    assert connector.SyncState.load(tmp_path / "s.json") == state
-    (tmp_path / "s.json").write_text("{broken")
-    assert connector.SyncState.load(tmp_path / "s.json") == connector.SyncState()
-    assert not connector.VendorConnector(lambda p, b: (401, {}), "1").validate()
-
-
 RETENTION = {"metric": "retention", "date_range": {"start": "2026-02-01", "end": "2026-03-15"}, "total_users": 500, "overall_retention": {"D1": 0.4, "D30": 0.2, "D7": 0.04}, "best_cohort": {"key": "a", "dimension": "w"}, "worst_cohort": {"key": "b", "dimension": "w"}}
 ANOMALY = {"date_range": {"start": "2026-01-01", "end": "2026-03-31"}, "total_data_points": 30, "anomalies": [{"metric": "dau", "date": "2026-02-02", "value": 5.0, "expected": 9.0, "sigma_distance": 4.0, "direction": "down", "severity": "critical", "pct_change": -0.44}, {"sigma_distance": 1.0}]}
 FEATURES = {"date_range": {}, "total_users": 300, "top_features": [{"name": "g", "users": 60, "events": 9, "impact": {"D7": 0.1}, "net_score": 0.1}, {"name": "tiny", "users": 60, "impact": {}, "net_score": 0.01}], "negative_features": [{"name": "bad", "users": 25, "impact": {"D7": -0.1}, "net_score": -0.05}]}
@@ -117,7 +94,7 @@ def test_digest_rendering_and_delivery(tmp_path, capsys):
 
 def test_events_without_a_source_id_are_kept_and_a_page_read_twice_is_not(spark):
     rows = [(None, "a", "u", "2026-01-02T00:00:00Z", "{}"), (None, "b", "u", "2026-01-02T00:00:00Z", "{}"), ("", "b", "v", "2026-01-02T00:00:00Z", '{"k":1}'), ("", "b", "v", "2026-01-02T00:00:00Z", '{"k":2}'), ("id1", "c", "u", "2026-01-02T00:00:00Z", "{}")]
-    raw = spark.createDataFrame(rows, connector.RAW)
+    raw = spark.createDataFrame(rows, vendor_source.RAW)
     once = vendor.map_vendor_events(raw, "t")
     twice = vendor.map_vendor_events(raw.union(raw).repartition(3), "t")
     ids = {r["event_id"] for r in once.collect()}
