@@ -46,18 +46,35 @@ def merge_daily(partials: DataFrame, keys: list[str], sketch: bool = True) -> Da
     )
 
 
-def user_profiles(events: DataFrame) -> DataFrame:
-    """One row per (tenant_id, user_id): first_seen, last_seen, event_count, AI measures, features and sources (sorted arrays)."""
+def user_states(events: DataFrame) -> DataFrame:
+    """Mergeable states of (tenant_id, user_id): least and greatest times and days, counts, sums, sorted sets."""
     q = F.col("ai_quality_score")
     return identified(events).groupBy("tenant_id", "user_id").agg(
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("event_count"), F.count_if(_is_ai()).alias("ai_events_count"), F.avg(_if(q > 0, q)).alias("ai_avg_quality"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min("event_date").alias("cohort_date"), F.max("event_date").alias("last_active_date"),
+        F.count(F.lit(1)).alias("event_count"), F.count_if(_is_ai()).alias("ai_events_count"), F.sum(_if(q > 0, q)).alias("quality_sum"), F.count_if(q > 0).alias("quality_n"),
         F.sort_array(F.collect_set(_if(F.col("ai_feature") != "", F.col("ai_feature")))).alias("ai_features_used"), F.sort_array(F.collect_set("source_system")).alias("source_systems"),
     )
 
 
+def profiles_of(states: DataFrame) -> DataFrame:
+    """tenant_id, user_id, first_seen, last_seen, event_count, AI measures, features and sources (sorted arrays) of states with a row for each user."""
+    quality = F.try_divide("quality_sum", "quality_n").alias("ai_avg_quality")
+    return states.select("tenant_id", "user_id", "first_seen", "last_seen", "event_count", "ai_events_count", quality, "ai_features_used", "source_systems")
+
+
+def cohorts_of(states: DataFrame) -> DataFrame:
+    """tenant_id, user_id, cohort_date, last_active_date, lifetime_events of states with a row for each user."""
+    return states.select("tenant_id", "user_id", "cohort_date", "last_active_date", F.col("event_count").alias("lifetime_events"))
+
+
+def user_profiles(events: DataFrame) -> DataFrame:
+    """profiles_of in one scan of the events."""
+    return profiles_of(user_states(events))
+
+
 def user_cohort_info(events: DataFrame) -> DataFrame:
-    """One row per (tenant_id, user_id): cohort_date, last_active_date, lifetime_events."""
-    return identified(events).groupBy("tenant_id", "user_id").agg(F.min("event_date").alias("cohort_date"), F.max("event_date").alias("last_active_date"), F.count(F.lit(1)).alias("lifetime_events"))
+    """cohorts_of in one scan of the events."""
+    return cohorts_of(user_states(events))
 
 
 def current_properties(events: DataFrame) -> DataFrame:

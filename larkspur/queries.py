@@ -6,6 +6,7 @@ activation and churn, which are degenerate on thirty days of events.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import activation, anomaly, churn, cohort, features, funnel, metrics, retention
 from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
+from larkspur.session import shared_folder
 from larkspur.sources import readers, vendor, vendor_source
+from larkspur.streaming import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +100,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns(times | {c: F.array_join(c, ",") for c in ("ai_features_used", "source_systems")})
 
 
+_PROFILES = ORACLES["user_profile_all"]
+
+
+@query("user_profiles_maintained", _PROFILES)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same from three batches of states, the first two compacted before the third came."""
+    rows, folder = stream(spark, d), f"{shared_folder(spark)}/views-{uuid.uuid4().hex}"
+    kept = views.MaintainedView(spark, folder, views.VIEWS[0])
+    for batch in range(3):
+        if batch == 2:
+            kept.compact(1)
+        kept.put(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch), batch)
+    found = metrics.profiles_of(kept.read()).withColumn("ai_avg_quality", F.round("ai_avg_quality", 9))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")}
+    return found.withColumns(times | {c: F.array_join(c, ",") for c in ("ai_features_used", "source_systems")})
+
+
 @query("user_cohort_all", f"with {EV} select tenant_id, user_id, min(event_date) cohort_date, max(event_date) last_active_date, count(*) lifetime_events from ev where user_id <> '' group by 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.user_cohort_info(stream(spark, d))

@@ -1,4 +1,4 @@
-"""Streams into the event table and its daily partials; duplicates dropped within a watermark."""
+"""Streams without duplicates, their daily partials and windows, and the expiry of old folders."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.metrics import daily_partials, user_cohort_info, user_profiles
+from larkspur.operators.metrics import daily_partials
 from larkspur.schema import only_once
+from larkspur.streaming.folders import drop_folders, folders
 
 
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:  # noqa: ANN001
@@ -35,39 +36,9 @@ def write_partials(stream: DataFrame, path: str, checkpoint: str, kind: str = "e
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
-#: The key of the partials of each report.
-KINDS = {"daily_metrics": "event_type", "feature_usage": "event_name"}
-
-
-def write_views(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's partials of all reports to ``folder``/<view>/batch=<id>.
-
-    daily_metrics and feature_usage are daily states (merge_daily merges them); user_profiles and
-    user_cohorts are one row for each user of the batch, with least, greatest and summed measures;
-    recent_events are the rows themselves by day, for ``expire_days``. A batch that is run again replaces
-    its own folders, so nothing counts twice.
-    """
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        views = {name: daily_partials(batch, kind) for name, kind in KINDS.items()} | {"user_profiles": user_profiles(batch), "user_cohorts": user_cohort_info(batch)}
-        for name, view in views.items():
-            view.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(f"{folder}/recent_events")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").start()
-
-
 def expire_days(spark: SparkSession, path: str, before: str) -> list[str]:
     """Drop the day folders (event_date=...) of a short-lived copy that lie before ``before``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("event_date=") and s.getPath().getName().split("=")[1] < before]
-    for day in old:
-        fs.delete(day, True)
-    return sorted(day.getName() for day in old)
+    return drop_folders(spark, path, lambda name: name.startswith("event_date=") and name[11:] < before)
 
 
 def windowed_activity(stream: DataFrame, width: str = "1 day", delay: str = "2 hours") -> DataFrame:
@@ -88,16 +59,6 @@ def recent(events: DataFrame, days: int = 7, as_of: str | None = None) -> DataFr
 
 def expire(spark: SparkSession, path: str, before_month: str) -> list[str]:
     """Drop the month folders (yyyyMM) of a partitioned event table that lie before ``before_month``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped = []
-    for tenant in fs.listStatus(root):
-        if not tenant.isDirectory() or "=" not in tenant.getPath().getName():
-            continue
-        for month in fs.listStatus(tenant.getPath()):
-            name = month.getPath().getName()
-            if name.startswith("event_month=") and name.split("=")[1] < before_month:
-                fs.delete(month.getPath(), True)
-                dropped.append(name)
-    return sorted(dropped)
+    tenants = [t for t in folders(spark, path) if "=" in t]
+    old = [drop_folders(spark, f"{path}/{t}", lambda name: name.startswith("event_month=") and name[12:] < before_month) for t in tenants]
+    return sorted(month for months in old for month in months)

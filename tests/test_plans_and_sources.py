@@ -118,12 +118,6 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = merge_daily(spark.read.parquet(str(tmp_path / "out")), ["event_date"]).first()
     assert (got["events"], got["users"]) == (7, 3)
-    q = incremental.write_views(source.withColumns({"event_name": F.col("event_type"), "ai_feature": F.lit(""), "source_system": F.lit("custom")}), str(tmp_path / "views"), str(tmp_path / "cp2"))
-    q.processAllAvailable()
-    q.stop()
-    views = {n: spark.read.parquet(str(tmp_path / "views" / n)) for n in ("daily_metrics", "feature_usage", "user_profiles", "user_cohorts", "recent_events")}
-    assert merge_daily(views["feature_usage"], ["event_date"]).first()["events"] == 20 and views["user_profiles"].count() == views["user_cohorts"].count() == 3 and views["recent_events"].count() == 20
-    assert incremental.expire_days(spark, str(tmp_path / "views" / "recent_events"), "2026-01-02") == ["event_date=2026-01-01"]
     q = incremental.windowed_activity(source, "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
