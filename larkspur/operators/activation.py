@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.statistics import chi_square, chi_square_cut, matthews, p_value
+from larkspur.functions.statistics import chi_square, chi_square_cut, matthews, p_values
 from larkspur.functions.text import finite
 from larkspur.schema import identified, normalize_events
+from larkspur.session import shared_folder
 
 # Events that say nothing about a product's use.
 TRIVIAL = ("pageview", "$pageview", "page_view", "click", "$click", "session_start", "$session_start", "session_end", "identify", "$identify", "signup", "sign_up", "$create_alias")
@@ -18,38 +19,51 @@ PAIRED = 30
 MIN_LIFT = 1.1
 
 
-def early_counts(events: DataFrame, window: int = 7, retention: int = 30, trivial: tuple[str, ...] = TRIVIAL) -> tuple[DataFrame, DataFrame]:
-    """(users, counts): user_id, retained of every user; user_id, event_name, n, retained inside the window.
+def early_patterns(events: DataFrame, window: int = 7, retention: int = 30, trivial: tuple[str, ...] = TRIVIAL) -> DataFrame:
+    """user_id, first, last, retained, names (event_name and n of each event inside the window) of every user.
 
-    retained: active ``retention`` or more days after the first day, by any event. The window has its
-    last day. Users and their first day come from the same aggregate as the counts.
+    retained: active ``retention`` or more days after the first day, by any event. The window has its last
+    day. Events are folded to days first; the user's first and last day and the counts by name then need no
+    shuffle but the one to the user.
     """
     days = identified(normalize_events(events)).groupBy("user_id", "event_name", "event_date").agg(F.count(F.lit(1)).alias("n"))
-    users = days.groupBy("user_id").agg(F.min("event_date").alias("first"), (F.date_diff(F.max("event_date"), F.min("event_date")) >= retention).cast("int").alias("retained"))
-    early = days.filter(F.col("event_name").isNotNull() & ~F.col("event_name").isin(*trivial)).join(users, "user_id").filter(F.date_diff("event_date", "first") <= window)
-    return users.select("user_id", "retained"), early.groupBy("user_id", "event_name").agg(F.sum("n").alias("n"), F.max("retained").alias("retained"))
-
-
-def _tables(counts: DataFrame, frequencies: list[int], pairs: bool) -> DataFrame:
-    """events (sorted array), frequency, adopters, adopters_retained of each pattern."""
-    at = F.explode(F.filter(F.array(*[F.lit(t) for t in frequencies]), lambda t: F.col("n") >= t))
-    singles = counts.withColumn("frequency", at).groupBy("event_name", "frequency").agg(F.count(F.lit(1)).alias("adopters"), F.sum("retained").alias("adopters_retained"))
-    out = singles.select(F.array("event_name").alias("events"), "frequency", "adopters", "adopters_retained")
-    if not pairs:
-        return out
-    most = counts.groupBy("event_name").agg(F.count(F.lit(1)).alias("adopters")).orderBy(F.desc("adopters"), "event_name").limit(PAIRED).select("event_name")
-    # At most PAIRED names a user: one array, whose ordered pairs need no self-join.
-    sets = counts.join(F.broadcast(most), "event_name", "left_semi").groupBy("user_id").agg(F.sort_array(F.collect_set("event_name")).alias("names"), F.max("retained").alias("retained"))
-    pair = F.explode(F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, PAIRED), lambda b: F.array(a, b)))))
-    both = sets.select("retained", pair.alias("events")).groupBy("events").agg(F.count(F.lit(1)).alias("adopters"), F.sum("retained").alias("adopters_retained"))
-    return out.unionByName(both.select("events", F.lit(1).alias("frequency"), "adopters", "adopters_retained"))
+    own = Window.partitionBy("user_id")
+    spanned = days.withColumns({"first": F.min("event_date").over(own), "last": F.max("event_date").over(own)})
+    early = F.col("event_name").isNotNull() & ~F.col("event_name").isin(*trivial) & (F.date_diff("event_date", "first") <= window)
+    named = spanned.groupBy("user_id", "event_name").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.sum(F.when(early, F.col("n"))).alias("n"))
+    kept = F.collect_list(F.when(F.col("n") > 0, F.struct("event_name", "n")))
+    users = named.groupBy("user_id").agg(F.first("first").alias("first"), F.first("last").alias("last"), kept.alias("names"))
+    return users.withColumn("retained", (F.date_diff("last", "first") >= retention).cast("int"))
 
 
-def contingency(events: DataFrame, window: int = 7, retention: int = 30, max_combinations: int = 2, frequencies: list[int] | None = None, trivial: tuple[str, ...] = TRIVIAL) -> DataFrame:
-    """Every pattern with its 2 x 2 table against all users, chi2, mcc, rates and lift."""
-    users, counts = early_counts(events, window, retention, trivial)
-    totals = users.agg(F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("retained"), F.lit(0)).alias("users_retained"))
-    out = _tables(counts, frequencies or [1, 2, 3, 5, 10], max_combinations >= 2).join(F.broadcast(totals))
+def _singles(users: DataFrame, frequencies: list[int]) -> DataFrame:
+    """event_name, frequency, adopters, adopters_retained, since, until of events, and in the row without a name of all users.
+
+    One pass over the users, cut off by a checkpoint: a row for each name and frequency.
+    """
+    shared_folder(users.sparkSession)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("event_name"), F.lit(0).alias("frequency")))
+    steps = F.array(*[F.lit(t) for t in frequencies])
+    reached = F.flatten(F.transform("names", lambda e: F.transform(F.filter(steps, lambda t: e["n"] >= t), lambda t: F.struct(e["event_name"].alias("event_name"), t.alias("frequency")))))
+    rows = users.select("retained", "first", "last", F.explode(F.concat(whole, reached)).alias("at"))
+    return rows.groupBy("at.event_name", "at.frequency").agg(F.count(F.lit(1)).alias("adopters"), F.sum("retained").alias("adopters_retained"), F.min("first").alias("since"), F.max("last").alias("until")).checkpoint()
+
+
+def _analyse(events: DataFrame, window: int, retention: int, max_combinations: int, frequencies: list[int] | None, trivial: tuple[str, ...]) -> tuple[DataFrame, Row | None]:
+    """(patterns with their 2 x 2 tables and statistics, the row of all users); the events are read once for singles, once for pairs."""
+    users, frequencies = early_patterns(events, window, retention, trivial), frequencies or [1, 2, 3, 5, 10]
+    singles = _singles(users, sorted({1, *frequencies}))
+    every = singles.filter("event_name is null").first()
+    named = singles.filter(F.col("event_name").isNotNull())
+    out = named.filter(F.col("frequency").isin(*frequencies)).select(F.array("event_name").alias("events"), "frequency", "adopters", "adopters_retained")
+    if max_combinations >= 2:
+        most = [r["event_name"] for r in named.filter("frequency = 1").orderBy(F.desc("adopters"), "event_name").limit(PAIRED).collect()]
+        # At most PAIRED names a user: one array, whose ordered pairs need no self-join.
+        sets = users.select("retained", F.array_sort(F.transform(F.filter("names", lambda e: e["event_name"].isin(*most)), lambda e: e["event_name"])).alias("names"))
+        pair = F.explode(F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, PAIRED), lambda b: F.array(a, b)))))
+        both = sets.select("retained", pair.alias("events")).groupBy("events").agg(F.count(F.lit(1)).alias("adopters"), F.sum("retained").alias("adopters_retained"))
+        out = out.unionByName(both.select("events", F.lit(1).alias("frequency"), "adopters", "adopters_retained"))
+    out = out.withColumns({"users": F.lit(every["adopters"] if every else 0).cast("long"), "users_retained": F.lit(every["adopters_retained"] if every else 0).cast("long")})
     out = out.withColumn("others", F.col("users") - F.col("adopters")).withColumn("others_retained", F.col("users_retained") - F.col("adopters_retained"))
     a, ar, b, br = (F.col(c) for c in ("adopters", "adopters_retained", "others", "others_retained"))
 
@@ -57,9 +71,15 @@ def contingency(events: DataFrame, window: int = 7, retention: int = 30, max_com
         return F.coalesce(F.try_divide(yes, n), F.lit(0.0))
 
     lift = F.when(br > 0, rate(ar, a) / F.when(br > 0, rate(br, b)).otherwise(1.0)).when(ar > 0, F.lit(float("inf"))).otherwise(1.0)
-    return out.withColumns(
+    out = out.withColumns(
         {"adopter_rate": rate(ar, a), "other_rate": rate(br, b), "adoption": rate(a, F.col("users")), "lift": lift, "chi2": chi_square(ar, a, br, b), "mcc": matthews(ar, a - ar, br, b - br)}
     )
+    return out.withColumn("p_value", p_values(F.col("chi2"))), every
+
+
+def contingency(events: DataFrame, window: int = 7, retention: int = 30, max_combinations: int = 2, frequencies: list[int] | None = None, trivial: tuple[str, ...] = TRIVIAL) -> DataFrame:
+    """Every pattern with its 2 x 2 table against all users, chi2, p_value, mcc, rates and lift."""
+    return _analyse(events, window, retention, max_combinations, frequencies, trivial)[0]
 
 
 def discover(events: DataFrame, window: int = 7, retention: int = 30, max_combinations: int = 2, max_results: int = 20, min_adopters: int = 10, min_non_adopters: int = 10, max_adoption: float = 0.95, min_adoption: float = 0.02, p_threshold: float = 0.05, frequencies: list[int] | None = None, trivial: tuple[str, ...] = TRIVIAL) -> DataFrame:
@@ -68,7 +88,11 @@ def discover(events: DataFrame, window: int = 7, retention: int = 30, max_combin
     The test is strict (p < threshold), made on the statistic itself; a tie goes to the lower
     frequency. Sets of more than two events are not formed.
     """
-    rows = contingency(events, window, retention, max_combinations, frequencies, trivial)
+    rows, _ = _analyse(events, window, retention, max_combinations, frequencies, trivial)
+    return _significant(rows, max_results, min_adopters, min_non_adopters, max_adoption, min_adoption, p_threshold)
+
+
+def _significant(rows: DataFrame, max_results: int = 20, min_adopters: int = 10, min_non_adopters: int = 10, max_adoption: float = 0.95, min_adoption: float = 0.02, p_threshold: float = 0.05) -> DataFrame:
     rows = rows.filter((F.col("adopters") >= min_adopters) & (F.col("others") >= min_non_adopters) & F.col("adoption").between(min_adoption, max_adoption) & (F.col("lift") >= MIN_LIFT) & (F.col("chi2") > chi_square_cut(p_threshold)))
     best = F.row_number().over(Window.partitionBy("events").orderBy(F.desc("mcc"), "frequency"))
     return rows.withColumn("_n", best).filter("_n = 1").drop("_n").orderBy(F.desc("mcc"), "events").limit(max_results)
@@ -82,22 +106,22 @@ def impact_score(lift: float, adoption: float) -> float:
     return (lift - 1) * (1 - adoption)
 
 
-def activation_summary(events: DataFrame, window: int = 7, retention: int = 30, **options) -> dict:  # noqa: ANN003
-    """The JSON form, ten moments at most; p is computed here, for the rows that are listed."""
-    users, _ = early_counts(events, window, retention)
-    total = users.agg(F.count(F.lit(1)).alias("n"), F.sum("retained").alias("r")).first()
-    span = identified(normalize_events(events)).agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
-    found = discover(events, window, retention, **options).collect()  # at most max_results rows
-    n, base = total["n"], (total["r"] or 0) / total["n"] if total["n"] else 0.0
+def activation_summary(events: DataFrame, window: int = 7, retention: int = 30, max_combinations: int = 2, frequencies: list[int] | None = None, trivial: tuple[str, ...] = TRIVIAL, **options) -> dict:  # noqa: ANN003
+    """The JSON form, ten moments at most; totals and dates come from the pass that counts single events."""
+    rows, every = _analyse(events, window, retention, max_combinations, frequencies, trivial)
+    found = _significant(rows, **options).collect()  # at most max_results rows
+    n = every["adopters"] if every else 0
+    base = every["adopters_retained"] / n if n else 0.0
+    span = {"start": str(every["since"] if every else date.today()), "end": str(every["until"] if every else date.today())}
 
     def moment(r) -> dict:  # noqa: ANN001
         lifted = base + (1 - r["adoption"]) * (r["adopter_rate"] - r["other_rate"])
         return {
             "label": label(r["events"], r["frequency"]), "events": r["events"], "frequency": r["frequency"], "adopters": r["adopters"], "adoption_rate": round(r["adoption"], 4), "adopter_retention": round(r["adopter_rate"], 4), "non_adopter_retention": round(r["other_rate"], 4),
-            "lift": finite(r["lift"], 2), "mcc": round(r["mcc"], 4), "p_value": p_value(r["chi2"]), "impact_score": finite(impact_score(r["lift"], r["adoption"]), 4), "projected_impact": round(max(0.0, lifted - base), 4),
+            "lift": finite(r["lift"], 2), "mcc": round(r["mcc"], 4), "p_value": r["p_value"], "impact_score": finite(impact_score(r["lift"], r["adoption"]), 4), "projected_impact": round(max(0.0, lifted - base), 4),
         }
 
     return {
-        "metric": "activation_discovery", "caveat": "Association, not cause: confirm with an experiment.", "date_range": {"start": str(span["a"] or date.today()), "end": str(span["b"] or date.today())}, "total_users": n, "activation_window_days": window, "retention_period_days": retention,
+        "metric": "activation_discovery", "caveat": "Association, not cause: confirm with an experiment.", "date_range": span, "total_users": n, "activation_window_days": window, "retention_period_days": retention,
         "baseline_retention": round(base, 4), "moments_found": len(found), "top_moments": [moment(r) for r in found[:10]],
     }

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import activation, anomaly, churn, cohort, features, funnel, metrics, retention
+from larkspur.functions import dates
+from larkspur.operators import activation, anomaly, bitmaps, churn, cohort, features, funnel, metrics, retention, sketches
 from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
 from larkspur.session import shared_folder
 from larkspur.sources import readers, vendor, vendor_source
@@ -144,6 +145,46 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return both.select("event_date", F.col("a.events").alias("events"), *near)
 
 
+@query("active_users_bitmaps", f"with {EV} select 'day' period, event_date \"start\", count(distinct user_id) users from ev group by 1, 2 union all select 'week', cast(date_trunc('week', event_date) as date), count(distinct user_id) from ev group by 1, 2 union all select 'month', cast(date_trunc('month', event_date) as date), count(distinct user_id) from ev group by 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Daily, weekly and monthly actives from the daily bitmaps of each event name."""
+    cells = _bitmaps(spark, d)
+    found = [bitmaps.active_users(cells, dates.start_of(p, F.col("event_date"))).select(F.lit(p).alias("period"), "start", "users") for p in dates.PERIODS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream(spark, d)
+    return bitmaps.daily_bitmaps(rows, bitmaps.extend_dictionary(rows, f"{shared_folder(spark)}/users-{uuid.uuid4().hex}"), "event_name")
+
+
+@query("returning_users_bitmaps", f"with {EV}, d as (select distinct event_date, user_id from ev) select a.event_date, count(*) users, count(b.user_id) returned from d a left join d b on a.user_id = b.user_id and b.event_date = a.event_date + 7 group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return bitmaps.returning_users(_bitmaps(spark, d), 7).drop("tenant_id")
+
+
+@query("retention_sketch", f"""with {OD}, f as (select user_id, cast(date_trunc('month', min(event_date)) as date) cohort from od group by 1), a as (select distinct user_id, cast(date_trunc('month', event_date) as date) m from od)
+    select cohort, (year(m) - year(cohort)) * 12 + month(m) - month(cohort) period, true users_near, true retained_near from f join a using (user_id) group by 1, 2""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly retention from sketches against exact counts: near is five standard errors of the cohort, or 1."""
+    rows = ordered(spark, d)
+    month = dates.start_of("month", F.col("event_date"))
+    first = identified(rows).groupBy("user_id").agg(dates.start_of("month", F.min("event_date")).alias("cohort"))
+    rough = sketches.sketch_retention(sketches.user_sketches(first, "cohort"), sketches.user_sketches(rows, month.alias("start")), dates.periods_between("month", F.col("cohort"), F.col("start")))
+    active = identified(rows).select("user_id", month.alias("start")).distinct()
+    sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("size"))
+    exact = active.join(first, "user_id").groupBy("cohort", dates.periods_between("month", F.col("cohort"), F.col("start")).alias("period")).agg(F.count(F.lit(1)).alias("kept")).join(sizes, "cohort")
+    off = F.greatest(F.lit(1.0), 5 / 2.0 ** (sketches.LOG_NOMINAL / 2) * F.col("size"))
+    both = exact.join(rough, ["cohort", "period"])
+    return both.select("cohort", "period", (F.abs(F.col("users") - F.col("size")) <= off).alias("users_near"), (F.abs(F.col("retained") - F.col("kept")) <= off).alias("retained_near"))
+
+
+@query("feature_others_sketch", f"with {EV}, n as (select count(distinct user_id) every from ev) select event_name, cast(count(distinct user_id) as bigint) users, cast(any_value(every) - count(distinct user_id) as bigint) others from ev, n group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = sketches.others_than(sketches.user_sketches(stream(spark, d), "event_name"), "event_name")
+    return found.select("event_name", F.round("users").cast("long").alias("users"), F.round("others").cast("long").alias("others"))
+
+
 # --- funnels: the window chain, in SQL as in Spark --------------------------------------------
 
 _CHAIN = f"""
@@ -367,11 +408,13 @@ _PATTERNS = "p as (select event_name events, k frequency, count(*) adopters, sum
 _MEDIAN_CHI2 = 0.454936423119572
 
 
-@query("activation_statistics", f"{_ACT}, {_PAIRS}, {_PATTERNS}, {_STATISTICS} select events, frequency, adopters, round(chi2, 6) chi2, round(mcc, 9) mcc, round(lift, 9) lift from v")
+@query("activation_statistics", f"""{_ACT}, {_PAIRS}, {_PATTERNS}, {_STATISTICS} select events, frequency, adopters, round(chi2, 6) chi2, round(mcc, 9) mcc, round(lift, 9) lift, case when chi2 <= 0 then 1 when sqrt(chi2 / 2) < 2
+    then 1 - 2 * sqrt(chi2 / 2) * exp(-chi2 / 2) / sqrt(pi()) * list_reduce(list_prepend(1.0::double, range(60, 0, -1)), lambda a, k: 1 + a * chi2 / (2 * k + 1))
+    else exp(-chi2 / 2) / sqrt(pi()) / list_reduce(list_prepend(sqrt(chi2 / 2), range(40, 0, -1)), lambda a, k: sqrt(chi2 / 2) + k / 2.0::double / a) end p_value from v""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = ordered(spark, d).select("user_id", "event_date", F.concat("event_name", "event_type").alias("event_name"))
     table = activation.contingency(rows, 365, 2000, 2, [1, 2, 3])
-    return table.select(F.array_join("events", "+").alias("events"), "frequency", "adopters", F.round("chi2", 6).alias("chi2"), F.round("mcc", 9).alias("mcc"), F.round("lift", 9).alias("lift"))
+    return table.select(F.array_join("events", "+").alias("events"), "frequency", "adopters", F.round("chi2", 6).alias("chi2"), F.round("mcc", 9).alias("mcc"), F.round("lift", 9).alias("lift"), "p_value")
 
 
 @query("activation_moments", f"""{_ACT}, {_PAIRS}, {_PATTERNS}, {_STATISTICS}, w as (
