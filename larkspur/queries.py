@@ -218,6 +218,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _funnel(spark, d).by_date()
 
 
+@query("funnel_split", f"{_CHAIN} select entry_date, {_STEPS} from u where max_step >= 1 group by 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same from pieces of two hours of each user's time."""
+    steps = [funnel.Step("signup"), funnel.Step("click"), funnel.Step("purchase")]
+    return funnel.Funnel(stream(spark, d), TENANT, steps, *ALL, window_seconds=21_600, split_seconds=7_200).by_date()
+
+
 _CONDITIONS = _CHAIN.replace("event_name = 'signup' c1, event_name = 'click' c2, event_name = 'purchase' c3 from ev", "event_name <> 'view' c1, event_name = 'click' and q > 0.3 c2, ai_model = '' c3 from ev where k % 3 <> 0")
 
 
