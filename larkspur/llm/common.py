@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import ship
+from larkspur.session import shared_folder, ship
 
 #: A word is a run of code points other than space and U+0009..U+000D (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,30 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one that is set, or what spark.checkpoint.dir names.
-
-    Where neither is given, a session on this machine (local master, as in tests) gets a temporary
-    folder; a cluster gets an error, for its executors and driver share no local folders.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        sc.setCheckpointDir(named or tempfile.mkdtemp("-larkspur"))
-    return sc.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the folder that checkpoints use and read it again."""
-    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -2,8 +2,10 @@
 
 Markup is stripped into lines, one for each block, with an empty line at each border of a box (div,
 section, article ...). Text lengths are summed over sliding windows of lines; text is kept from the
-points where the sums surge to the points where they dive. Element names and classes only weigh:
-boilerplate and links count nothing, headings and articles more than they hold.
+points where the sums surge to the points where they dive. Links count nothing, headings and articles more than they hold. Elements that
+stand for boilerplate by their name give no line; nor do those that words of a class, id or role mark, as long
+as the sums surge without them: on a page where they do not, such words say nothing (a "side effects" box may
+be the article), and all lines are weighed.
 """
 
 from __future__ import annotations
@@ -88,10 +90,10 @@ class _State:
     boxes: list[Box] = field(default_factory=lambda: [Box(None, True, 0)])
 
 
-def lines_of(page: str) -> list[Line]:
+def lines_of(page: str, marked: bool = True) -> list[Line]:
     """Split a page into lines in one pass; unclosed tags, stray ends and broken comments are taken as browsers do, roughly.
 
-    Boilerplate gives no line. Between two boxes it counts as one more border; inside one it leaves no mark.
+    Boilerplate gives no line: elements of its names, and with ``marked`` those with its words in class, id or role. Between two boxes it counts as one more border; inside one it leaves no mark.
     """
     out: list[Line] = []
     parts: list[str] = []
@@ -169,7 +171,8 @@ def lines_of(page: str) -> list[Line]:
             break
         text_at(page[at : m.start()])
         if m["comment"] is not None:
-            end = page.find("-->", m.end())
+            # <!--> and <!---> are whole comments: the end may share the dashes of the beginning.
+            end = page.find("-->", m.end() - 2)
             at = size if end < 0 else end + 3
             continue
         if m["bang"]:
@@ -202,7 +205,7 @@ def lines_of(page: str) -> list[Line]:
             marks = COMMENT if name == "article" else NOT_MAIN
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
-                if key in ("class", "id", "role") and marks.search((a or b or c).lower()) or key == "hidden" or key == "aria-hidden" and (a or b or c) == "true":
+                if marked and key in ("class", "id", "role") and marks.search((a or b or c).lower()) or key == "hidden" or key == "aria-hidden" and (a or b or c) == "true":
                     barred = True
                     break
         if barred:
@@ -233,23 +236,21 @@ def sums_of(lines: list[Line], window: int) -> list[int]:
     return [total[min(len(lines), i + window)] - total[i] for i in range(len(lines))]
 
 
-def regions_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """The regions (first line, line behind) from a surge point to the dive point after it.
-
-    Sums surge at the first line whose window weighs ``surge``. A window ends at a border, unless its
-    line is a heading or the border is inside an article. The region takes in the lines between the last
-    border and that line. Sums dive at the first border whose window weighs less than half of ``surge``;
-    at a border inside an article, at the first whose window weighs nothing. If no sum reaches ``surge``, the
-    greatest one stands in for it.
-    """
-    n = len(lines)
-    sums = sums_of(lines, window)
-    after = [0] * n  # the article of the next line with text
+def articles_ahead(lines: list[Line]) -> list[int]:
+    """For each line the article of the next one with text."""
+    after = [0] * len(lines)
     ahead = 0
-    for i in range(n - 1, -1, -1):
+    for i in range(len(lines) - 1, -1, -1):
         if lines[i].text:
             ahead = lines[i].article
         after[i] = ahead
+    return after
+
+
+def rises_of(lines: list[Line], window: int) -> list[int]:
+    """The weight of the window that begins at each line with text, up to the first border; -1 at borders."""
+    n = len(lines)
+    sums, after = sums_of(lines, window), articles_ahead(lines)
 
     def rise(i: int) -> int:
         if lines[i].heading:
@@ -261,7 +262,21 @@ def regions_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
             weight += lines[j].weight
         return weight
 
-    rises = [rise(i) if x.text else -1 for i, x in enumerate(lines)]
+    return [rise(i) if x.text else -1 for i, x in enumerate(lines)]
+
+
+def regions_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The regions (first line, line behind) from a surge point to the dive point after it.
+
+    Sums surge at the first line whose window weighs ``surge``. A window ends at a border, unless its
+    line is a heading or the border is inside an article. The region takes in the lines between the last
+    border and that line. Sums dive at the first border whose window weighs less than half of ``surge``;
+    at a border inside an article, at the first whose window weighs nothing. If no sum reaches ``surge``, the
+    greatest one stands in for it.
+    """
+    n = len(lines)
+    sums, after = sums_of(lines, window), articles_ahead(lines)
+    rises = rises_of(lines, window)
     level = surge if max(rises, default=-1) >= surge else max(rises, default=-1)
     out: list[tuple[int, int]] = []
     i = done = inside = 0
@@ -323,7 +338,13 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: blocks joined by one newline; empty for a null, empty or textless page."""
-    return "\n".join(main_lines(lines_of(page), window, surge)) if page else ""
+    if not page:
+        return ""
+    lines = lines_of(page)
+    if max(rises_of(lines, window), default=-1) < surge:
+        every = lines_of(page, marked=False)
+        lines = every if max(rises_of(every, window), default=-1) >= surge else lines
+    return "\n".join(main_lines(lines, window, surge))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

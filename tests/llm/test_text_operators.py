@@ -221,6 +221,21 @@ def test_the_sums_choose_the_block_and_not_the_element_name():
     assert html_extract.extract(f"<article class='comment'><p>{LONG}</p></article>{story}") == "Title\n" + (LONG * 3).strip()
 
 
+def test_words_of_a_class_say_nothing_where_nothing_else_surges():
+    story = f"<p>{LONG}</p>" * 3
+    text = "\n".join([LONG.strip()] * 3)
+    assert html_extract.extract(f'<body><div class="side effects">{story}</div></body>') == text
+    assert html_extract.extract(f'<body><div id="legal"><div class="search skip">{story}</div></div></body>') == text
+    # Where the sums surge without it, a marked box is still none of the article.
+    assert html_extract.extract(f'<body><div>{story}</div><div class="side">{story}</div></body>') == text
+    assert html_extract.extract(f'<article>{story}<p class="notice">{LONG}</p></article>') == text
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- > -->", "<!---->", "<!--a-- >-->"])
+def test_comments_end_where_browsers_end_them(comment):
+    assert html_extract.extract(f"<body>{comment}<p>{LONG}</p><!-- x --></body>") == LONG.strip()
+
+
 def test_surge_and_dive_change_with_the_threshold():
     page = f"<body><div>A short notice</div><h1>Title</h1><p>{LONG}</p><p>End.</p><div>Imprint of this site, and so on</div><div><ul><li><a href='/x'>{LONG}</a></ul></div></body>"
     lines = html_extract.lines_of(page)
