@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
-from larkspur.llm.common import WORD, durable, join_hot, uniform, unused
+from larkspur.llm.common import WORD, broadcast_if_small, durable, join_hot, uniform, unused
 
 #: Words wanted for each word there is, and copies of one source at most.
 BUDGET = 1.5
@@ -22,6 +22,8 @@ MOST = 2.0
 WEIGHTS = (3, 1, 2)
 #: Documents that are drawn together, on average.
 GROUP = 2_000
+#: Up to so many documents that are taken, their keys and copies (12 bytes each) are broadcast.
+PICK_ROWS = 500_000
 
 
 def n_words(text: Column) -> Column:
@@ -113,12 +115,17 @@ def mix_sources(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] =
 def mixed_documents(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as mix_sources takes it (0, 1, ... times).
 
-    The same statements hold; of rows that share doc_id and size, a hash of the text tells which is taken.
-    Whole rows are shuffled once, to the groups in which their copies are drawn.
+    The copies are drawn on narrow rows, one for each different (doc_id, source, text), so rows that repeat all
+    three are taken alike. The texts meet their copies where they lie if at most PICK_ROWS documents are
+    taken (counted first), and by a shuffled join beyond. For the rest the statements of mix_sources hold.
     """
     size = n_words(F.col("text")).alias("size")
-    plan = source_plan(docs.select("source", size), weights, budget, most)
-    (whole,) = unused(docs, "row")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), "doc_id", size, F.xxhash64("text").alias("text_hash"), *_keys(F.col("source")))
-    taken = _with_copies(_joined(rows, plan), seed, F.col("text_hash")).filter("copies > 0")
-    return taken.select(whole, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{whole}.*")
+    key, whole, copies = unused(docs, "text_key", "row", "copies")
+    known = F.xxhash64("doc_id", "source", "text").alias(key)
+    rows = durable(docs.select(known, "doc_id", "source", size))
+    plan = source_plan(rows, weights, budget, most)
+    once = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")])
+    drawn = _with_copies(_joined(once.select(key, "doc_id", "size", *_keys(F.col("source"))), plan), seed, F.col(key))
+    taken = durable(drawn.filter("copies > 0").select(key, F.col("copies").alias(copies)))
+    kept = docs.select(known, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)).join(broadcast_if_small(taken, PICK_ROWS), key)
+    return kept.select(whole, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(f"{whole}.*")
