@@ -12,6 +12,5 @@ def test_query_equals_its_sql(name, spark, duck, same_rows):
     same_rows(QUERIES[name](spark, SMALL).toPandas(), duck.execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_queries_without_sql_run(name, spark):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
