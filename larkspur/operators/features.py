@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import start_of
 from larkspur.schema import identified, normalize_events
+from larkspur.session import shared_folder
 
 #: Weight of a period's impact in the net score; other periods weigh 1.
 PERIOD_WEIGHTS = {7: 1.0, 30: 2.0, 90: 3.0}
@@ -22,6 +23,23 @@ def _net(periods: list[int]) -> Column:
     return sum((F.col(f"normalized_{p}") * w for p, w in zip(periods, weights, strict=True)), F.lit(0.0)) / F.lit(float(sum(weights)))
 
 
+def _cells(pairs: DataFrame, periods: list[int]) -> DataFrame:
+    """every, event_name, week, n_with, events, q, qn, r<p>: users of a week that have the feature, or (every) all of them.
+
+    pairs: one row for each user and feature. A user's features are one array with the user's first and last
+    day beside it, so no pair meets its user again by a join. The result, a row for each feature and week, is cut
+    off by a checkpoint: what follows reads it several times.
+    """
+    shared_folder(pairs.sparkSession)
+    used = F.collect_list(F.struct(F.lit(False).alias("every"), "event_name", "n", "q", "qn"))
+    users = pairs.groupBy("user_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), used.alias("used"))
+    whole = F.array(F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("event_name"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("qn")))
+    kept = [F.when(F.date_diff("last", "first") >= p, 1).otherwise(0).alias(f"r{p}") for p in periods]
+    rows = users.select(start_of("week", F.col("first")).alias("week"), *kept, F.explode(F.concat(whole, "used")).alias("u")).select("week", *[f"r{p}" for p in periods], "u.*")
+    counted = [F.count(F.lit(1)).alias("n_with"), F.sum("n").alias("events"), F.sum("q").alias("q"), F.sum("qn").alias("qn"), *[F.sum(f"r{p}").alias(f"r{p}") for p in periods]]
+    return rows.groupBy("every", "event_name", "week").agg(*counted).checkpoint()
+
+
 def feature_correlation(events: DataFrame, periods: list[int] | None = None, min_feature_users: int = 5, min_non_users: int = 5, exclude_events: list[str] | None = None, segment_column: str | None = None, normalize_max_users: int | None = None) -> DataFrame:
     """One row per feature (event_name), by users: counts, impact_<p>, normalized_<p>, net_score, is_negative.
 
@@ -31,8 +49,8 @@ def feature_correlation(events: DataFrame, periods: list[int] | None = None, min
     ``normalize_max_users`` users, if that is given, the raw impact stands in. ``exclude_events`` leave
     before anything is computed. ``segment_column`` is accepted and not used.
 
-    "Others" are totals less the feature's own counts, so there is no pass per feature: one aggregate
-    by user, one by (feature, week).
+    "Others" are totals less the feature's own counts, so there is no pass per feature: the events are
+    read once, folded by user, and counted by (feature, week) and (all, week).
     """
     periods = periods or [7, 30]
     rows = identified(normalize_events(events))
@@ -41,12 +59,10 @@ def feature_correlation(events: DataFrame, periods: list[int] | None = None, min
     has_quality = "ai_quality_score" in rows.columns
     quality = F.col("ai_quality_score") if has_quality else F.lit(None).cast("double")
     pairs = rows.groupBy("user_id", "event_name").agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("first"), F.max("event_date").alias("last"), F.sum(F.when(quality > 0, quality)).alias("q"), F.count_if(quality > 0).alias("qn"))
-    users = pairs.groupBy("user_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    kept = [F.when(F.date_diff("last", "first") >= p, 1).otherwise(0).alias(f"r{p}") for p in periods]
-    users = users.select("user_id", start_of("week", F.col("first")).alias("week"), *kept)
+    cells = _cells(pairs, periods)
     sums = [F.sum(f"r{p}").alias(f"r{p}") for p in periods]
-    weeks = users.groupBy("week").agg(F.count(F.lit(1)).alias("all_n"), *[F.sum(f"r{p}").alias(f"all_r{p}") for p in periods])
-    used = pairs.drop("first", "last").join(users, "user_id").groupBy("event_name", "week").agg(F.count(F.lit(1)).alias("n_with"), F.sum("n").alias("events"), F.sum("q").alias("q"), F.sum("qn").alias("qn"), *sums)
+    weeks = cells.filter("every").select("week", F.col("n_with").alias("all_n"), *[F.col(f"r{p}").alias(f"all_r{p}") for p in periods])
+    used = cells.filter("not every").drop("every")
 
     totals = weeks.agg(F.sum("all_n").alias("total_n"), *[F.sum(f"all_r{p}").alias(f"total_r{p}") for p in periods])
     apart = used.join(weeks, "week").withColumn("n_wo", F.col("all_n") - F.col("n_with"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import start_of
 from larkspur.functions.statistics import erfc, p_value, p_values
-from larkspur.operators import activation, bitmaps, sketches
+from larkspur.operators import activation, bitmaps, features, sketches
 
 SCHEMA = "tenant_id string, user_id string, event_name string, event_date date"
 
@@ -88,3 +88,17 @@ def test_activation_reads_the_events_twice(spark, tmp_path):
     assert {r["users"] for r in table.collect()} == {60}
     assert activation.contingency(events.limit(0)).count() == 0
     assert activation.activation_summary(events.limit(0))["total_users"] == 0
+
+
+def test_features_read_the_events_once(spark, tmp_path, monkeypatch):
+    """The cells are made in one scan; all that follows reads their checkpoint."""
+    rows = [(f"u{i}", date(2026, 1, 1) + timedelta(days=d), f"e{(i + d) % 4}" if d else None) for i in range(60) for d in (0, 3, 40 if i % 2 else 5)]
+    spark.createDataFrame(rows, "user_id string, event_date date, event_name string").write.parquet(str(tmp_path / "e"))
+    made = []
+    cells = features._cells
+    monkeypatch.setattr(features, "_cells", lambda pairs, periods: made.append(pairs) or cells(pairs, periods))
+    found = features.feature_correlation(spark.read.parquet(str(tmp_path / "e")), [7, 30])
+    assert "FileScan parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {r["event_name"]: r["unique_users"] + r["non_users"] for r in found.collect()} == {n: 60 for n in ("e0", "e1", "e2", "e3")}  # every user has the null one, so it has no others
+    assert features.feature_correlation(spark.read.parquet(str(tmp_path / "e")).limit(0)).count() == 0
