@@ -350,6 +350,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(anomaly.detect_anomalies(series))
 
 
+@query("anomaly_ranges", ORACLES["anomaly_multi"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same with each series in ranges of five days, and halos."""
+    series = stream(spark, d).groupBy(F.col("event_name").alias("metric"), F.col("event_date").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return _rounded(anomaly.detect_anomalies(series, range_days=5))
+
+
 # --- features and activation -------------------------------------------------------------------
 
 _FEATURES = f"""with {OD}, e as (select user_id, event_date, event_name || event_type event_name from od where user_id <> ''),
