@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates
-from larkspur.operators import activation, anomaly, bitmaps, churn, cohort, features, funnel, metrics, retention, sketches
+from larkspur.operators import activation, anomaly, bitmaps, churn, cohort, features, funnel, heavy_hitters, metrics, retention, sketches
 from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
 from larkspur.session import shared_folder
 from larkspur.sources import readers, vendor, vendor_source
@@ -185,6 +185,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_name", F.round("users").cast("long").alias("users"), F.round("others").cast("long").alias("others"))
 
 
+@query("top_items_daily_partials", """with n as (select cast(o_custkey as varchar) item, count(*) n from orders group by 1), o as (select n.*, row_number() over (order by n desc, item) place from n),
+    k as (select max(n) filter (place = 50) kth from o) select item, n, n >= kth among_top, true bounds_hold, true certain_is_true from o, k""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's orders against the bounds of the 50 heaviest, merged from monthly summaries of 200 customers."""
+    rows = ordered(spark, d)
+    months = heavy_hitters.item_summaries(rows.withColumn("month", dates.start_of("month", F.col("event_date"))), "tenant_id", "month", item="user_id", size=200)
+    merged = heavy_hitters.merge_summaries(months, "tenant_id", size=200)
+    top = heavy_hitters.top_items(merged, 50, "tenant_id").select("item", "certain")
+    listed = merged.filter("listed").select("item", "low", "above")
+    rest = merged.agg(F.coalesce(F.sum(F.when(~F.col("listed"), F.col("above"))), F.lit(0)).alias("rest"))  # one row
+    exact = rows.filter("user_id is not null").groupBy(F.col("user_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    # The 50th greatest count: one row.
+    kth = exact.orderBy(F.desc("n"), "item").limit(50).agg(F.min("n").alias("kth"))
+    both = exact.join(listed, "item", "left").join(top, "item", "left").join(F.broadcast(rest)).join(F.broadcast(kth))
+    held = F.when(F.col("low").isNull(), F.col("n") <= F.col("rest")).otherwise(F.col("n").between(F.col("low"), F.col("above") + F.col("rest")))
+    among = F.col("n") >= F.col("kth")
+    return both.select("item", "n", among.alias("among_top"), held.alias("bounds_hold"), (~F.coalesce("certain", F.lit(False)) | among).alias("certain_is_true"))
+
+
+@query("top_features_partials", f"with {EV} select event_name item, count(*) low, count(*) high, true certain, row_number() over (order by count(*) desc, event_name) rank from ev group by 1 order by rank limit 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The top 50 event names from daily summaries; with fewer names than a summary lists they are exact."""
+    days = heavy_hitters.item_summaries(stream(spark, d), "tenant_id", "event_date")
+    return heavy_hitters.top_items(heavy_hitters.merge_summaries(days, "tenant_id"), 50, "tenant_id").drop("tenant_id")
+
+
 # --- funnels: the window chain, in SQL as in Spark --------------------------------------------
 
 _CHAIN = f"""

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larkspur.operators import heavy_hitters
 from larkspur.operators.metrics import daily_partials, user_states
 from larkspur.streaming.folders import drop_folders
 
@@ -70,6 +71,12 @@ VIEWS = (
 )
 
 
+def top_view(name: str = "top_features", item: str = "event_name", size: int = heavy_hitters.SIZE) -> View:
+    """A day's most frequent items with bounds, of bounded size; not among VIEWS, whose states list every item."""
+    days = ("tenant_id", "event_date")
+    return View(name, "event_date", lambda e: heavy_hitters.item_summaries(e, *days, item=item, size=size), lambda s: heavy_hitters.merge_summaries(s, *days, size=size))
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     """The states below ``path``; None if nothing has been written there."""
     try:
