@@ -16,7 +16,7 @@ from larkspur.functions import dates
 from larkspur.operators import activation, anomaly, bitmaps, churn, cohort, features, funnel, heavy_hitters, metrics, retention, sketches
 from larkspur.schema import AI, from_orders, from_stream_table, identified, split_valid, to_table_rows
 from larkspur.session import shared_folder
-from larkspur.sources import readers, vendor, vendor_source
+from larkspur.sources import readers, user_table, vendor, vendor_source
 from larkspur.streaming import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,6 +318,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retention.retention_curves(ordered(spark, d), [1, 30, 365], "event_type")
 
 
+@query("retention_curve_user_table", ORACLES["retention_curve_week"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The weekly curves from a table in buckets of users."""
+    return retention.retention_curves(_by_user(spark, d), [1, 30, 365])
+
+
+def _by_user(spark: SparkSession, d: str) -> DataFrame:
+    name = f"orders_{uuid.uuid4().hex}"
+    user_table.save_by_user(ordered(spark, d), name, f"{shared_folder(spark)}/{name}", buckets=16)
+    return spark.read.table(name)
+
+
 # --- cohorts -----------------------------------------------------------------------------------
 
 
@@ -485,9 +497,19 @@ def _churn(spark: SparkSession, d: str) -> DataFrame:
     return churn.churn_users(ordered(spark, d), lookback_weeks=104)
 
 
+def _churn_columns(users: DataFrame) -> DataFrame:
+    return users.select("user_id", "days_inactive", "recent_events", "prior_events", F.round("health_score", 6).alias("health_score"), F.size("signals").alias("signals"), "stage", "trend")
+
+
 @query("churn_users", f"{_CHURN} select user_id, di days_inactive, re recent_events, pe prior_events, round(health, 6) health_score, n signals, stage, case when (act + br + rec) / 3 >= 70 then 'stable' else 'declining' end trend from u")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _churn(spark, d).select("user_id", "days_inactive", "recent_events", "prior_events", F.round("health_score", 6).alias("health_score"), F.size("signals").alias("signals"), "stage", "trend")
+    return _churn_columns(_churn(spark, d))
+
+
+@query("churn_users_user_table", ORACLES["churn_users"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same users from a table in buckets of users."""
+    return _churn_columns(churn.churn_users(_by_user(spark, d), lookback_weeks=104))
 
 
 # The stream's users, a quarter each: gone for 20 days, for 10 days, with a fifth of their events of late, as they are.
