@@ -65,7 +65,10 @@ def score_points(series: DataFrame, window: int = 4, min_data_points: int = 4, m
 
 
 def detect_anomalies(series: DataFrame, sigma_threshold: float = 2.0, window: int = 4, min_data_points: int = 4, min_std_pct: float = 0.01, range_days: int | None = None) -> DataFrame:
-    """Points at ``sigma_threshold`` or more, with direction, severity and pct_change; critical ones first, then by distance."""
+    """Points at ``sigma_threshold`` or more, with direction, severity and pct_change; critical ones first, then by distance.
+
+    Distances that agree to six digits are equal there (sums in another order change the last digits): by metric and date.
+    """
     if sigma_threshold <= 0:
         raise ValueError("sigma_threshold must be positive")
     if min_std_pct < 0:
@@ -74,7 +77,7 @@ def detect_anomalies(series: DataFrame, sigma_threshold: float = 2.0, window: in
     v, m = F.col("value"), F.col("expected")
     return found.select(
         "*", F.when(v > m, "up").otherwise("down").alias("direction"), F.when(F.col("sigma_distance") >= CRITICAL, "critical").otherwise("warning").alias("severity"), F.when(m != 0, (v - m) / m).otherwise(F.lit(float("inf"))).alias("pct_change")
-    ).orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.desc("sigma_distance"), "metric", "date")
+    ).orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.round("sigma_distance", 6).desc(), "metric", "date")
 
 
 def anomaly_summary(series: DataFrame, limit: int = 1000, **options: float) -> dict:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates
@@ -373,6 +373,12 @@ def _anomaly_sql(series: str) -> str:
            round(case when m <> 0 then (value - m) / m else 'infinity'::double end, 9) pct_change from y where sigma >= 2"""
 
 
+def _placed(report: DataFrame) -> DataFrame:
+    """The rows of a short ordered report with their places, from 1."""
+    at = report.withColumn("at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("long")).drop("at")
+
+
 def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"expected": F.round("expected", 9), "sigma_distance": F.round("sigma_distance", 6), "pct_change": F.round("pct_change", 9)})
 
@@ -388,6 +394,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(anomaly.detect_anomalies(series))
 
 
+@query("anomaly_order", f"""select metric, date, severity, row_number() over (order by case when severity = 'critical' then 0 else 1 end, sigma_distance desc, metric, date) place
+    from ({_anomaly_sql("s as (select event_name metric, event_date date, count(*)::double as value from ev group by 1, 2)")})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The places of the anomalies in their report."""
+    series = stream(spark, d).groupBy(F.col("event_name").alias("metric"), F.col("event_date").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return _placed(anomaly.detect_anomalies(series)).select("metric", "date", "severity", "place")
+
+
+@query("retention_order", f"select cohort_date, cohort_size, row_number() over (order by cohort_date) place from ({_simple_sql('week', 8)})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The places of the cohorts in the weekly matrix."""
+    return _placed(retention.retention_simple(ordered(spark, d), TENANT, *ALL)).select("cohort_date", "cohort_size", "place")
+
+
 @query("anomaly_ranges", ORACLES["anomaly_multi"])
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The same with each series in ranges of five days, and halos."""
