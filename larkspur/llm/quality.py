@@ -15,6 +15,8 @@ from larkspur.llm.common import prepare_python, uniform
 
 #: The scorer is trained on the whole texts of about so many documents, those of least hash (bounded sample).
 TRAIN_ROWS = 6_000
+#: Their features are about so many bytes at most; where texts are long, fewer documents are drawn.
+TRAIN_BYTES = 256 << 20
 #: Words of a block; variety is measured inside blocks, so that it means the same at every length.
 VARIETY = 300
 #: Buckets of hashed byte trigrams; one more holds the share of words that repeat the one before.
@@ -175,22 +177,25 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: str = "quality") -> tuple
 
     EM sees the vote pattern counts of all documents (at most 2 ** 11 counts reach the driver). The
     scorer learns the posterior from the hashed features of the whole texts of about ``rows``
-    documents of least hash; a document sends at most 6 * BUCKETS bytes to the driver. Null texts
-    vote but are no sample; no documents: weights of 0.
+    documents of least hash, fewer where these would send the driver more than about TRAIN_BYTES (a document
+    sends 6 bytes for each kind of trigram, at most 6 * BUCKETS). Null texts vote but are no sample; no
+    documents: weights of 0.
     """
     prepare_python(docs.sparkSession)
     code = F.pandas_udf(_as_code, "long")
-    counts = docs.select(code("text").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
+    most = F.least(F.octet_length("text"), F.lit(BUCKETS + 1)).cast("long") * 6
+    counts = docs.select(code("text").alias("code"), most.alias("most")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("most").alias("most")).collect()
     patterns = sorted((r["code"], r["n"]) for r in counts)
     posterior, accuracy, share = estimate(patterns)
-    n = sum(n for _, n in patterns)
+    n, sent = sum(n for _, n in patterns), sum(r["most"] or 0 for r in counts)
+    rate = min(1.0, rows / max(1, n), TRAIN_BYTES / max(1, sent))
 
     @F.pandas_udf("code long, at binary, value binary")
     def measure(texts: pd.Series) -> pd.DataFrame:
         features = list(map(hashed, texts))
         return pd.DataFrame({"code": _as_code(texts), "at": [at.tobytes() for at, _ in features], "value": [v.tobytes() for _, v in features]})
 
-    drawn = docs.select("text", uniform(seed, F.col("doc_id")).alias("draw")).filter(F.col("text").isNotNull() & (F.col("draw") < min(1.0, rows / max(1, n))))
+    drawn = docs.select("text", uniform(seed, F.col("doc_id")).alias("draw")).filter(F.col("text").isNotNull() & (F.col("draw") < rate))
     measured = drawn.select("draw", measure("text").alias("m")).select("draw", "m.*").collect()
     sample = sorted((r["draw"], bytes(r["at"]), bytes(r["value"]), r["code"]) for r in measured)
     features = [(np.frombuffer(at, np.uint16), np.frombuffer(value, np.float32)) for _, at, value, _ in sample]

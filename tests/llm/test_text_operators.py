@@ -416,6 +416,9 @@ def test_language_on_held_out_and_odd_rows(spark, odd):
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.avg(F.col("rejected").cast("int")).alias("r")).first()
     assert r["a"] > 0.97 and r["r"] < 0.03
     assert got.count() > 3000
+    wrong = got.filter("lang <> lang_pred").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("r")).first()
+    right = got.filter("lang = lang_pred").agg(F.avg(F.col("rejected").cast("int")).alias("r")).first()
+    assert wrong["r"] >= 0.5 * wrong["n"] and right["r"] < 0.01
     model = language_id.Classifier({"en": b"the same text of words twice null id here " * 50, "fr": "le la les des une été où ça ".encode() * 50})
     named = odd.withColumns({n: F.lit(n) for n in ("_lid", "lid", "__lid")})
     rows = language_id.identify(named, model).collect()
@@ -427,6 +430,26 @@ def test_language_on_held_out_and_odd_rows(spark, odd):
     assert none.dictionaries == {} and {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
+def test_the_fit_takes_pieces_from_all_of_a_text_and_so_many_at_most(spark):
+    long = " ".join(f"w{i:07d}" for i in range(40_000))  # 360,000 characters, 88 pieces
+    rows = spark.createDataFrame([(1, long, "a"), (None, "kurz und gut", "b"), (3, "", "b"), (4, None, "b"), (5, "x", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(rows)
+    assert set(model.dictionaries) == {"a", "b"} and model.dictionaries["b"] == b"kurz und gut"
+    few = language_id.fit(rows, docs=30)
+    assert len(few.dictionaries["a"]) < 60 * language_id.PIECE < len(model.dictionaries["a"])
+    seen = [long.index(piece[1000:1100].decode()) for piece in few.dictionaries["a"].split(b"\n")]
+    assert min(seen) < len(long) / 4 and max(seen) > 3 * len(long) / 4
+    many = language_id.fit(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 10).cast("string").alias("lang")), most=10)
+    assert len(many.dictionaries) == 10 and all(0 < len(d) < 60 * 10 for d in many.dictionaries.values())
+
+
+def test_texts_that_all_dictionaries_code_alike_are_rejected():
+    model = language_id.Classifier({"en": b"the words of a text " * 50, "de": "die Wörter eines Textes ".encode() * 50}, {"en": 0.39, "de": 0.36})
+    lang, score, rejected = model.classify("Zq")
+    assert rejected and score == 0 and lang == "en"
+    assert model.classify("the words of a text, the words of a text")[::2] == ("en", False)
+
+
 def test_a_language_of_few_rows_does_not_shrink_the_others_nor_win_by_its_size():
     g = np.random.default_rng(5)
     words = {lang: ["".join(g.choice(list(letters), 5)) for _ in range(300)] for lang, letters in (("a", "abcdefgh"), ("b", "defghijk"))}
@@ -459,6 +482,18 @@ def test_quality_on_labels_and_odd_rows(spark, odd, docs):
     assert quality.fit(odd.select("doc_id", "text").limit(0))[0].score("x y") >= 0
 
 
+def test_long_texts_make_the_sample_of_the_scorer_smaller(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    texts = [(i, "".join(map(chr, g.integers(97, 123, 4000)))) for i in range(60)]
+    rows, sizes = spark.createDataFrame(texts, "doc_id long, text string"), []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda some, *a, **k: sizes.append(sum(6 * len(at) for at, _ in some)) or real(some, *a, **k))
+    quality.fit(rows)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 200_000)
+    quality.fit(rows)
+    assert sizes[0] > 1_000_000 and 0 < sizes[1] < 400_000
+
+
 def test_the_scorer_is_linear_in_the_text_alone_and_holds_on_labels_it_never_saw(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     clash = docs.select("doc_id", "text").withColumns({n: F.lit(n) for n in ("draw", "_draw", "code", "m", "at", "value")})
