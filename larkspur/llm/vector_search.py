@@ -194,8 +194,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     """
     prepare_python(vectors.sparkSession)
     rows = durable(usable(vectors, id_column, vector_column))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(is_query)).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
-    n, n_blocks = total["n"], max(1, -(-total["asked"] // query_block))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    n = total["n"]
     n_pivots = min(PIVOTS, -(-n // shard_rows))
     drawn = rows.filter(uniform("pivot", F.col("id")) < min(1.0, n_pivots / max(1, n))).select("id", "v").collect() if n_pivots > 1 else []
     cells = Cells([r["v"] for r in sorted(drawn)], total["square"] or 0.0)
@@ -208,8 +208,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     ranges = spark.sparkContext.broadcast(cells)
     sizes = F.broadcast(spark.createDataFrame([(r["dim"], r["cell"], -(-r["n"] // shard_rows)) for r in found], "dim int, cell int, shards long"))
     place = F.abs(F.xxhash64("id") % (1 << 40))
-    block = (place % n_blocks).cast("int")
-    members = held.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", (place % F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(False).alias("asks"), F.lit(None).cast("double").alias("kth"))
+    shard = (place % F.col("shards")).cast("int")
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         kept, posed = (group[group.asks == x].sort_values("id") for x in (False, True))
@@ -222,8 +221,14 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
         return pd.DataFrame({"query_id": np.repeat(ids, k).reshape(len(ids), k)[real], "vec_id": best[real], "score": scores[real]})
 
     def lists(asked: DataFrame) -> DataFrame:
-        """The best rows of each (query, cell) in ``asked`` (id, v, dim, cell, kth)."""
-        queries = asked.join(sizes, ["dim", "cell"]).select("id", "v", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"), block.alias("block"), F.lit(True).alias("asks"), "kth")
+        """The best rows of each (query, cell) in ``asked`` (id, v, dim, cell, kth).
+
+        A row is sent once for each query_block queries that ask its cell; rows of cells that no query asks stay.
+        """
+        blocks = F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks")
+        told = F.broadcast(durable(asked.groupBy("dim", "cell").agg(blocks).join(sizes, ["dim", "cell"])))  # a row for each cell
+        queries = asked.join(told, ["dim", "cell"]).select("id", "v", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard"), (place % F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("asks"), "kth")
+        members = held.join(told, ["dim", "cell"]).select("id", "v", "dim", "cell", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"), F.lit(None).cast("double").alias("kth"))
         best = members.unionByName(queries).groupBy("dim", "cell", "shard", "block").applyInPandas(answer, "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return best.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -231,14 +236,15 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     def home(v: pd.Series) -> pd.Series:
         return pivots.value.nearest(v, False)["cell"]
 
-    asked = rows.filter(is_query).select("id", "v", "dim", F.pandas_udf(home, "int")("v").alias("cell"), F.lit(None).cast("double").alias("kth"))
+    asked = durable(rows.filter(is_query).select("id", "v", "dim", F.pandas_udf(home, "int")("v").alias("cell"), F.lit(None).cast("double").alias("kth")))
     if len(found) <= 1:
         return lists(asked).select("query_id", "rank", "vec_id", "score")
     # A query whose nearest pivot holds no row starts without a list.
     first = durable(lists(asked))
     kth = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
     visits = F.pandas_udf(lambda v, cell, kth: ranges.value.others(v, cell, kth, factor), "array<int>")
-    again = asked.drop("kth").join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "dim", F.explode(visits("v", "cell", "kth")).alias("cell"), "kth")
+    going = durable(asked.drop("kth").join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "dim", visits("v", "cell", "kth").alias("cells"), "kth"))
+    again = going.select("id", "v", "dim", F.explode("cells").alias("cell"), "kth")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     both = first.unionByName(lists(again)).select("query_id", "vec_id", "score")
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

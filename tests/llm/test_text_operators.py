@@ -650,3 +650,22 @@ def test_pipeline_on_odd_rows(spark):
         assert stage(spark, named, "").columns == named.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() >= 0 and stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_vectors_are_sent_only_where_queries_ask_their_cell(spark, monkeypatch):
+    """Clusters far apart: each row meets the queries of its own cluster, in one block, however many queries there are."""
+    g = np.random.default_rng(4)
+    centres = 100 * np.eye(8)
+    rows = [(i, (centres[i % 8] + g.normal(size=8)).tolist()) for i in range(1600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met, real = [], vector_search.durable
+    monkeypatch.setattr(vector_search, "durable", lambda df: met.append(real(df)) or met[-1])
+    found = vector_search.nearest(vectors, "id % 4 = 0", k=5, factor=1.0, shard_rows=100, query_block=20).collect()
+    told = [{(r["dim"], r["cell"]): r["blocks"] for r in df.collect()} for df in met if "blocks" in df.columns]
+    assert len(told) == 2 and all(0 < b <= 400 / 20 for t in told for b in t.values())
+    assert sum(told[0].values()) < 400 / 20 + len(told[0]) + 1  # the first pass sends a cell to its own queries' blocks
+    v = np.array([x for _, x in rows])
+    for q in (0, 4, 396, 1200):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(1600), -scores))[:5].tolist()
