@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import threading
 import time
@@ -124,14 +125,24 @@ class Service:
                     del self._results[old]
         return result
 
+    def preload(self) -> None:
+        """Load the events and answer "health" ahead of the first request; what fails here fails again there, with its answer."""
+        try:
+            self.get("health")
+        except Exception as problem:  # noqa: BLE001  a server without its events still answers
+            logging.getLogger(__name__).warning("preloading failed: %s", problem)
+
     def feedback(self, asked: dict) -> dict:
         """Record a vote: insight_rank, vote, tenant_id (default) and comment."""
         return {"status": "ok", "recorded": append_feedback(self.feedback_path, int(asked["insight_rank"]), asked.get("vote", ""), asked.get("tenant_id", "default"), asked.get("comment", ""))}
 
 
-def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
+def serve(service: Service, host: str = "127.0.0.1", port: int = 8000, preload: bool = False) -> ThreadingHTTPServer:
     """A server for /api/<name> (GET) and /api/feedback (POST, parameters in the address or as a JSON body); call
-    serve_forever() on what it returns. 404: unknown name; 400: parameters that cannot be read; 500: anything else."""
+    serve_forever() on what it returns. 404: unknown name; 400: parameters that cannot be read; 500: anything else.
+    preload: the events are loaded in the background from now on."""
+    if preload:
+        threading.Thread(target=service.preload, daemon=True).start()
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, status: int, body: dict) -> None:

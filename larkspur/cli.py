@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larkspur import __version__
 from larkspur.api import Service, serve
 from larkspur.plans.cards import CARD_SCHEMA, DEFAULT_PROMPT, PROMPTS, AnswerCache, Card, CardWriter
-from larkspur.plans.digest import Channel, DigestOptions, compose, deliver, to_markdown
+from larkspur.plans.digest import FREQUENCIES, Channel, DigestOptions, compose, deliver, to_markdown
 from larkspur.session import get_spark
 from larkspur.sources.connector import VendorConnector, append_new
 from larkspur.sources.http import json_post, message_model, status_post
@@ -43,6 +43,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--output", default="-", help="a Markdown file, or - to print")
     run.add_argument("--slack-webhook")
     run.add_argument("--max-insights", type=int, default=3)
+    run.add_argument("--frequency", choices=FREQUENCIES, default="weekly")
     web = commands.add_parser("serve", help="answer /api requests about an events file")
     web.add_argument("--events", default=os.environ.get("EVENTS_FILE", ""))
     web.add_argument("--max-users", type=int, default=int(os.environ.get("MAX_USERS") or 0), help="sample so many users of a CSV file; 0: all")
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = get_spark()
     if args.command == "serve":
-        serve(Service(spark, args.events, max_users=args.max_users or None), port=args.port).serve_forever()
+        serve(Service(spark, args.events, max_users=args.max_users or None), port=args.port, preload=True).serve_forever()
         return 0
     if not args.events and not args.vendor_host:
         print("give --events or --vendor-host", file=sys.stderr)
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
         ask = message_model(json_post(args.model_host, {"x-api-key": args.model_key}), "/v1/messages", args.model, CARD_SCHEMA)
         writer = CardWriter(ask, args.model, args.prompt_version, AnswerCache(args.cache) if args.cache else None)
         cards = writer.write(found.to_dict(), found.prompt_context())["cards"]
-    digest = compose(cards, found.to_dict(), DigestOptions(max_insights=args.max_insights, tenant_name=args.tenant_name), args.prompt_version, args.model)
+    digest = compose(cards, found.to_dict(), DigestOptions(args.max_insights, args.frequency, args.tenant_name), args.prompt_version, args.model)
     text = to_markdown(digest)
     if args.output == "-":
         print(text)

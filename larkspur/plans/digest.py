@@ -11,6 +11,7 @@ from pathlib import Path
 from larkspur.plans.cards import Card
 from larkspur.plans.findings import SEVERITY_WEIGHTS
 
+FREQUENCIES = ("daily", "weekly", "monthly")
 MARKS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "⚪"}
 NOTHING = "Nothing needs your attention in this period."
 
@@ -23,6 +24,10 @@ class DigestOptions:
     feedback_url: str | None = None
     evidence_url: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.frequency not in FREQUENCIES:
+            raise ValueError(f"frequency must be one of {FREQUENCIES}")
+
 
 def compose(cards: list[Card], findings: dict | None = None, options: DigestOptions | None = None, prompt_version: str | None = None, model: str | None = None) -> dict:
     """The top cards by severity weight times confidence, with links and the period."""

@@ -80,6 +80,9 @@ def test_digest_rendering_and_delivery(tmp_path, capsys):
     d = digest.compose(many, {"freshness": {"date_range": {"start": "a", "end": "b"}}}, digest.DigestOptions(tenant_name="Acme", feedback_url="http://f", evidence_url="http://e"))
     assert [x["card"]["title"] for x in d["insights"]] == ["critical", "high", "low"] and d["period"] == "a — b" and d["insights"][0]["feedback_url"] == "http://f?insight=1"
     assert "## 1. 🔴 critical" in digest.to_markdown(d) and "Acme" in digest.to_html(d) and digest.to_slack(d)["blocks"][0]["type"] == "header"
+    with pytest.raises(ValueError):
+        digest.DigestOptions(frequency="hourly")
+    assert digest.compose([], None, digest.DigestOptions(frequency="monthly"))["period"] == "Monthly"
     assert digest.NOTHING in digest.to_markdown(digest.compose([])) and digest.NOTHING in digest.to_html(digest.compose([]))
     assert "&lt;i&gt;" in digest.to_html(digest.compose([cards.Card.of(CARD | {"title": "<i>"})]))
 
@@ -155,7 +158,11 @@ def test_api(spark, events_file, tmp_path):
     for end in ("2026-01-03", "2026-01-04", "2026-01-05"):
         small.get("anomalies", end=end)
     assert len(small._results) == 2
+    early = Service(spark, events_file)
+    early.preload()
+    assert early._events is not None and len(early._results) == 1
     nothing = Service(spark, str(tmp_path / "none.jsonl"))
+    nothing.preload()  # its failure is the first request's
     assert nothing.get("anomalies")["total_data_points"] == 1 and nothing.get("overview")["dau_series"] == []
     assert s.get("insights")["cards"] == [] and "stats_summary" in s.get("insights")
     assert s.get("overview", "2026-01-01", "2026-01-02")["date_range"]["end"] <= "2026-01-02"
