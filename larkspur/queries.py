@@ -181,7 +181,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feature_others_sketch", f"with {EV}, n as (select count(distinct user_id) every from ev) select event_name, cast(count(distinct user_id) as bigint) users, cast(any_value(every) - count(distinct user_id) as bigint) others from ev, n group by 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = sketches.others_than(sketches.user_sketches(stream(spark, d), "event_name"), "event_name")
+    rows = stream(spark, d)
+    found = sketches.others_than(sketches.user_sketches(rows, "event_name", buckets=sketches.exact_buckets(rows)), "event_name")
     return found.select("event_name", F.round("users").cast("long").alias("users"), F.round("others").cast("long").alias("others"))
 
 

@@ -68,6 +68,17 @@ def test_sketches_stay_within_their_bounds(spark):
     assert all(r["n"] == pytest.approx(20_000, rel=0.08) for r in merged.select(F.theta_sketch_estimate("users").alias("n")).collect())
 
 
+def test_bucketed_sketches_count_others_exactly(spark):
+    """20,000 users; key 2 has three of them, so most buckets have no sketch of it."""
+    users = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("int").alias("key"))
+    users = users.union(users.filter("user_id in ('5', '6', '7')").withColumn("key", F.lit(2)))
+    parts = sketches.user_sketches(users, "key", buckets=sketches.exact_buckets(users))
+    assert {tuple(r) for r in sketches.others_than(parts, "key").collect()} == {(0, 10_000, 10_000), (1, 10_000, 10_000), (2, 3, 19_997)}
+    nobody = users.filter("key = 9")
+    assert sketches.others_than(sketches.user_sketches(nobody, "key", buckets=sketches.exact_buckets(nobody)), "key").count() == 0
+
+
+
 def test_erfc_and_p_values_are_those_of_the_library(spark):
     rows = spark.range(0, 10_001).select((F.col("id") / 10.0).alias("chi2")).select("chi2", p_values(F.col("chi2")).alias("p"), erfc(F.sqrt("chi2")).alias("e")).collect()
     for r in rows:
