@@ -166,11 +166,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("retention_sketch", f"""with {OD}, f as (select user_id, cast(date_trunc('month', min(event_date)) as date) cohort from od group by 1), a as (select distinct user_id, cast(date_trunc('month', event_date) as date) m from od)
     select cohort, (year(m) - year(cohort)) * 12 + month(m) - month(cohort) period, true users_near, true retained_near from f join a using (user_id) group by 1, 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly retention from sketches against exact counts: near is five standard errors of the cohort, or 1."""
+    """Monthly retention from sketches against exact counts: near is five standard errors of the cohort, or 1.
+
+    A small cohort meets months of any number of users, so sketches are by buckets of users that they hold exactly.
+    """
     rows = ordered(spark, d)
+    buckets = sketches.exact_buckets(rows)
     month = dates.start_of("month", F.col("event_date"))
     first = identified(rows).groupBy("user_id").agg(dates.start_of("month", F.min("event_date")).alias("cohort"))
-    rough = sketches.sketch_retention(sketches.user_sketches(first, "cohort"), sketches.user_sketches(rows, month.alias("start")), dates.periods_between("month", F.col("cohort"), F.col("start")))
+    rough = sketches.sketch_retention(sketches.user_sketches(first, "cohort", buckets=buckets), sketches.user_sketches(rows, month.alias("start"), buckets=buckets), dates.periods_between("month", F.col("cohort"), F.col("start")))
     active = identified(rows).select("user_id", month.alias("start")).distinct()
     sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("size"))
     exact = active.join(first, "user_id").groupBy("cohort", dates.periods_between("month", F.col("cohort"), F.col("start")).alias("period")).agg(F.count(F.lit(1)).alias("kept")).join(sizes, "cohort")

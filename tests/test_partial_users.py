@@ -78,6 +78,15 @@ def test_bucketed_sketches_count_others_exactly(spark):
     assert sketches.others_than(sketches.user_sketches(nobody, "key", buckets=sketches.exact_buckets(nobody)), "key").count() == 0
 
 
+def test_bucketed_sketches_count_retention_of_small_cohorts_exactly(spark):
+    """A cohort of 20 and one of 19,980; all of the large one and 10 of the small are active in month 1, nobody but one user in month 2."""
+    users = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"), F.when(F.col("id") < 20, 0).otherwise(1).alias("cohort"), "id")
+    active = users.filter("id >= 10").withColumn("start", F.lit(1)).union(users.filter("id = 7").withColumn("start", F.lit(2)))
+    buckets = sketches.exact_buckets(users)
+    found = sketches.sketch_retention(sketches.user_sketches(users, "cohort", buckets=buckets), sketches.user_sketches(active, "start", buckets=buckets), F.col("start") - F.col("cohort"))
+    assert {tuple(r) for r in found.collect()} == {(0, 1, 20, 10), (0, 2, 20, 1), (1, 0, 19_980, 19_980), (1, 1, 19_980, 0)}
+
+
 
 def test_erfc_and_p_values_are_those_of_the_library(spark):
     rows = spark.range(0, 10_001).select((F.col("id") / 10.0).alias("chi2")).select("chi2", p_values(F.col("chi2")).alias("p"), erfc(F.sqrt("chi2")).alias("e")).collect()
