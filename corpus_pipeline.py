@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, merge_dropout, mixing, near_dedup, quality
-from larkspur.llm.common import broadcast_if_small, durable, shared_table, unused
+from larkspur.llm.common import WORD, durable, join_bits, shared_table, unused
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -42,16 +42,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id or have none are judged each on its own. Of the rows of a kept text the one with the least
     doc_id stays (null last). Rows without words are like no others and all stay.
     """
-    key, whole, nth = unused(docs, "text_key", "row", "nth")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.xxhash64("text").alias(key))
+    key, whole, wordy, nth = unused(docs, "text_key", "row", "wordy", "nth")
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.xxhash64("text").alias(key), has_words.alias(wordy))
     found = near_dedup.near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width=5, percent=80, bands=PIPELINE_BANDS)
-    rows = durable(found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("words")))
-    single = keyed.join(broadcast_if_small(rows.select(F.col("doc_id").alias(key)), near_dedup.PICK_ROWS), key, "left_semi")
-    copied = broadcast_if_small(rows.filter("n > 1 and words > 0").select(F.col("doc_id").alias(key)), near_dedup.PICK_ROWS)
+    # Texts that go, and those that stand in several rows. All other rows stay where they are: a filter in bits tells them.
+    texts = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    asked = durable(texts.filter("n > 1 or not kept").select(F.col("doc_id").alias(key), "kept"))
+    sure = join_bits(keyed, key, asked.select(key), "left_anti")
+    open_rows = join_bits(keyed, key, asked.select(key), "left_semi")
     # Of many copies each task passes on only its first (the rank is cut before the shuffle).
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(whole)["doc_id"].asc_nulls_last()))
-    one = single.join(copied, key, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1)
-    return single.join(copied, key, "left_anti").select(f"{whole}.*").unionByName(one.select(f"{whole}.*"))
+    one = open_rows.filter(wordy).withColumn(nth, first).filter(F.col(nth) == 1).join(asked.filter(~F.col("kept")), key, "left_anti")
+    return sure.unionByName(open_rows.filter(~F.col(wordy))).unionByName(one.drop(nth)).select(f"{whole}.*")
 
 
 #: (1 - 0.8 ** 3) ** 13 is below 1e-4 for each of the two collections.
