@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles
-from larkspur.llm.common import durable, prepare_python
+from larkspur.llm.common import durable, join_bits, prepare_python
 from larkspur.llm.components import components
 
 #: Each of two collections has BANDS bands of ROWS minhashes; table (i, j) is keyed by band i of the
@@ -23,8 +23,6 @@ BANDS, ROWS = 10, 3
 #: larger ones, the rows that the first links left over are compared in blocks with all of them.
 SMALL = 16
 QUERY_BLOCK, MEMBER_BLOCK = 64, 256
-#: Ids (8 bytes each) that may be broadcast to pick documents; beyond, a shuffled join.
-PICK_ROWS = 500_000
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -46,7 +44,10 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, s (its sorted set of shingle hashes) for the documents in ``ids`` (id), from their whole texts."""
+    """id, s (its sorted set of shingle hashes) for the documents in ``ids`` (id), and for few others, from their whole texts.
+
+    Texts are picked where they lie by a filter in bits; joins on id drop what it lets through besides.
+    """
     prepare_python(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +56,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingles.shingle_sets(data, edges, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[start:end], pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    if ids.limit(PICK_ROWS + 1).count() <= PICK_ROWS:
-        ids = F.broadcast(ids)
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    picked = join_bits(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids, "left_semi")
     return picked.mapInArrow(build, "id long, s array<long>")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import common
+from larkspur.llm import common, near_dedup
 
 
 def test_a_filter_in_bits_holds_every_id_and_few_others(spark):
@@ -16,6 +16,13 @@ def test_a_filter_in_bits_holds_every_id_and_few_others(spark):
     assert common.join_bits(rows, "id", none, "left_semi").count() == 0 and common.join_bits(rows, "id", none, "left_anti").count() == 100_000
 
 
+def test_sets_are_picked_without_sending_their_ids_to_the_driver(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c"), F.col("id").cast("string")).alias("text"))
+    sets = near_dedup.sets_of(docs, docs.filter("doc_id < 700").select(F.col("doc_id").alias("id")), 3)
+    assert {r["id"] for r in sets.collect()} >= set(range(700)) and sets.count() < 900
+    assert "bitmap_construct_agg" in sets._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_pipeline_keeps_one_row_of_a_text_and_all_rows_without_words(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = [(5, long), (3, long), (None, long), (9, long + " more"), (1, " \t"), (2, " \t"), (None, None), (7, None), (None, "alone here"), (11, "on its own"), (12, "")]
