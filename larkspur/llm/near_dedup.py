@@ -84,7 +84,10 @@ def _leftovers(docs: DataFrame, large: DataFrame, labels: DataFrame, width: int,
     queries: QUERY_BLOCK of them at a time meet MEMBER_BLOCK rows of the group in one task, which
     returns only links. So a group of any size is spread over many tasks.
     """
-    group = components(large.select(F.col("first").alias("a"), F.col("id").alias("b"))).withColumnRenamed("comp", "grp")
+    # A row is in many buckets: their leaders are linked, each two of them once, and the row goes with its least one.
+    own = durable(large.groupBy("id").agg(F.min("first").alias("lead"), F.collect_set("first").alias("firsts")))
+    leaders = components(own.select(F.col("lead").alias("a"), F.explode("firsts").alias("b")).distinct())
+    group = own.select("id", "lead").join(leaders.select(F.col("id").alias("lead"), F.col("comp").alias("grp")), "lead", "left").select("id", F.coalesce("grp", "lead").alias("grp"))
     placed = durable(group.join(labels, "id", "left").select("id", "grp", F.coalesce("comp", "id").alias("comp")))
     sizes = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("grp", F.col("m.comp").alias("main"), "rows", (F.col("rows") - F.col("m.n")).alias("outs"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import common, near_dedup
+from larkspur.llm import common, components, near_dedup
 
 
 def test_a_filter_in_bits_holds_every_id_and_few_others(spark):
@@ -23,6 +23,37 @@ def test_sets_are_picked_without_sending_their_ids_to_the_driver(spark):
     assert "bitmap_construct_agg" in sets._jdf.queryExecution().executedPlan().toString()
 
 
+def test_later_rounds_do_not_meet_links_inside_a_component(spark, monkeypatch):
+    sizes = []
+
+    def counted(df):
+        sizes.append(df.count())
+        return common.durable(df)
+
+    monkeypatch.setattr(components, "durable", counted)
+    links = [(a, b) for a in range(40) for b in range(a)] + [(100, 101), (101, 39)]
+    got = {tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in [*range(40), 100, 101]}
+    assert max(sizes) <= len(links) and sum(sizes) < 2 * len(links)
+
+
+def test_large_buckets_are_grouped_by_their_leaders(spark, monkeypatch):
+    """60 rows, each in 20 buckets: 1,200 pairs of row and leader, but 20 leaders."""
+    met = []
+
+    def counted(links):
+        met.append(links.count())
+        return components.components(links)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten {'x' if i else 'y'}{i % 2}") for i in range(60)], "doc_id long, text string")
+    large = spark.createDataFrame([(i, 1_000 + k, k) for i in range(60) for k in range(20)], "id long, key long, first long")
+    labels = spark.createDataFrame([(i, i) for i in range(60)], "id long, comp long")
+    found = {tuple(r) for r in near_dedup._leftovers(docs, large, labels, 3, 85).collect()}
+    assert met == [20]
+    assert found == {(a, b) for a in range(1, 60) for b in range(a + 1, 60) if a % 2 == b % 2}
+
+
 def test_the_pipeline_keeps_one_row_of_a_text_and_all_rows_without_words(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = [(5, long), (3, long), (None, long), (9, long + " more"), (1, " \t"), (2, " \t"), (None, None), (7, None), (None, "alone here"), (11, "on its own"), (12, "")]
