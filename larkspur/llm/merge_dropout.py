@@ -5,8 +5,9 @@ that no piece of the model crosses. In a chunk, the agenda holds the adjacent pa
 piece; the best score goes first, the leftmost among equals. A candidate is skipped for good if its
 keyed hash (seed, document, the chunk's place and characters, its bounds) falls below the dropout rate,
 so every occurrence of a word is segmented for itself. What is remembered of a chunk has no chance in
-it: the merges the agenda makes after given ones were skipped (a candidate whose turn never comes
-cannot change them). Characters that end up without
+it: the merges the agenda makes without given candidates. An occurrence starts from its chunk's merges and
+goes on without all those that its hash skips, until it skips none of them (a candidate whose turn never comes
+cannot change the merges, so it may be left out with the others). Characters that end up without
 a piece are coded as bytes, so every text decodes to itself.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,11 @@ VARIANTS = 1 << 64
 MEMORY = 200_000
 #: Occurrences that draw together.
 BLOCK = 1 << 15
-#: Chunks of up to so many characters go through the agenda together in numpy, longer ones by heap.
+#: Chunks of up to so many characters (32 at most: a mask of their merges has 31 bits) go through the agenda
+#: together in numpy, longer ones by heap.
 TOGETHER = 32
+#: Chunks that go through the agenda in step.
+STEP = 1 << 13
 SPACE = "▁"
 _CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MASK = (1 << 64) - 1
@@ -59,9 +64,12 @@ def _mix(x: int) -> int:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _hashed(text: str) -> int:
@@ -73,8 +81,43 @@ def _roomy(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array), 1024), dtype=array.dtype)])
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype=np.int32).tobytes()
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 and so on, size[0] of them, then those from first[1]."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class _Runs:
+    """A run of numbers for each node, one behind the other."""
+
+    def __init__(self, dtype: type):
+        self.data, self.used = np.zeros(0, dtype), 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, node: int, data: np.ndarray, size: np.ndarray) -> None:
+        """The runs of the nodes from ``node`` on."""
+        stop = node + len(size)
+        self.first, self.size = _roomy(self.first, stop), _roomy(self.size, stop)
+        self.data = _roomy(self.data, self.used + len(data))
+        self.data[self.used : self.used + len(data)] = data
+        self.first[node:stop], self.size[node:stop] = self.used + np.cumsum(size) - size, size
+        self.used += len(data)
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        return self.data[_places(self.first[nodes], self.size[nodes])]
+
+    def keep(self, nodes: np.ndarray) -> None:
+        self.data, self.size = self.of(nodes), self.size[nodes]
+        self.first, self.used = np.cumsum(self.size) - self.size, len(self.data)
+
+
+def _cut(text: str) -> list[str]:
+    """The chunks of a text that is not empty. A U+2581 of the text itself stands alone, as an empty one, and is coded as bytes."""
+    if SPACE not in text and text[0] != " " and text[-1] != " " and "  " not in text:
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+    chunks = []
+    for i, part in enumerate((" " + text).split(SPACE)):
+        chunks += [""] * (i > 0) + _CHUNK.findall(part.replace(" ", SPACE))
+    return chunks
 
 
 class Codec:
@@ -108,7 +151,7 @@ class Codec:
                     symbols.setdefault(c, n + len(symbols))
         self.n_pieces = n
         self.symbol_of = {ord(c): i for c, i in symbols.items() if len(c) == 1}
-        self.low = np.full(0x3000, -1, dtype=np.int64)
+        self.low = np.full(0x3000, -1, dtype=np.int32)
         for code, i in self.symbol_of.items():
             if code < 0x3000:
                 self.low[code] = i
@@ -120,11 +163,7 @@ class Codec:
                     if left is not None and right is not None:
                         pairs[left << 32 | right] = (i, scores[i])
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        rank = {score: i for i, score in enumerate(sorted({score for _, score in pairs.values()}, reverse=True))}
-        # The rank of each pair's score (equal scores are equal) and its piece.
-        self.ranks = np.array([rank[pairs[k][1]] for k in self.keys.tolist()], dtype=np.int32)
-        self.joined = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int32)
+        self._lay_out()
         self.contents = np.frombuffer(b"".join(contents), dtype=np.uint8)
         self.lengths = np.array([len(c) for c in contents], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
@@ -132,18 +171,41 @@ class Codec:
         self._forget()
         self._ready = True
 
+    def _lay_out(self) -> None:
+        """Tables of the pairs: that of l and r, if there is one, stands at shift[l] + r, where owner is l. -1 is no symbol."""
+        rank = {score: i for i, score in enumerate(sorted({score for _, score in self.pairs.values()}, reverse=True))}
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        left, right = keys >> 32, keys & 0xFFFFFFFF
+        room, width = 8 * len(keys) + 1, max([self.n_pieces, *self.symbol_of.values()]) + 2
+        self.shift, self.owner = np.zeros(width, np.int64), np.full(room + width, -2, dtype=np.int32)
+        starts = np.flatnonzero(np.diff(left, prepend=-1))
+        sizes = np.diff(starts, append=len(keys))
+        d = 0
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            r = right[starts[i] : starts[i] + sizes[i]]
+            for _ in range(100):
+                if (self.owner[d + r] == -2).all():
+                    break
+                d = (d + 0x9E3779B1) % room
+            else:  # room behind all others
+                d = len(self.owner)
+                self.owner = np.concatenate([self.owner, np.full(width, -2, dtype=np.int32)])
+            self.shift[left[starts[i]]], self.owner[d + r] = d, left[starts[i]]
+        at = self.shift[left] + right
+        # The rank of each pair's score (equal scores are equal) and its piece.
+        self.ranks, self.joined = np.full(len(self.owner), _NONE, dtype=np.int32), np.zeros(len(self.owner), dtype=np.int32)
+        self.ranks[at] = [rank[self.pairs[k][1]] for k in keys.tolist()]
+        self.joined[at] = [self.pairs[k][0] for k in keys.tolist()]
+
     def _forget(self) -> None:
         """Empty the memory. A node stands for a chunk and the candidates skipped in it so far."""
         self.roots: dict[str, int] = {}
         self.nodes: list[str] = []
-        self.without: list[tuple[int, ...]] = []
-        #: The ids of each node's chunk if nothing else is skipped.
-        self.spelt: list[bytes] = []
-        #: The chunk's hash, the number of merges already decided, and where those still open lie.
-        self.marks, self.decided = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        #: The open merges in order, and the node behind each if it is the next one skipped (0: not made yet).
-        self.codes, self.behind, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+        #: The candidates skipped, the merges made without them, and the ids that these give.
+        self.without, self.merges, self.ids = _Runs(np.uint64), _Runs(np.uint64), _Runs(np.int32)
+        #: The chunk's hash, and a node's key: the node before and a mask of its merges that are skipped too (-1: none).
+        self.marks, self.keys = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.behind: dict[int, int] = {}
         #: How often each node was passed; older uses count half at each thinning.
         self.uses = np.zeros(0, np.int64)
 
@@ -157,16 +219,15 @@ class Codec:
         while (self.uses[:n] >= least).sum() > MEMORY // 2:
             least *= 2
         keep = self.uses[:n] >= least
-        keep[0] = True
         old, new = np.flatnonzero(keep), np.cumsum(keep) - 1
-        size = self.open[old]
-        at = np.repeat(self.first[old] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        behind = self.behind[at]
-        self.codes, self.behind, self.used = self.codes[at], np.where(keep[behind], new[behind], 0).astype(np.int32), len(at)
-        self.first, self.open = np.cumsum(size) - size, size
-        self.marks, self.decided, self.uses = self.marks[old], self.decided[old], self.uses[old] // 2
-        self.nodes, self.without, self.spelt = ([x[i] for i in old.tolist()] for x in (self.nodes, self.without, self.spelt))
+        for runs in (self.without, self.merges, self.ids):
+            runs.keep(old)
+        self.marks, self.keys, self.uses = self.marks[old], self.keys[old], self.uses[old] // 2
+        self.nodes = [self.nodes[i] for i in old.tolist()]
         self.roots = {chunk: int(new[i]) for chunk, i in self.roots.items() if keep[i]}
+        behind = np.flatnonzero(self.keys >= 0)
+        self.keys[behind] = new[self.keys[behind] >> 32] << 32 | self.keys[behind] & 0xFFFFFFFF
+        self.behind = dict(zip(self.keys[behind].tolist(), behind.tolist(), strict=True))
 
     # --- one chunk at a time, by heap -------------------------------------------------------
 
@@ -218,152 +279,180 @@ class Codec:
 
     # --- many short chunks at a time, in step ------------------------------------------------
 
-    def _courses(self, chunks: list[str], skipped: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The agenda of chunks of 1 to TOGETHER characters, one merge of each in a step, without the skipped candidates.
+    def _courses(self, chunks: list[str], sizes: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda of chunks of 1 to TOGETHER characters, one merge of each in a step, without the candidates in their rows of ``skipped``.
 
-        Gives the ids as int32 bytes, and the rows and codes of the merges, by row in their order.
+        Gives the merges' codes, chunk by chunk, and their number in each, then the ids in the same way.
         """
-        sizes = np.array([len(c) for c in chunks])
-        n, width = len(chunks), int(sizes.max()) + 1
-        points = np.zeros((n, width), dtype=np.int64)
-        alive = np.arange(width)[None, :] < sizes[:, None]
-        points[alive] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        without = np.zeros((n, max(map(len, skipped))), dtype=np.uint64)  # 0 is no candidate's code
-        for r, codes in enumerate(skipped):
-            without[r, : len(codes)] = codes
-        symbol = np.where(points < 0x3000, self.low[np.minimum(points, 0x2FFF)], -1)
-        for r, j in zip(*np.nonzero(points >= 0x3000), strict=True):
-            symbol[r, j] = self.symbol_of.get(int(points[r, j]), -1)
-        # A symbol stands at its first character; all places are counted through the rows.
-        symbol = symbol.ravel()
-        after, before = (np.tile(np.arange(width) + k, n) for k in (1, -1))
-        rank, piece = np.full((n, width), _NONE, dtype=np.int32), np.zeros(n * width, dtype=np.int32)
-        ranks = rank.ravel()
-        made: list[tuple[np.ndarray, np.ndarray]] = []
+        n, width = len(chunks), int(sizes.max()) + 2
+        # A symbol stands at its first character; before and behind each chunk stands none. Places are counted through the rows.
+        alive = np.arange(width) - 1 < sizes[:, None]
+        alive[:, 0] = False
+        alive = alive.ravel()
+        points, symbol = np.zeros(n * width, dtype=np.uint32), np.full(n * width, -1, dtype=np.int32)
+        points[alive] = given = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbol[alive] = self.low[np.minimum(given, 0x2FFF)]
+        high = np.flatnonzero(points >= 0x3000)
+        kinds, which = np.unique(points[high], return_inverse=True)
+        symbol[high] = np.array([self.symbol_of.get(p, -1) for p in kinds.tolist()], dtype=np.int32)[which]
+        after = np.arange(1, n * width + 1)
+        before = after - 2
+        ranks = np.full(n * width, _NONE, dtype=np.int32)
+        table = ranks.reshape(n, width)
+        zero = (np.arange(n) * width + 1).astype(np.uint64) * np.uint64((_B + _C + _D) & _MASK)
+        if skipped.shape[1]:
+            skipped = skipped + zero[:, None]
 
         def code(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-            return a.astype(np.uint64) * np.uint64(_B) + b.astype(np.uint64) * np.uint64(_C) + c.astype(np.uint64) * np.uint64(_D)
-
-        def offer(r: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
-            base = r * width
-            left, right = symbol[base + a], symbol[base + b]
-            pair = left << np.int64(32) | right
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            good = (left >= 0) & (right >= 0) & (self.keys[at] == pair)
-            if without.shape[1]:
-                good &= (without[r] != code(a, b, c)[:, None]).all(axis=1)
-            ranks[base + a] = np.where(good, self.ranks[at], _NONE)
-            piece[base + a] = self.joined[at]
-
-        r, a = np.nonzero(alive[:, 1:])
-        offer(r, a, a + 1, a + 2)
-        rows = np.arange(n)
+            return a.view(np.uint64) * np.uint64(_B) + b.view(np.uint64) * np.uint64(_C) + c.view(np.uint64) * np.uint64(_D)
+
+        def offer(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> None:
+            left = symbol[a]
+            at = self.shift[left] + symbol[b]
+            found = np.where(self.owner[at] == left, self.ranks[at], _NONE)
+            if skipped.shape[1]:
+                good = np.flatnonzero(found != _NONE)
+                x, y = a[good], b[good]
+                found[good[(skipped[r[good]] == code(x, y, after[y])[:, None]).any(axis=1)]] = _NONE
+            ranks[a] = found
+
+        a = np.flatnonzero(alive)
+        offer(a, a + 1, a // width)
+        rows, made = np.arange(n), []
         while True:
-            best = rank[rows].argmin(axis=1)
-            live = rank[rows, best] != _NONE
-            rows, best = rows[live], best[live]
+            at = rows * width + table[rows].argmin(axis=1)
+            live = ranks[at] != _NONE
+            rows, at = rows[live], at[live]
             if not len(rows):
                 break
-            base = rows * width
-            at, b = base + best, after[base + best]
-            c = after[base + b]
-            made.append((rows, code(best, b, c)))
-            symbol[at], after[at], before[base + c] = piece[at], c, best
-            alive.ravel()[base + b] = False
-            ranks[at] = ranks[base + b] = _NONE
-            real = c < sizes[rows]
-            offer(rows[real], best[real], c[real], after[base[real] + c[real]])
-            left = before[at]
-            real = left >= 0
-            offer(rows[real], left[real], best[real], c[real])
-        symbol = symbol.reshape(n, width)
-        easy = (~alive | (symbol >= 0) & (symbol < self.n_pieces)).all(axis=1).tolist()
-        data, stops = symbol[alive].astype(np.int32).tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
-        out = [data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
-        for r, plain in enumerate(easy):
-            if not plain:
-                out[r] = _packed([i for j in np.flatnonzero(alive[r]).tolist() for i in self._spell(int(symbol[r, j]), int(points[r, j]))])
-        of, codes = (np.concatenate([x[k] for x in made]) if made else np.zeros(0, t) for k, t in ((0, np.int64), (1, np.uint64)))
-        order = np.argsort(of, kind="stable")
-        return out, of[order], codes[order]
-
-    def _remember(self, chunks: list[str], skipped: list[tuple[int, ...]], decided: list[int], marks: list[int]) -> np.ndarray:
-        """Make nodes; their numbers."""
+            b = after[at]
+            c = after[b]
+            made.append((rows, code(at, b, c) - zero[rows]))
+            symbol[at] = self.joined[self.shift[symbol[at]] + symbol[b]]
+            after[at], before[c], alive[b], ranks[b] = c, at, False, _NONE
+            offer(np.concatenate([at, before[at]]), np.concatenate([c, at]), np.concatenate([rows, rows]))
+        # A chunk makes its merges in the first steps, one in each.
+        merges = np.zeros(n, dtype=np.int64)
+        for r, _ in made:
+            merges[r] += 1
+        first, codes = np.cumsum(merges) - merges, np.zeros(int(merges.sum()), dtype=np.uint64)
+        for k, (r, x) in enumerate(made):
+            codes[first[r] + k] = x
+        return codes, merges, *self._spelt(symbol, points, alive, n)
+
+    def _spelt(self, symbol: np.ndarray, points: np.ndarray, alive: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """_spell for the symbols alive of n chunks: their ids, and the number of them in each."""
+        at = np.flatnonzero(alive)
+        ids, sizes = symbol[at], np.ones(len(at), dtype=np.int64)
+        odd = np.flatnonzero((ids < 0) | (ids >= self.n_pieces))
+        if len(odd):
+            p = points[at[odd]]
+            sizes[odd] = np.where((p >= 0xD800) & (p < 0xE000), 1, 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000))
+            coded = p.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+            ids = np.repeat(ids, sizes)
+            ids[_places((np.cumsum(sizes) - sizes)[odd], sizes[odd])] = self.byte_ids[np.frombuffer(coded, dtype=np.uint8)]
+        return ids, np.bincount(at // (len(symbol) // n), weights=sizes, minlength=n).astype(np.int64)
+
+    def _remember(self, chunks: list[str], marks: np.ndarray, keys: np.ndarray, skipped: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Make nodes; their numbers. ``skipped`` are the candidates left out, ``of`` their rows in ascending order."""
         start, n = len(self.nodes), len(chunks)
-        self.marks, self.decided, self.first, self.open = (_roomy(x, start + n) for x in (self.marks, self.decided, self.first, self.open))
+        size = np.bincount(of, minlength=n)
+        first = np.cumsum(size) - size
+        lengths = np.fromiter(map(len, chunks), np.int64, n)
+        order = np.argsort(lengths, kind="stable")
+        self.marks, self.keys = _roomy(self.marks, start + n), _roomy(self.keys, start + n)
+        self.marks[start : start + n], self.keys[start : start + n] = marks[order], keys[order]
+        self.nodes += [chunks[i] for i in order.tolist()]
+        for i in range(0, n, STEP):
+            part = order[i : i + STEP]
+            few = size[part]
+            without = skipped[_places(first[part], few)]
+            rows = np.zeros((len(part), int(few.max())), dtype=np.uint64)  # 0 is no candidate's code
+            rows[np.repeat(np.arange(len(part)), few), _places(np.zeros(len(part), np.int64), few)] = without
+            codes, merges, ids, spelt = self._courses(self.nodes[start + i : start + i + len(part)], lengths[part], rows)
+            self.without.add(start + i, without, few)
+            self.merges.add(start + i, codes, merges)
+            self.ids.add(start + i, ids, spelt)
         numbers = np.zeros(n, dtype=np.int64)
-        order = sorted(range(n), key=lambda i: len(chunks[i]))
-        for i in range(0, n, 8192):
-            part = order[i : i + 8192]
-            at = len(self.nodes) + np.arange(len(part))
-            numbers[part] = at
-            ids, of, codes = self._courses([chunks[k] for k in part], [skipped[k] for k in part])
-            # A node keeps the merges that come in place of the one skipped last, and after it.
-            done = np.array([decided[k] for k in part], dtype=np.int64)
-            total = np.bincount(of, minlength=len(part))
-            later = np.arange(len(of)) - (np.cumsum(total) - total)[of] >= done[of]
-            size = int(later.sum())
-            self.codes, self.behind = (_roomy(x, self.used + size) for x in (self.codes, self.behind))
-            self.codes[self.used : self.used + size], self.behind[self.used : self.used + size] = codes[later], 0
-            self.open[at] = rest = total - done
-            self.first[at] = self.used + np.cumsum(rest) - rest
-            self.marks[at], self.decided[at] = np.array([marks[k] for k in part], dtype=np.uint64), done
-            self.used += size
-            self.spelt += ids
-            self.nodes += [chunks[k] for k in part]
-            self.without += [skipped[k] for k in part]
+        numbers[order] = start + np.arange(n)
         return numbers
 
     def _root(self, chunks: list[str]) -> None:
         """Remember chunks of at most TOGETHER characters; an empty one stands for a U+2581 of the text."""
-        if not self.nodes:  # node 0 is none
-            self._remember(["x"], [()], [0], [0])
+        none = np.zeros(0, np.uint64)
         if "" in chunks:
             chunks = [c for c in chunks if c]
-            self.roots[""] = at = int(self._remember([SPACE], [()], [0], [0])[0])
-            self.spelt[at], self.open[at] = _packed(self.byte_ids[list(SPACE.encode())].tolist()), 0
+            self.roots[""] = at = len(self.nodes)
+            self.marks, self.keys = _roomy(self.marks, at + 1), _roomy(self.keys, at + 1)
+            self.nodes.append("")
+            self.marks[at], self.keys[at] = 0, -1
+            ids = self.byte_ids[list(SPACE.encode())]
+            for runs, data in ((self.without, none), (self.merges, none), (self.ids, ids)):
+                runs.add(at, data, np.array([len(data)]))
         if chunks:
-            self.roots.update(zip(chunks, self._remember(chunks, [()] * len(chunks), [0] * len(chunks), [_hashed(c) for c in chunks]).tolist(), strict=True))
+            n, marks = len(chunks), np.array([_hashed(c) for c in chunks], dtype=np.uint64)
+            made = self._remember(chunks, marks, np.full(n, -1), none, np.zeros(0, np.int64))
+            self.roots.update(zip(chunks, made.tolist(), strict=True))
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of keys, made where they are new."""
+        keys, which = np.unique(keys, return_inverse=True)
+        found = np.fromiter(map(self.behind.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            keys = keys[new]
+            last, mask = keys >> 32, keys & 0xFFFFFFFF
+            few, many = self.without.size[last], self.merges.size[last]
+            of = np.repeat(np.arange(len(new)), many)
+            more = mask[of] >> _places(np.zeros(len(new), np.int64), many) & 1 == 1
+            of = np.concatenate([np.repeat(np.arange(len(new)), few), of[more]])
+            skipped = np.concatenate([self.without.of(last), self.merges.of(last)[more]])
+            order = np.argsort(of, kind="stable")
+            chunks = [self.nodes[i] for i in last.tolist()]
+            found[new] = self._remember(chunks, self.marks[last], keys, skipped[order], of[order])
+            self.behind.update(zip(keys.tolist(), found[new].tolist(), strict=True))
+        return found[which]
 
     def _draw(self, nodes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """The last node of each occurrence: from a chunk's own node, on with each merge that its hash skips."""
+        """The last node of each occurrence: from a chunk's own node, on without the merges that its hash skips."""
         nodes = nodes.copy()
         keys = _mixed(variants + self.marks[nodes])
         going = np.arange(len(nodes) if self.limit else 0)
         while len(going):
             node = nodes[going]
-            size = self.open[node]
-            owner = np.repeat(np.arange(len(going)), size)
-            at = np.repeat(self.first[node] - (np.cumsum(size) - size), size) + np.arange(len(owner))
-            below = np.flatnonzero(_mixed(keys[going][owner] + self.codes[at]) < np.uint64(self.limit))
-            who = owner[below]
-            lead = np.ones(len(who), dtype=bool)
-            lead[1:] = who[1:] != who[:-1]
-            who, spot = who[lead], at[below[lead]]
-            new, where = np.unique(np.where(self.behind[spot] == 0, spot, -1), return_index=True)
-            new, where = new[new >= 0], where[new >= 0]
-            if len(new):
-                parents = node[who[where]]
-                of = parents.tolist()
-                decided = self.decided[parents] + new - self.first[parents]
-                skipped = [(*self.without[p], c) for p, c in zip(of, self.codes[new].tolist(), strict=True)]
-                made = self._remember([self.nodes[p] for p in of], skipped, decided.tolist(), self.marks[parents].tolist())
-                self.behind[new] = made
+            size = self.merges.size[node]
+            codes = self.merges.of(node)
+            codes += np.repeat(keys[going], size)
+            below = np.flatnonzero(_mixed(codes) < np.uint64(self.limit))
+            stops = np.cumsum(size)
+            who = np.searchsorted(stops, below, side="right")
+            bits = np.int64(1) << below - (stops - size)[who]
+            lead = np.flatnonzero(np.diff(who, prepend=-1))
+            if not len(lead):
+                break
+            who = who[lead]
             going = going[who]
-            nodes[going] = self.behind[spot]
+            nodes[going] = self._next(node[who] << 32 | np.add.reduceat(bits, lead))
             self._count(nodes[going])
         return nodes
 
-    def together(self, chunks: list[str], variants: np.ndarray) -> list[bytes]:
-        """by_heap for many chunks of at most TOGETHER characters; ids as int32 bytes."""
-        self._root(list(set(chunks).difference(self.roots)))
-        nodes = np.fromiter(map(self.roots.__getitem__, chunks), np.int64, len(chunks))
-        variants = variants.astype(np.uint64)
+    def _pass(self, chunks: list[str], variants: np.ndarray) -> np.ndarray:
+        """The last nodes of chunks of at most TOGETHER characters."""
+        nodes = np.fromiter(map(self.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(nodes < 0).tolist()
+        if new:
+            self._root(list(dict.fromkeys(chunks[i] for i in new)))
+            nodes[new] = [self.roots[chunks[i]] for i in new]
         if len(nodes):
             self._count(nodes)
         for i in range(0, len(chunks), BLOCK):
             nodes[i : i + BLOCK] = self._draw(nodes[i : i + BLOCK], variants[i : i + BLOCK])
-        return list(map(self.spelt.__getitem__, nodes.tolist()))
+        return nodes
+
+    def together(self, chunks: list[str], variants: np.ndarray) -> list[np.ndarray]:
+        """by_heap for many chunks of at most TOGETHER characters."""
+        nodes = self._pass(chunks, variants.astype(np.uint64))
+        return np.split(self.ids.of(nodes), np.cumsum(self.ids.size[nodes])[:-1])
 
     # --- texts ---------------------------------------------------------------------------------
 
@@ -376,24 +465,28 @@ class Codec:
         chunks: list[str] = []
         bounds = [0]
         for text in texts:
-            # A U+2581 of the text itself stands alone and is coded as bytes.
-            for i, part in enumerate((" " + text).split(SPACE) if text else []):
-                if i:
-                    chunks.append("")
-                chunks += _CHUNK.findall(part.replace(" ", SPACE))
+            chunks += _cut(text) if text else []
             bounds.append(len(chunks))
         sizes = np.diff(bounds)
         starts = np.array([_hashed(f"{self.seed}:{k}") for k in keys], dtype=np.uint64)
-        places = np.arange(len(chunks)) - np.repeat(np.array(bounds[:-1], dtype=np.int64), sizes)
+        places = _places(np.zeros(len(sizes), np.int64), sizes)
         variants = np.repeat(starts, sizes) + places.astype(np.uint64) * np.uint64(_A)
-        long = [i for i, c in enumerate(chunks) if len(c) > TOGETHER]
-        spelt = {i: _packed(self.by_heap(chunks[i], int(variants[i]))) for i in long}
+        long = np.flatnonzero(np.fromiter(map(len, chunks), np.int64, len(chunks)) > TOGETHER).tolist()
+        spelt = [self.by_heap(chunks[i], int(variants[i])) for i in long]
         for i in long:
             chunks[i] = ""
-        coded = self.together(chunks, variants)
-        for i, ids in spelt.items():
-            coded[i] = ids
-        return [None if t is None else np.frombuffer(b"".join(coded[a:b]), dtype=np.int32) for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
+        nodes = self._pass(chunks, variants)
+        ids, stops = self.ids.of(nodes), np.concatenate([[0], np.cumsum(self.ids.size[nodes])])
+        # A long chunk's ids take the place of those that stand there for it.
+        pieces, edge = [], 0
+        for i, own in zip(long, spelt, strict=True):
+            pieces += [ids[edge : stops[i]], np.array(own, dtype=np.int32)]
+            edge = stops[i + 1]
+        if long:
+            counts = np.diff(stops)
+            counts[long] = list(map(len, spelt))
+            ids, stops = np.concatenate([*pieces, ids[edge:]]), np.concatenate([[0], np.cumsum(counts)])
+        return [None if t is None else ids[stops[a] : stops[b]] for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         """The text of ids: their bytes, without the dummy space."""

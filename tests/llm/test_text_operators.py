@@ -88,6 +88,46 @@ def test_thinning_the_memory_changes_no_segmentation(monkeypatch):
     assert got == want and len(codec.roots) < 400
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("then\n\u2581é日🎉\ud800\x00 ", min_size=1, max_size=merge_dropout.TOGETHER), min_size=1, max_size=20), st.integers(0, merge_dropout.VARIANTS - 1))
+def test_odd_characters_in_step_are_those_by_heap(chunks, variant):
+    DROPPED.encode([""], [""])
+    got = DROPPED.together(chunks, np.full(len(chunks), variant))
+    assert [x.tolist() for x in got] == [DROPPED.by_heap(c, variant) for c in chunks]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab \u2581\n", min_size=1, max_size=12))
+def test_chunks_of_a_text_are_those_of_the_expression(text):
+    want = []
+    for i, part in enumerate((" " + text).split("\u2581")):
+        want += [""] * (i > 0) + re.findall("\u2581*[^\u2581]+|\u2581+", part.replace(" ", "\u2581"))
+    assert merge_dropout._cut(text) == want
+
+
+def test_the_tables_of_pairs_are_the_pairs():
+    codec = merge_dropout.Codec(MODEL, 0.1, 3)
+    codec.encode([""], [""])
+    keys = np.array(list(codec.pairs))
+    left, right = keys >> 32, keys & 0xFFFFFFFF
+    at = codec.shift[left] + right
+    assert (codec.owner[at] == left).all() and codec.joined[at].tolist() == [i for i, _ in codec.pairs.values()]
+    g = np.random.default_rng(3)
+    left, right = g.integers(-1, len(MODEL[0]), (2, 200_000))
+    found = codec.owner[codec.shift[left] + right] == left
+    assert found.tolist() == [(x << 32 | y) in codec.pairs and x >= 0 and y >= 0 for x, y in zip(left.tolist(), right.tolist(), strict=True)]
+
+
+def test_merges_skipped_together_are_one_run_of_the_agenda(monkeypatch):
+    runs, plain = [], merge_dropout.Codec._courses
+    monkeypatch.setattr(merge_dropout.Codec, "_courses", lambda self, chunks, *rest: (runs.append(len(chunks)), plain(self, chunks, *rest))[1])
+    codec = merge_dropout.Codec(MODEL, 0.5, 3)
+    coded = codec.encode(["international"] * 300, [str(i) for i in range(300)])
+    word, starts = "\u2581international", [merge_dropout._hashed(f"3:{i}") for i in range(300)]
+    assert [x.tolist() for x in coded] == [codec.by_heap(word, s) for s in starts]
+    assert len(runs) < 10  # 16 when each skipped merge began a run of its own
+
+
 def test_encoded_documents(spark, odd):
     got = merge_dropout.encode_documents(odd, MODEL)
     assert got.count() == len(ODD) and got.filter("not lossless").count() == 0 and got.filter("ids is null").count() == 2
